@@ -1,0 +1,7 @@
+"""Streaming.
+
+The study has no streaming source, watermark, window or stateful operator;
+every input is a finished warehouse table. Nothing is built here on purpose.
+The batch operators are plain DataFrame functions, so they also accept a
+streaming DataFrame where Spark allows the same operator on a stream.
+"""
