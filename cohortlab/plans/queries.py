@@ -117,3 +117,93 @@ def q_risk_flags(spark, folder):
 def q_riskflags_instance_1000(spark, folder):
     s = Study(spark, folder)
     return s.risk_flags(only_instance_1k=True).select(*FLAG_KEY, *proxy.PROXY_RISK_FACTORS)
+
+
+# ------------------------------------------------------------------ exposure
+from ..operators import exposure as EX  # noqa: E402
+from ..vocab import ROUTES  # noqa: E402
+
+ORDER_OUT = ["pat_id", "instance", "gestational_days", "lmp", "ob_delivery_delivery_date",
+             "start_date", "end_date", "route"]
+
+
+@query("medication_overlap_join")
+def q_medication_overlap_join(spark, folder):
+    s = Study(spark, folder)
+    return EX.medication_overlap_join(s.cohort, s.med_orders)
+
+
+@query("medication_orders")
+def q_medication_orders(spark, folder):
+    s = Study(spark, folder)
+    return EX.medication_orders(s.cohort, s.med_orders, proxy.PROXY_MEDS)
+
+
+@query("medication_orders_routed")
+def q_medication_orders_routed(spark, folder):
+    s = Study(spark, folder)
+    return EX.medication_orders(s.imid_cohort, s.med_orders, proxy.PROXY_MEDS, ROUTES)
+
+
+@query("filter_any_flag")
+def q_filter_any_flag(spark, folder):
+    s = Study(spark, folder)
+    return s.med_orders.filter(EX.any_flag(proxy.PROXY_MEDS))
+
+
+@query("med_argmax")
+def q_med_argmax(spark, folder):
+    s = Study(spark, folder)
+    return s.exposure_rows().select(*ORDER_OUT, *proxy.PROXY_MEDS, "med_name")
+
+
+@query("exposure_period")
+def q_exposure_period(spark, folder):
+    s = Study(spark, folder)
+    return s.exposure_rows().select(*ORDER_OUT, "orderstart_lmp", "orderstart_lmp_period")
+
+
+@query("exposure_durations")
+def q_exposure_durations(spark, folder):
+    from ..functions import exposure as X
+    s = Study(spark, folder)
+    r = s.exposure_rows()
+    st, en, ga = F.col("orderstart_lmp"), F.col("orderend_lmp"), F.col("gestational_days")
+    return r.select(*ORDER_OUT, "orderstart_lmp", "orderend_lmp",
+                    "exposure0_duration", "exposure1_duration", "exposure2_duration",
+                    "exposure3_duration",
+                    X.exposure0_duration(st, en, "clipped").alias("clipped0_duration"),
+                    X.exposure1_duration(st, en, "clipped").alias("clipped1_duration"),
+                    X.exposure2_duration(st, en, "clipped").alias("clipped2_duration"),
+                    X.exposure3_duration(st, en, ga, "clipped").alias("clipped3_duration"))
+
+
+@query("medinfo_exposure")
+def q_medinfo_exposure(spark, folder):
+    s = Study(spark, folder)
+    return s.exposure_rows(routed=True).drop(*proxy.PROXY_MEDS)
+
+
+@query("exposure_agg")
+def q_exposure_agg(spark, folder):
+    return EX.exposure_agg(Study(spark, folder).exposure_rows())
+
+
+@query("aggregate_data_sum_max")
+def q_aggregate_data_sum_max(spark, folder):
+    s = Study(spark, folder)
+    return EX.aggregate_data(s.exposure_rows(), ["pat_id", "instance"],
+                             {"order_duration": "sum", "orderstart_lmp": "min",
+                              "exposure_total_status": "max"})
+
+
+@query("exposure_pivot")
+def q_exposure_pivot(spark, folder):
+    return Study(spark, folder).exposure_flags
+
+
+@query("cohort_with_exposure")
+def q_cohort_with_exposure(spark, folder):
+    s = Study(spark, folder)
+    c = s.cohort.select("pat_id", "instance", "episode_id", "lmp", "gestational_days")
+    return EX.cohort_with_exposure(c, s.exposure_flags, proxy.PROXY_MEDS)

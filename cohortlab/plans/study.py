@@ -86,3 +86,27 @@ class Study:
             self.cohort if cohort is None else cohort, factors or proxy.PROXY_RISK_FACTORS,
             self.diag_snomed, self.codes, self.src("diagnosismapping"), self.src("diagnosis"),
             only_instance_1k=only_instance_1k)
+
+    # ------------------------------------------------------------- exposure
+    @cached_property
+    def med_orders(self) -> DataFrame:
+        return self.src("medication_order")
+
+    @cached_property
+    def imid_cohort(self) -> DataFrame:
+        from ..vocab import IMIDS
+        from ..operators.exposure import any_flag
+        return self.cohort.filter(any_flag(IMIDS))
+
+    def exposure_rows(self, routed: bool = False, mode: str = "reference") -> DataFrame:
+        from ..operators import exposure
+        from ..vocab import ROUTES
+        if routed:
+            return exposure.exposure_rows(self.imid_cohort, self.med_orders, proxy.PROXY_MEDS,
+                                          ROUTES, mode)
+        return exposure.exposure_rows(self.cohort, self.med_orders, proxy.PROXY_MEDS, None, mode)
+
+    @cached_property
+    def exposure_flags(self) -> DataFrame:
+        from ..operators import exposure
+        return exposure.exposure_pivot(self.exposure_rows(), proxy.PROXY_MEDS)

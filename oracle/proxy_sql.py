@@ -319,3 +319,97 @@ GROUP BY c.pat_id, c.instance, c.episode_id, c.decided_index_date"""
 
 cte("r_flags", flags_sql("r_hits"), ["px_cohort", "r_hits"])
 cte("r_flags_1k", flags_sql("r_hits_1k"), ["px_cohort", "r_hits_1k"])
+
+# ------------------------------------------------------------------ exposure
+_ANY_MED = " OR ".join(f"m.{m} = 1" for m in PROXY_MEDS)
+_MED_COLS = ", ".join(f"m.{m}" for m in PROXY_MEDS)
+
+
+def orders_sql(cohort: str, routed: bool) -> str:
+    route = (" AND m.route IN ('Oral', 'Intramuscular', 'Intravenous', 'Subcutaneous Infusion', "
+             "'Subcutaneous', 'Intravenous (Continuous Infusion)', 'Rectal')") if routed else ""
+    return f"""
+SELECT DISTINCT c.pat_id, c.instance, c.gestational_days, c.lmp, c.ob_delivery_delivery_date,
+  m.start_date, m.end_date, m.route, {_MED_COLS}
+FROM {cohort} c JOIN px_med m ON c.pat_id = m.pat_id AND c.instance = m.instance
+  AND m.end_date > c.lmp AND m.start_date < c.ob_delivery_delivery_date
+WHERE ({_ANY_MED}) AND m.order_class <> 'Historical Med'{route}"""
+
+
+_ANY_IMID = " OR ".join(f"{i} = 1" for i in IMIDS)
+cte("px_imid_cohort", f"SELECT * FROM px_cohort WHERE {_ANY_IMID}", ["px_cohort"])
+cte("e_orders", orders_sql("px_cohort", False), ["px_cohort", "px_med"])
+cte("e_orders_routed", orders_sql("px_imid_cohort", True), ["px_imid_cohort", "px_med"])
+
+D0 = """CASE WHEN s < -180 AND e < -180 THEN 0
+  WHEN s < -180 AND e >= -180 AND e < 0 THEN e - 180 + 1
+  WHEN s < -180 AND e >= 0 THEN 180
+  WHEN s >= -180 AND s < 0 AND e >= -180 AND e < 0 THEN e - s + 1
+  WHEN s >= -180 AND s < 0 AND e >= 0 THEN 0 - s + 1
+  WHEN s >= 0 AND e >= 0 THEN 0 ELSE NULL END"""
+D1 = """CASE WHEN s < 0 AND e < 0 THEN 0
+  WHEN s < 0 AND e >= 0 AND e < 84 THEN e + 1
+  WHEN s < 0 AND e >= 84 THEN 84
+  WHEN s >= 0 AND s < 84 AND e >= 0 AND e < 84 THEN e - s + 1
+  WHEN s >= 0 AND s < 84 AND e >= 84 THEN 84 - s + 1
+  ELSE 0 END"""
+D2 = """CASE WHEN s < 84 AND e < 84 THEN 0
+  WHEN s < 84 AND e >= 84 AND e < 189 THEN e - 84 + 1
+  WHEN s >= 91 AND s < 189 AND e >= 84 AND e < 189 THEN e - s + 1
+  WHEN s < 84 AND e >= 189 THEN 105
+  WHEN s >= 84 AND s < 189 AND e >= 189 THEN 189 - s + 1
+  ELSE 0 END"""
+D3 = """CASE WHEN s < 189 AND e < 189 THEN 0
+  WHEN s < 189 AND e >= 189 AND e <= ga THEN e - 189 + 1
+  WHEN s < 189 AND ga >= 189 AND ga <= e THEN ga - 189 + 1
+  WHEN s >= 189 AND s <= ga AND e >= 189 AND e <= ga THEN e - s + 1
+  WHEN s >= 189 AND s <= ga AND e >= ga THEN ga - s + 1
+  ELSE 0 END"""
+PERIOD = """CASE WHEN s < -180 THEN -1 WHEN s < 0 THEN 0 WHEN s < 84 THEN 1 WHEN s < 189 THEN 2
+  WHEN s <= 320 THEN 3 WHEN s > 320 THEN 4 END"""
+CLIP = "CAST(greatest(0, least(e, {hi}) - greatest(s, {lo}) + 1) AS INTEGER)"
+_MED_NAME = "CASE " + " ".join(f"WHEN {m} = 1 THEN '{m}'" for m in PROXY_MEDS) + " END"
+
+
+def rows_sql(orders: str) -> str:
+    return f"""
+SELECT *,
+  CASE WHEN exposure1_duration > 0 THEN 1 ELSE 0 END AS exposure1_status,
+  CASE WHEN exposure2_duration > 0 THEN 1 ELSE 0 END AS exposure2_status,
+  CASE WHEN exposure3_duration > 0 THEN 1 ELSE 0 END AS exposure3_status,
+  CASE WHEN exposure_total_duration > 0 THEN 1 ELSE 0 END AS exposure_total_status,
+  CASE WHEN exposure0_duration > 0 THEN 1 ELSE 0 END AS exposure0_status
+FROM (
+  SELECT *, exposure1_duration + exposure2_duration + exposure3_duration AS exposure_total_duration
+  FROM (
+    SELECT o.*, s AS orderstart_lmp, e AS orderend_lmp, order_duration,
+      {PERIOD} AS orderstart_lmp_period,
+      CAST({D0} AS INTEGER) AS exposure0_duration,
+      CAST({D1} AS INTEGER) AS exposure1_duration,
+      CAST({D2} AS INTEGER) AS exposure2_duration,
+      CAST({D3} AS INTEGER) AS exposure3_duration,
+      {CLIP.format(lo=-180, hi=-1)} AS clipped0_duration,
+      {CLIP.format(lo=0, hi=83)} AS clipped1_duration,
+      {CLIP.format(lo=84, hi=188)} AS clipped2_duration,
+      {CLIP.format(lo=189, hi='ga')} AS clipped3_duration,
+      {_MED_NAME} AS med_name
+    FROM (SELECT *, CAST(date_diff('day', lmp, start_date) AS INTEGER) AS s,
+            CAST(date_diff('day', lmp, end_date) AS INTEGER) AS e,
+            gestational_days AS ga,
+            CAST(date_diff('day', start_date, end_date) + 1 AS INTEGER) AS order_duration
+          FROM {orders}) o))"""
+
+
+cte("e_rows", rows_sql("e_orders"), ["e_orders"])
+cte("e_rows_routed", rows_sql("e_orders_routed"), ["e_orders_routed"])
+
+_STATUSES = ["exposure_total_status", "exposure0_status", "exposure1_status",
+             "exposure2_status", "exposure3_status"]
+_PIVOT = ",\n  ".join(
+    f"CAST(COALESCE(MAX(CASE WHEN med_name = '{m}' THEN {st} END), 0) AS INTEGER) AS {m}_{st}"
+    for m in PROXY_MEDS for st in _STATUSES)
+cte("e_pivot", f"""
+SELECT pat_id, instance, lmp, gestational_days,
+  {_PIVOT}
+FROM e_rows GROUP BY pat_id, instance, lmp, gestational_days""", ["e_rows"])
+EXPOSURE_FLAG_COLS = [f"{m}_{st}" for m in PROXY_MEDS for st in _STATUSES]

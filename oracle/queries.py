@@ -42,3 +42,55 @@ oracle("risk_code_set", "SELECT * FROM c2_codes", ["c2_codes"])
 oracle("active_interval_join", "SELECT * FROM r_hits", ["r_hits"])
 oracle("risk_flags", "SELECT * FROM r_flags", ["r_flags"])
 oracle("riskflags_instance_1000", "SELECT * FROM r_flags_1k", ["r_flags_1k"])
+
+# ------------------------------------------------------------------ exposure
+from cohortlab.sources.proxy import PROXY_MEDS  # noqa: E402
+
+from .proxy_sql import EXPOSURE_FLAG_COLS  # noqa: E402
+
+_ORDER_OUT = ("pat_id, instance, gestational_days, lmp, ob_delivery_delivery_date, "
+              "start_date, end_date, route")
+_MEDS = ", ".join(PROXY_MEDS)
+_ANYMED = " OR ".join(f"{m} = 1" for m in PROXY_MEDS)
+
+oracle("medication_overlap_join", """
+SELECT c.pat_id, c.instance, c.gestational_days, c.lmp, c.ob_delivery_delivery_date,
+  m.start_date, m.end_date, m.route, m.order_class, """ + ", ".join(f"m.{x}" for x in PROXY_MEDS) + """
+FROM px_cohort c JOIN px_med m ON c.pat_id = m.pat_id AND c.instance = m.instance
+  AND m.end_date > c.lmp AND m.start_date < c.ob_delivery_delivery_date""", ["px_cohort", "px_med"])
+oracle("medication_orders", "SELECT * FROM e_orders", ["e_orders"])
+oracle("medication_orders_routed", "SELECT * FROM e_orders_routed", ["e_orders_routed"])
+oracle("filter_any_flag", f"SELECT * FROM px_med WHERE {_ANYMED}", ["px_med"])
+oracle("med_argmax", f"SELECT {_ORDER_OUT}, {_MEDS}, med_name FROM e_rows", ["e_rows"])
+oracle("exposure_period", f"SELECT {_ORDER_OUT}, orderstart_lmp, orderstart_lmp_period FROM e_rows",
+       ["e_rows"])
+oracle("exposure_durations", f"""
+SELECT {_ORDER_OUT}, orderstart_lmp, orderend_lmp, exposure0_duration, exposure1_duration,
+  exposure2_duration, exposure3_duration, clipped0_duration, clipped1_duration, clipped2_duration,
+  clipped3_duration FROM e_rows""", ["e_rows"])
+oracle("medinfo_exposure", f"""
+SELECT {_ORDER_OUT}, orderstart_lmp, orderend_lmp, order_duration, orderstart_lmp_period,
+  exposure0_duration, exposure1_duration, exposure2_duration, exposure3_duration,
+  exposure_total_duration, exposure1_status, exposure2_status, exposure3_status,
+  exposure_total_status, exposure0_status, med_name FROM e_rows_routed""", ["e_rows_routed"])
+oracle("exposure_agg", """
+SELECT pat_id, instance, lmp, gestational_days, med_name,
+  CAST(SUM(exposure_total_duration) AS BIGINT) AS exposure_total_duration_sum,
+  CAST(SUM(exposure1_duration) AS BIGINT) AS exposure1_duration_sum,
+  CAST(SUM(exposure2_duration) AS BIGINT) AS exposure2_duration_sum,
+  CAST(SUM(exposure3_duration) AS BIGINT) AS exposure3_duration_sum,
+  MAX(exposure_total_status) AS exposure_total_status_max,
+  MAX(exposure0_status) AS exposure0_status_max,
+  MAX(exposure1_status) AS exposure1_status_max,
+  MAX(exposure2_status) AS exposure2_status_max,
+  MAX(exposure3_status) AS exposure3_status_max
+FROM e_rows GROUP BY pat_id, instance, lmp, gestational_days, med_name""", ["e_rows"])
+oracle("aggregate_data_sum_max", """
+SELECT pat_id, instance, CAST(SUM(order_duration) AS BIGINT) AS order_duration_sum,
+  MIN(orderstart_lmp) AS orderstart_lmp_min, MAX(exposure_total_status) AS exposure_total_status_max
+FROM e_rows GROUP BY pat_id, instance""", ["e_rows"])
+oracle("exposure_pivot", "SELECT * FROM e_pivot", ["e_pivot"])
+oracle("cohort_with_exposure", "SELECT c.pat_id, c.instance, c.episode_id, c.lmp, c.gestational_days, "
+       + ", ".join(f"COALESCE(p.{x}, 0) AS {x}" for x in EXPOSURE_FLAG_COLS) + """
+FROM px_cohort c LEFT JOIN e_pivot p ON c.pat_id = p.pat_id AND c.instance = p.instance
+  AND c.lmp = p.lmp AND c.gestational_days = p.gestational_days""", ["px_cohort", "e_pivot"])
