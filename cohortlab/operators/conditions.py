@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from ..session import bounded_broadcast
 
-MAX_BROADCAST_CODES = 5_000_000
 
 
 def diagnosis_mapped_semi(diag: DataFrame, dxmap: DataFrame, dx: DataFrame) -> DataFrame:
@@ -32,14 +31,19 @@ def diagnosis_mapped_semi(diag: DataFrame, dxmap: DataFrame, dx: DataFrame) -> D
 
 def coded_intervals(diag_snomed: DataFrame, codes: DataFrame, dxmap: DataFrame, dx: DataFrame,
                     only_instance_1k: bool = False,
-                    max_broadcast_codes: int = MAX_BROADCAST_CODES) -> DataFrame:
+                    max_broadcast_codes: int | None = None) -> DataFrame:
     """(pat_id, instance, noted_date, resolved_date, risk_factor) for every
-    mapped diagnosis whose SNOMED code is in the factor's code set."""
+    mapped diagnosis whose SNOMED code is in the factor's code set.
+
+    The code set is small (factors x descendant codes) but computed, so by
+    default no hint is given and adaptive execution broadcasts it after
+    measuring it at run time; ``max_broadcast_codes`` forces a counted check."""
     d = diag_snomed
     if only_instance_1k:
         d = d.filter(F.col("instance") == 1000)
     c = codes.select(F.col("code").alias("SNOMED_ids"), "risk_factor")
-    c = bounded_broadcast(c, max_broadcast_codes)
+    if max_broadcast_codes is not None:
+        c = bounded_broadcast(c, max_broadcast_codes)
     m = d.select("pat_id", "dx_id", "instance", "noted_date", "resolved_date", "SNOMED_ids") \
          .join(c, "SNOMED_ids")
     m = diagnosis_mapped_semi(m, dxmap, dx)

@@ -207,3 +207,364 @@ def q_cohort_with_exposure(spark, folder):
     s = Study(spark, folder)
     c = s.cohort.select("pat_id", "instance", "episode_id", "lmp", "gestational_days")
     return EX.cohort_with_exposure(c, s.exposure_flags, proxy.PROXY_MEDS)
+
+
+# ------------------------------------------------------------------ cohort and arms
+from ..functions import encoders as E  # noqa: E402
+from ..operators import balance as BAL  # noqa: E402
+from ..operators import cohort as C  # noqa: E402
+from ..operators import features as FT  # noqa: E402
+from ..operators import geo as G  # noqa: E402
+from ..operators import matching as M  # noqa: E402
+from ..operators import outcomes as O  # noqa: E402
+from ..operators.propensity import propensity_score  # noqa: E402
+from ..sources.tables import write_table  # noqa: E402
+from ..vocab import IMIDS, SVI_IMPUTED  # noqa: E402
+
+KEY = ["pat_id", "instance", "episode_id"]
+OUTC = ["preterm_category", "LBW", "SGA", "delivery_method"]
+
+
+def _r6(df: DataFrame, cols: list[str]) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in cols})
+
+
+@query("filter_delivery_year")
+def q_filter_delivery_year(spark, folder):
+    s = Study(spark, folder)
+    return C.filter_delivery_year(s.pregnancy, proxy.PROXY_MIN_DELIVERY_YEAR) \
+            .select(*KEY, "delivery_year")
+
+
+@query("control_anti_join")
+def q_control_anti_join(spark, folder):
+    s = Study(spark, folder)
+    _, controls = C.split_arms(s.pregnancy, IMIDS)
+    return controls.select(*KEY, "lmp")
+
+
+@query("subcohort_by_flag")
+def q_subcohort_by_flag(spark, folder):
+    s = Study(spark, folder)
+    return C.subcohort_by_flag(s.pregnancy, IMIDS, KEY)
+
+
+@query("align_columns_union")
+def q_align_columns_union(spark, folder):
+    s = Study(spark, folder)
+    treated, controls = C.split_arms(s.pregnancy, IMIDS)
+    a = controls.select(*KEY, "delivery_year", "px_score", "ibd")
+    b = treated.select("episode_id", "pat_id", "instance", "px_score", "lmp", "ibd")
+    return C.align_and_union(a, b)
+
+
+@query("arm_union")
+def q_arm_union(spark, folder):
+    s = Study(spark, folder)
+    treated, controls = C.split_arms(s.pregnancy, IMIDS)
+    return C.arm_union(controls.select(*KEY, "px_score"),
+                       treated.select(*KEY, "px_score", "ibd"), "IMID_status")
+
+
+@query("cohort_counts")
+def q_cohort_counts(spark, folder):
+    s = Study(spark, folder)
+    return C.cohort_counts(s.pregnancy)
+
+
+@query("dedup_pregnancy_key")
+def q_dedup_pregnancy_key(spark, folder):
+    s = Study(spark, folder)
+    d = C.dedup_pregnancy(s.pregnancy.select(*C.PREGNANCY_DEDUP_KEY, "episode_id", "px_score"))
+    return d
+
+
+@query("sink_roundtrip")
+def q_sink_roundtrip(spark, folder):
+    """Write the flag table and read it back (drop-and-replace)."""
+    import tempfile
+    from ..session import ensure_checkpoint_dir
+    s = Study(spark, folder)
+    base = ensure_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/sink-{next(tempfile._get_candidate_names())}"
+    write_table(s.risk_flags().select(*FLAG_KEY, *proxy.PROXY_RISK_FACTORS), path)
+    return spark.read.parquet(path)
+
+
+# ------------------------------------------------------------------ geography
+GEO_PAYLOAD = {
+    "ruca2010revised": ("FIPS", ["SecondaryRUCACode2010"]),
+    "svi2018_us": ("FIPS", ["RPL_THEMES", "RPL_THEME1", "RPL_THEME2", "RPL_THEME3", "RPL_THEME4"]),
+    "countytypologycodes2015": ("FIPS4", ["Economic_Type"]),
+    "urbaninfluencecodes2013": ("FIPS4", ["UIC_2013"]),
+    "svi2018_us_county": ("FIPS5", ["RPL_THEMES_COUNTY"]),
+    "ruralurbancontinuumcodes2013": ("FIPS5", ["RUCC_2013"]),
+    "farcodeszip2010": ("ZIP5", ["FAR_LEVEL1"]),
+}
+
+
+def _geo_query(*names):
+    def run(spark, folder):
+        s = Study(spark, folder)
+        out = None
+        for n in names:
+            key, payload = GEO_PAYLOAD[n]
+            g = G.patient_geo(s.src("patient"), s.src(n), n)
+            g = g.select("pat_id", "instance", F.col(key).alias("geo_key"),
+                         *[F.col(p).cast("double").alias("value") for p in payload[:1]],
+                         F.lit(n).alias("geo_table"))
+            out = g if out is None else out.unionByName(g)
+        return out
+    return run
+
+
+QUERIES["geo_ruca"] = _geo_query("ruca2010revised")
+QUERIES["geo_svi_tract"] = _geo_query("svi2018_us")
+QUERIES["geo_county_fips4"] = _geo_query("countytypologycodes2015", "urbaninfluencecodes2013")
+QUERIES["geo_county_fips5"] = _geo_query("svi2018_us_county", "ruralurbancontinuumcodes2013")
+QUERIES["geo_zip_far"] = _geo_query("farcodeszip2010")
+
+
+@query("geo_features")
+def q_geo_features(spark, folder):
+    s = Study(spark, folder)
+    c = s.pregnancy.select(*KEY)
+    out = G.add_geo_features(c, s.src("patient"), s.src("ruca2010revised"), "ruca2010revised")
+    return out.select(*KEY, "SecondaryRUCACode2010")
+
+
+@query("categorize_ruca")
+def q_categorize_ruca(spark, folder):
+    s = Study(spark, folder)
+    r = s.src("ruca2010revised")
+    return r.select("State_County_Tract_FIPS_Code", "SecondaryRUCACode2010",
+                    E.categorize_ruca(F.col("SecondaryRUCACode2010")).alias("ruca_categorization"))
+
+
+@query("encode_ruca")
+def q_encode_ruca(spark, folder):
+    s = Study(spark, folder)
+    r = s.src("ruca2010revised")
+    cat = E.categorize_ruca(F.col("SecondaryRUCACode2010"))
+    return r.select("State_County_Tract_FIPS_Code", E.encode_ruca(cat).alias("ruca_code"))
+
+
+@query("svi_clean_sentinel")
+def q_svi_clean_sentinel(spark, folder):
+    s = Study(spark, folder)
+    v = s.src("svi2018_us")
+    return _r6(v.select("FIPS", *[E.clean_sentinel(F.col(c)).alias(c) for c in
+                                  ["RPL_THEMES", *SVI_IMPUTED]]), ["RPL_THEMES", *SVI_IMPUTED])
+
+
+# ------------------------------------------------------------------ encoders
+def _enc(name, cols):
+    """Register an encoder query: pregnancy id, inputs and the encoded value.
+    ``cols`` builds the columns when the query runs (a session is needed)."""
+    def run(spark, folder):
+        p = Study(spark, folder).pregnancy
+        return p.select("episode_id", *cols())
+    QUERIES[name] = run
+
+
+def _race_in():
+    return F.concat_ws("|", F.col("race")).alias("race_in")
+
+
+_enc("encode_race", lambda: [_race_in(), E.format_race(F.col("race")).alias("race_fmt")])
+_enc("race_consolidate", lambda: [
+    _race_in(), F.concat_ws("|", E.consolidate_race_responses(F.col("race"))).alias("race_list")])
+_enc("race_multiracial", lambda: [
+    _race_in(), E.handle_multiracial_exceptions(F.col("race")).alias("race_fmt")])
+_enc("ethnic_group_fmt", lambda: [
+    F.col("ethnic_group"), E.format_ethnic_group(F.col("ethnic_group")).alias("ethnic_fmt")])
+_enc("encode_parity", lambda: [F.col("Parity"), E.format_parity(F.col("Parity")).alias("parity_code")])
+_enc("encode_gravidity", lambda: [
+    F.col("Gravidity"), E.format_gravidity(F.col("Gravidity")).alias("gravidity_code")])
+_enc("encode_preterm_history", lambda: [
+    F.col("Preterm_history"), F.col("gestational_days"),
+    E.format_preterm_history(F.col("Preterm_history"), F.col("gestational_days"))
+    .alias("preterm_history_code")])
+_enc("encode_bmi", lambda: [F.col("pregravid_bmi"), E.encode_bmi(F.col("pregravid_bmi")).alias("bmi_code")])
+_enc("encode_age", lambda: [F.col("age_at_start_dt"), E.encode_age(F.col("age_at_start_dt")).alias("age_code")])
+_enc("pval_signal", lambda: [F.round("px_score", 6).alias("p"),
+                             E.pval_signal(F.col("px_score")).alias("signal")])
+
+# A delivery label per pregnancy, cycling through every study label plus one
+# outside them and a NULL, so each branch of the encoder is exercised.
+from ..vocab import DELIVERY_CSECTION, DELIVERY_VAGINAL  # noqa: E402
+
+DELIVERY_LABELS = DELIVERY_VAGINAL + DELIVERY_CSECTION + ["Unknown"]
+
+
+def _delivery_cols():
+    dl = F.try_element_at(F.array(*[F.lit(x) for x in DELIVERY_LABELS]),
+                          (F.col("episode_id") % (len(DELIVERY_LABELS) + 1) + 1).cast("int"))
+    return [dl.alias("delivery_label"), E.encode_delivery_method(dl).alias("delivery_code")]
+
+
+_enc("encode_delivery_method", _delivery_cols)
+
+
+@query("year_one_hot")
+def q_year_one_hot(spark, folder):
+    p = Study(spark, folder).pregnancy
+    return p.select("episode_id", "delivery_year",
+                    *[v.alias(k) for k, v in FT.year_one_hot(proxy.PROXY_YEARS).items()])
+
+
+@query("median_impute_svi")
+def q_median_impute_svi(spark, folder):
+    s = Study(spark, folder)
+    long = s.comparisons_long().filter(F.col("comparison") == "IMID")
+    out = FT.median_impute(long.select(*KEY, "IMID_status", *SVI_IMPUTED), SVI_IMPUTED, ["IMID_status"])
+    return _r6(out, SVI_IMPUTED)
+
+
+@query("median_impute_all")
+def q_median_impute_all(spark, folder):
+    p = Study(spark, folder).pregnancy
+    cols = ["pregravid_bmi", "Parity", "Gravidity", "Preterm_history", "smoker", "illegal_drug_user"]
+    out = FT.median_impute(p.select(*KEY, *cols), cols)
+    return _r6(out, cols)
+
+
+@query("missingness_report")
+def q_missingness_report(spark, folder):
+    s = Study(spark, folder)
+    long = s.comparisons_long().filter(F.col("comparison") == "IMID")
+    return FT.missingness(long, SVI_IMPUTED + ["pregravid_bmi"], ["IMID_status"])
+
+
+@query("psm_features")
+def q_psm_features(spark, folder):
+    s = Study(spark, folder)
+    long = s.comparisons_long().filter(F.col("comparison") == "IMID")
+    f, names = s.features(long)
+    return _r6(f.drop("comparison"), SVI_IMPUTED)
+
+
+# ------------------------------------------------------------------ matching, balance
+def _overall(s: Study) -> DataFrame:
+    return s.comparisons_long().filter(F.col("comparison") == "IMID")
+
+
+@query("psm_match_1nn")
+def q_psm_match_1nn(spark, folder):
+    s = Study(spark, folder)
+    long = _overall(s).select(*KEY, "IMID_status", "px_score")
+    return M.propensity_score_matching(long, "IMID_status", "px_score", KEY)
+
+
+@query("psm_match_reverse")
+def q_psm_match_reverse(spark, folder):
+    s = Study(spark, folder)
+    long = _overall(s).filter((F.col("IMID_status") == 1) | (F.col("episode_id") % 20 == 0))
+    long = long.select(*KEY, "IMID_status", "px_score")
+    return M.propensity_score_matching(long, "IMID_status", "px_score", KEY)
+
+
+@query("match_back_join")
+def q_match_back_join(spark, folder):
+    s = Study(spark, folder)
+    m = s.matched("px_score").filter((F.col("comparison") == "IMID") & (F.col("IMID_status") == 0))
+    _, controls = s.arms
+    return C.match_back(controls.select(*KEY, "lmp", *OUTC), m, KEY)
+
+
+@query("cohen_d")
+def q_cohen_d(spark, folder):
+    s = Study(spark, folder)
+    f, names = s.features(_overall(s))
+    return _r6(BAL.cohen_d(f, "IMID_status", names), ["effect_size"])
+
+
+def _balance(s: Study, score: str, comparisons: list[str] | None):
+    long = s.comparisons_long()
+    if comparisons:
+        long = long.filter(F.col("comparison").isin(comparisons))
+    f, names = s.features(long)
+    m = s.matched(score, long)
+    mf = m.select("comparison", "IMID_status", *KEY).join(
+        f.drop("IMID_status"), ["comparison", *KEY], "inner")
+    return BAL.effect_size_before_after(f, mf, "IMID_status", names, ["comparison"])
+
+
+@query("effect_size_before_after")
+def q_effect_size_before_after(spark, folder):
+    s = Study(spark, folder)
+    return _r6(_balance(s, "px_score", ["IMID"]), ["effect_size"])
+
+
+@query("balance_by_comparison")
+def q_balance_by_comparison(spark, folder):
+    s = Study(spark, folder)
+    return BAL.balance_table(_balance(s, "px_score", None), ["comparison"])
+
+
+# ------------------------------------------------------------------ outcomes
+@query("outcome_counts")
+def q_outcome_counts(spark, folder):
+    s = Study(spark, folder)
+    return O.outcome_counts(s.comparisons_long(), ["comparison", "IMID_status"])
+
+
+def _unadjusted_long(s: Study) -> DataFrame:
+    long = s.comparisons_long()
+    t = O.outcome_counts(long.filter(F.col("IMID_status") == 1), ["comparison"])
+    c = O.outcome_counts(long.filter(F.col("IMID_status") == 0), ["comparison"])
+    return O.outcome_long(t, c, ["comparison"])
+
+
+@query("relative_risk_ci")
+def q_relative_risk_ci(spark, folder):
+    from ..functions import stats as ST
+    lg = _unadjusted_long(Study(spark, folder))
+    a, n1, c, n0 = F.col("a"), F.col("n1"), F.col("c"), F.col("n0")
+    lo, hi = ST.katz_interval(a, n1, c, n0)
+    return _r6(lg.select("comparison", "outcome", "a", "n1", "c", "n0",
+                         ST.relative_risk(a, n1, c, n0).alias("rr"), lo.alias("lower"),
+                         hi.alias("upper")), ["rr", "lower", "upper"])
+
+
+@query("fisher_exact_p")
+def q_fisher_exact_p(spark, folder):
+    from ..functions import stats as ST
+    lg = _unadjusted_long(Study(spark, folder))
+    p = ST.fisher_exact_two_sided(lg, ["comparison", "outcome"], "a", "n1", "c", "n0")
+    return _r6(p, ["p_value"])
+
+
+@query("outcomes_adjusted")
+def q_outcomes_adjusted(spark, folder):
+    return Study(spark, folder).outcome_table("adjusted")
+
+
+@query("outcomes_unadjusted")
+def q_outcomes_unadjusted(spark, folder):
+    return Study(spark, folder).outcome_table("unadjusted")
+
+
+@query("outcomes_sensitivity")
+def q_outcomes_sensitivity(spark, folder):
+    return Study(spark, folder).outcome_table("sensitivity")
+
+
+# ------------------------------------------------------------------ fitted scores (rows-only)
+@query("propensity_score")
+def q_propensity_score(spark, folder):
+    """PS1: logistic fit on the overall comparison; per arm the row count and
+    mean score (at the optimum the mean score equals the treated share)."""
+    s = Study(spark, folder)
+    f, names = s.features(_overall(s))
+    scored = propensity_score(f, "IMID_status", names)
+    return scored.groupBy("IMID_status").agg(F.count(F.lit(1)).alias("n"),
+                                             F.avg("propensity_score").alias("mean_score"))
+
+
+@query("psm_by_comparison")
+def q_psm_by_comparison(spark, folder):
+    """One logistic model per comparison (fits run concurrently), then
+    1-NN matching per comparison on the fitted score."""
+    from .pipeline import fitted_matches
+    return fitted_matches(Study(spark, folder))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import concepts, conditions, diagnoses
+from ..session import cut_lineage
 from ..sources import proxy
 from ..sources.tables import Tables
 
@@ -110,3 +111,94 @@ class Study:
     def exposure_flags(self) -> DataFrame:
         from ..operators import exposure
         return exposure.exposure_pivot(self.exposure_rows(), proxy.PROXY_MEDS)
+
+    # ------------------------------------------------------------- matching stage
+    COMORBIDITIES = proxy.PROXY_RISK_FACTORS
+    KEY = ["pat_id", "instance", "episode_id"]
+
+    @cached_property
+    def study_cohort(self) -> DataFrame:
+        """Pregnancies delivered after the cut-off year, with condition flags
+        (the proxy's comorbidities) and area-level SVI / rural-urban codes."""
+        from ..functions.encoders import categorize_ruca, clean_sentinel
+        from ..operators import cohort as C
+        from ..operators.geo import add_geo_features
+        from ..vocab import RUCA_COLUMN, SVI_COLUMNS
+        flagged = self.risk_flags()
+        c = C.filter_delivery_year(flagged, proxy.PROXY_MIN_DELIVERY_YEAR)
+        pats = self.src("patient")
+        base_cols = c.columns
+        c = add_geo_features(c, pats, self.src("svi2018_us"), "svi2018_us").select(*base_cols, *SVI_COLUMNS)
+        c = add_geo_features(c, pats, self.src("ruca2010revised"), "ruca2010revised") \
+            .select(*base_cols, *SVI_COLUMNS, RUCA_COLUMN)
+        c = c.withColumn("ruca_categorization", categorize_ruca(F.col(RUCA_COLUMN)))
+        c = c.withColumns({s: clean_sentinel(F.col(s)) for s in SVI_COLUMNS})
+        # Stage boundary (the study wrote this table too): every later stage
+        # reads it several times, so it is materialised once in the shared
+        # checkpoint folder instead of being recomputed from the sources.
+        return cut_lineage(c)
+
+    @cached_property
+    def arms(self) -> tuple[DataFrame, DataFrame]:
+        from ..operators import cohort as C
+        from ..vocab import IMIDS
+        return C.split_arms(self.study_cohort, IMIDS)
+
+    def comparisons_long(self, cohort: DataFrame | None = None) -> DataFrame:
+        """Treated rows once per comparison they belong to ('IMID' = any of the
+        diseases, plus each disease flagged), control rows once per comparison;
+        ``IMID_status`` labels the arm."""
+        from ..operators import cohort as C
+        from ..vocab import IMIDS
+        if cohort is None:
+            treated, controls = self.arms
+        else:
+            treated, controls = C.split_arms(cohort, IMIDS)
+        tl = treated.withColumn("comparison", F.explode(F.filter(F.array(
+            F.lit("IMID"), *[F.when(F.col(d) == 1, F.lit(d)) for d in IMIDS]), lambda x: x.isNotNull())))
+        cl = controls.withColumn("comparison", F.explode(F.array(
+            F.lit("IMID"), *[F.lit(d) for d in IMIDS])))
+        return cl.withColumn("IMID_status", F.lit(0)).unionByName(tl.withColumn("IMID_status", F.lit(1)))
+
+    @property
+    def select_columns(self) -> list[str]:
+        from ..vocab import MATCH_BASE_COLUMNS
+        return MATCH_BASE_COLUMNS + self.COMORBIDITIES
+
+    def features(self, long: DataFrame, sensitivity: bool = False, extra: list[str] | None = None):
+        from ..operators.features import psm_features
+        from ..vocab import MATCH_BASE_COLUMNS
+        cols = MATCH_BASE_COLUMNS if sensitivity else self.select_columns
+        key = self.KEY + (extra or [])
+        return psm_features(long, cols, proxy.PROXY_YEARS, key, arm=["comparison", "IMID_status"])
+
+    def matched(self, score: str = "px_score", long: DataFrame | None = None) -> DataFrame:
+        """PS3 per comparison on a fixed score column."""
+        from ..operators.matching import propensity_score_matching
+        long = self.comparisons_long() if long is None else long
+        return propensity_score_matching(long.select("comparison", "IMID_status", *self.KEY, score),
+                                         "IMID_status", score, self.KEY, group=["comparison"])
+
+    def outcome_table(self, analysis: str) -> DataFrame:
+        """Risk table per comparison and outcome for one analysis:
+        'adjusted' (matched controls, fixed score), 'sensitivity' (matched on
+        the sensitivity score), 'unadjusted' (all controls)."""
+        from ..operators import cohort as C
+        from ..operators import outcomes as O
+        cohort_c = C.dedup_pregnancy(self.study_cohort)
+        long_c = self.comparisons_long(cohort_c)
+        treated_counts = O.outcome_counts(long_c.filter(F.col("IMID_status") == 1), ["comparison"])
+        if analysis == "unadjusted":
+            control_counts = O.outcome_counts(long_c.filter(F.col("IMID_status") == 0), ["comparison"])
+        else:
+            score = "px_score" if analysis == "adjusted" else "px_score_sa"
+            m = self.matched(score)
+            mc = m.filter(F.col("IMID_status") == 0).select("comparison", *self.KEY)
+            _, controls = self.arms
+            # Matched control keys (repeats kept) joined back to the control rows
+            rows = C.match_back(
+                controls.select(*self.KEY, "preterm_category", "LBW", "SGA", "delivery_method"),
+                mc, self.KEY, extra=["comparison"])
+            control_counts = O.outcome_counts(rows, ["comparison"])
+        long = O.outcome_long(treated_counts, control_counts, ["comparison"])
+        return O.risk_table(long, ["comparison"]).withColumn("analysis", F.lit(analysis))

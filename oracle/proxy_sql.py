@@ -413,3 +413,306 @@ SELECT pat_id, instance, lmp, gestational_days,
   {_PIVOT}
 FROM e_rows GROUP BY pat_id, instance, lmp, gestational_days""", ["e_rows"])
 EXPOSURE_FLAG_COLS = [f"{m}_{st}" for m in PROXY_MEDS for st in _STATUSES]
+
+# ------------------------------------------------------------------ geography
+BG = "PATIENT_ADDR_CENSUS_BLOCKGROUP_DERIVED"
+GEO_SQL = {
+    "ruca2010revised": (
+        f"CASE WHEN PATIENT_STATE_CD = 'CA' THEN substring({BG}, 2, length({BG}) - 2) "
+        f"ELSE substring({BG}, 1, length({BG}) - 1) END",
+        "SELECT CAST(State_County_Tract_FIPS_Code AS VARCHAR) AS gk, "
+        "CAST(SecondaryRUCACode2010 AS DOUBLE) AS value FROM geo_ruca2010revised"),
+    "svi2018_us": (f"substring({BG}, 1, length({BG}) - 1)",
+                   "SELECT FIPS AS gk, CAST(RPL_THEMES AS DOUBLE) AS value FROM geo_svi2018_us"),
+    "countytypologycodes2015": (
+        f"CASE WHEN PATIENT_STATE_CD = 'CA' THEN substring({BG}, 2, 4) ELSE substring({BG}, 1, 5) END",
+        "SELECT CAST(FIPStxt AS VARCHAR) AS gk, CAST(Economic_Type AS DOUBLE) AS value "
+        "FROM geo_countytypologycodes2015"),
+    "urbaninfluencecodes2013": (
+        f"CASE WHEN PATIENT_STATE_CD = 'CA' THEN substring({BG}, 2, 4) ELSE substring({BG}, 1, 5) END",
+        "SELECT CAST(FIPStxt AS VARCHAR) AS gk, CAST(UIC_2013 AS DOUBLE) AS value "
+        "FROM geo_urbaninfluencecodes2013"),
+    "svi2018_us_county": (f"substring({BG}, 1, 5)",
+                          "SELECT CAST(FIPS AS VARCHAR) AS gk, CAST(RPL_THEMES_COUNTY AS DOUBLE) AS value "
+                          "FROM geo_svi2018_us_county"),
+    "ruralurbancontinuumcodes2013": (f"substring({BG}, 1, 5)",
+                                     "SELECT CAST(FIPS AS VARCHAR) AS gk, CAST(RUCC_2013 AS DOUBLE) AS value "
+                                     "FROM geo_ruralurbancontinuumcodes2013"),
+    "farcodeszip2010": ("substring(ZIP, 1, 5)",
+                        "SELECT CAST(ZIP AS VARCHAR) AS gk, CAST(FAR_LEVEL1 AS DOUBLE) AS value "
+                        "FROM geo_farcodeszip2010"),
+}
+for _n, (_pk, _g) in GEO_SQL.items():
+    cte(f"pg_{_n}", f"""
+SELECT p.pat_id, p.instance, p.gk AS geo_key, g.value, '{_n}' AS geo_table
+FROM (SELECT *, {_pk} AS gk FROM px_patient) p JOIN ({_g}) g ON p.gk = g.gk""",
+        ["px_patient", f"geo_{_n}"])
+
+RUCA_CAT = """CASE WHEN isnan({c}) THEN NULL WHEN {c} < 4 THEN 'Metropolitan'
+  WHEN {c} < 7 THEN 'Micropolitan' WHEN {c} < 10 THEN 'SmallTown' WHEN {c} < 99 THEN 'Rural'
+  WHEN {c} = 99 THEN 'NotCoded' END"""
+RUCA_CODE = """CASE {c} WHEN 'Rural' THEN 0 WHEN 'SmallTown' THEN 1 WHEN 'Micropolitan' THEN 2
+  WHEN 'Metropolitan' THEN 3 ELSE -1 END"""
+SVI_CLEAN = "CASE WHEN CAST({c} AS FLOAT) < 0 THEN NULL ELSE CAST({c} AS FLOAT) END"
+
+# ------------------------------------------------------------------ encoders
+RACE_FMT = """CASE WHEN {r} IS NULL THEN 'Unknown' WHEN len({r}) > 1 THEN 'Multiracial'
+  WHEN len({r}) = 0 THEN 'Unknown' WHEN {r}[1] = 'White' THEN 'White or Caucasian'
+  WHEN {r}[1] IN ('Declined', 'Patient Refused', 'Unable to Determine') THEN 'Unknown'
+  ELSE {r}[1] END"""
+RACE_CONS = """list_sort(list_distinct(list_filter(
+  list_transform({r}, lambda x: CASE WHEN x = 'White' THEN 'White or Caucasian' ELSE x END),
+  lambda x: x IS NULL OR x NOT IN ('Patient Refused', 'Unable to Determine', 'Declined', 'Unknown'))))"""
+ETH_FMT = """CASE WHEN {e} IS NULL THEN 'Unknown'
+  WHEN {e} IN ('American', 'Samoan', 'Filipino', 'Hmong', 'Sudanese') THEN 'Not Hispanic or Latino'
+  WHEN {e} IN ('Patient Refused', 'None') THEN 'Unknown' ELSE {e} END"""
+PARITY = """CASE WHEN {p} IS NULL THEN 0 WHEN {p} IN (0, 1) THEN 0 WHEN {p} > 1 AND {p} < 5 THEN 1
+  WHEN {p} >= 5 THEN 2 ELSE 0 END"""
+GRAVIDITY = """CASE WHEN {g} IS NULL THEN 0 WHEN {g} IN (0, 1) THEN 0 WHEN {g} > 1 AND {g} < 6 THEN 1
+  WHEN {g} >= 6 THEN 2 ELSE 0 END"""
+PRETERM = """CASE WHEN {h} IS NULL THEN 0 WHEN {h} = 0 OR ({h} = 1 AND {ga} < 259) THEN 0 ELSE 1 END"""
+BMI = """CASE WHEN {b} IS NULL OR isnan({b}) THEN -1
+  WHEN trunc({b}) >= 15 AND trunc({b}) < 18.5 THEN 0 WHEN trunc({b}) < 25 THEN 1
+  WHEN trunc({b}) < 30 THEN 2 WHEN trunc({b}) < 35 THEN 3 WHEN trunc({b}) < 40 THEN 4 ELSE -1 END"""
+AGE = """CASE WHEN {a} < 25 THEN 0 WHEN {a} < 30 THEN 1 WHEN {a} < 35 THEN 2 WHEN {a} < 40 THEN 3
+  WHEN {a} < 45 THEN 4 ELSE -1 END"""
+ETH_CODE = "CASE {e} WHEN 'Hispanic_Latino' THEN 1 WHEN 'Not_Hispanic_Latino' THEN 0 ELSE -1 END"
+SEX_CODE = "CASE {s} WHEN 'Male' THEN 1 WHEN 'Female' THEN 0 ELSE -1 END"
+PSIG = """CASE WHEN {p} IS NULL THEN NULL WHEN isnan({p}) THEN '****' WHEN {p} > 0.1 THEN 'ns'
+  WHEN {p} > 0.05 THEN '+' WHEN {p} > 0.01 THEN '*' WHEN {p} > 0.001 THEN '**'
+  WHEN {p} > 0.0001 THEN '***' ELSE '****' END"""
+
+# ------------------------------------------------------------------ matching stage
+from cohortlab.sources.proxy import PROXY_MIN_DELIVERY_YEAR, PROXY_YEARS  # noqa: E402
+
+_RF_COLS = ", ".join(f"f.{f}" for f in PROXY_RISK_FACTORS)
+cte("s_cohort", f"""
+SELECT c.*, {_RF_COLS},
+  {SVI_CLEAN.format(c='sv.RPL_THEMES')} AS RPL_THEMES,
+  {SVI_CLEAN.format(c='sv.RPL_THEME1')} AS RPL_THEME1,
+  {SVI_CLEAN.format(c='sv.RPL_THEME2')} AS RPL_THEME2,
+  {SVI_CLEAN.format(c='sv.RPL_THEME3')} AS RPL_THEME3,
+  {SVI_CLEAN.format(c='sv.RPL_THEME4')} AS RPL_THEME4,
+  ru.value AS SecondaryRUCACode2010,
+  {RUCA_CAT.format(c='ru.value')} AS ruca_categorization
+FROM px_cohort c
+JOIN r_flags f ON c.episode_id = f.episode_id AND c.pat_id = f.pat_id
+LEFT JOIN (SELECT p.pat_id, p.instance, g.* FROM
+    (SELECT *, substring({BG}, 1, length({BG}) - 1) AS gk FROM px_patient) p
+    JOIN geo_svi2018_us g ON p.gk = g.FIPS) sv ON c.pat_id = sv.pat_id AND c.instance = sv.instance
+LEFT JOIN pg_ruca2010revised ru ON c.pat_id = ru.pat_id AND c.instance = ru.instance
+WHERE c.delivery_year > {PROXY_MIN_DELIVERY_YEAR}""",
+    ["px_cohort", "r_flags", "px_patient", "geo_svi2018_us", "pg_ruca2010revised"])
+
+_ANY_IMID_S = " OR ".join(f"{i} = 1" for i in IMIDS)
+
+
+def arms_sql(src: str, prefix: str) -> None:
+    cte(f"{prefix}_treated", f"SELECT * FROM {src} WHERE {_ANY_IMID_S}", [src])
+    cte(f"{prefix}_controls", f"""
+SELECT * FROM {src} b WHERE NOT EXISTS (SELECT 1 FROM {prefix}_treated t
+  WHERE t.pat_id = b.pat_id AND t.instance = b.instance)""", [src, f"{prefix}_treated"])
+    comps = "(VALUES ('IMID'), " + ", ".join(f"('{i}')" for i in IMIDS) + ") cc(comparison)"
+    per = "\n".join(f"UNION ALL SELECT '{i}' AS comparison, 1 AS IMID_status, * FROM {prefix}_treated "
+                    f"WHERE {i} = 1" for i in IMIDS)
+    cte(f"{prefix}_long", f"""
+SELECT 'IMID' AS comparison, 1 AS IMID_status, * FROM {prefix}_treated
+{per}
+UNION ALL SELECT cc.comparison, 0 AS IMID_status, s.* FROM {prefix}_controls s, {comps}""",
+        [f"{prefix}_treated", f"{prefix}_controls"])
+
+
+arms_sql("s_cohort", "s")
+
+_DEDUP_KEY = "pat_id, instance, lmp, gestational_days, ob_hx_infant_sex"
+cte("c_cohort", f"""
+SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY {_DEDUP_KEY}
+  ORDER BY episode_id) AS rn FROM s_cohort) WHERE rn = 1""", ["s_cohort"])
+arms_sql("c_cohort", "c")
+
+
+def match_sql(name: str, long: str, score: str, where: str = "TRUE") -> None:
+    """Brute-force 1-NN per comparison: every (query, pool) pair of the same
+    comparison ranked by distance, then score, then key."""
+    cte(f"{name}_in", f"SELECT comparison, IMID_status, pat_id, instance, episode_id, "
+                      f"{score} AS score FROM {long} WHERE {where} AND {score} IS NOT NULL", [long])
+    cte(f"{name}_dir", f"""
+SELECT comparison, SUM(CASE WHEN IMID_status = 0 THEN 1 ELSE 0 END)
+                 > SUM(CASE WHEN IMID_status = 1 THEN 1 ELSE 0 END) AS tq
+FROM {name}_in GROUP BY comparison""", [f"{name}_in"])
+    cte(f"{name}_pairs", f"""
+SELECT * FROM (
+  SELECT q.comparison, q.IMID_status, q.pat_id, q.instance, q.episode_id, q.score,
+    p.pat_id AS m_pat_id, p.instance AS m_instance, p.episode_id AS m_episode_id, p.score AS m_score,
+    row_number() OVER (PARTITION BY q.comparison, q.pat_id, q.instance, q.episode_id
+                       ORDER BY abs(q.score - p.score), p.score, p.pat_id, p.instance, p.episode_id) AS rn
+  FROM {name}_in q JOIN {name}_dir d ON q.comparison = d.comparison
+  JOIN {name}_in p ON p.comparison = q.comparison
+  WHERE (q.IMID_status = 1) = d.tq AND (p.IMID_status = 1) <> d.tq) WHERE rn = 1""",
+        [f"{name}_in", f"{name}_dir"])
+    cte(name, f"""
+SELECT comparison, episode_id AS match_id, IMID_status, pat_id, instance, episode_id, score
+FROM {name}_pairs
+UNION ALL
+SELECT comparison, episode_id AS match_id, 1 - IMID_status AS IMID_status, m_pat_id AS pat_id,
+  m_instance AS instance, m_episode_id AS episode_id, m_score AS score
+FROM {name}_pairs""", [f"{name}_pairs"])
+
+
+match_sql("m_all", "s_long", "px_score")
+match_sql("m_all_sa", "s_long", "px_score_sa")
+match_sql("m_imid", "s_long", "px_score", "comparison = 'IMID'")
+match_sql("m_rev", "s_long", "px_score",
+          "comparison = 'IMID' AND (IMID_status = 1 OR episode_id % 20 = 0)")
+
+# ------------------------------------------------------------------ features
+_YEAR_COLS = ", ".join(f"CASE WHEN delivery_year = {y} THEN 1 ELSE 0 END AS year_{y}" for y in PROXY_YEARS)
+_RFS = ", ".join(PROXY_RISK_FACTORS)
+
+
+def features_sql(name: str, long: str, sensitivity: bool) -> None:
+    rf = "" if sensitivity else f"{_RFS},"
+    cte(f"{name}_enc", f"""
+SELECT comparison, IMID_status, pat_id, instance, episode_id,
+  {BMI.format(b='pregravid_bmi')} AS pregravid_bmi,
+  {AGE.format(a='age_at_start_dt')} AS age_at_start_dt,
+  {ETH_CODE.format(e='ethnic_group')} AS ethnic_group,
+  {SEX_CODE.format(s='ob_hx_infant_sex')} AS ob_hx_infant_sex,
+  {PARITY.format(p='Parity')} AS Parity,
+  {GRAVIDITY.format(g='Gravidity')} AS Gravidity,
+  {PRETERM.format(h='Preterm_history', ga='gestational_days')} AS Preterm_history,
+  COALESCE(illegal_drug_user, -1) AS illegal_drug_user, COALESCE(smoker, -1) AS smoker,
+  RPL_THEME1, RPL_THEME2, RPL_THEME3, RPL_THEME4,
+  {RUCA_CODE.format(c='ruca_categorization')} AS ruca_categorization,
+  {rf}
+  {_YEAR_COLS},
+  CASE WHEN race_f = 'White or Caucasian' THEN 1 ELSE 0 END AS race_white,
+  CASE WHEN race_f = 'Asian' THEN 1 ELSE 0 END AS race_asian,
+  CASE WHEN race_f = 'Black or African American' THEN 1 ELSE 0 END AS race_black,
+  CASE WHEN race_f = 'Other' THEN 1 ELSE 0 END AS race_other,
+  CASE WHEN insurance = 'Commercial' THEN 1 ELSE 0 END AS commercial_insurance
+FROM (SELECT *, {RACE_FMT.format(r='race')} AS race_f FROM {long})""", [long])
+    cte(f"{name}_med", f"""
+SELECT comparison, IMID_status,
+  median(CAST(RPL_THEME1 AS DOUBLE)) AS m1, median(CAST(RPL_THEME2 AS DOUBLE)) AS m2,
+  median(CAST(RPL_THEME3 AS DOUBLE)) AS m3, median(CAST(RPL_THEME4 AS DOUBLE)) AS m4
+FROM {name}_enc GROUP BY comparison, IMID_status""", [f"{name}_enc"])
+    cte(name, f"""
+SELECT e.* EXCLUDE (RPL_THEME1, RPL_THEME2, RPL_THEME3, RPL_THEME4),
+  COALESCE(CAST(e.RPL_THEME1 AS DOUBLE), m.m1, -1.0) AS RPL_THEME1,
+  COALESCE(CAST(e.RPL_THEME2 AS DOUBLE), m.m2, -1.0) AS RPL_THEME2,
+  COALESCE(CAST(e.RPL_THEME3 AS DOUBLE), m.m3, -1.0) AS RPL_THEME3,
+  COALESCE(CAST(e.RPL_THEME4 AS DOUBLE), m.m4, -1.0) AS RPL_THEME4
+FROM {name}_enc e JOIN {name}_med m ON e.comparison = m.comparison AND e.IMID_status = m.IMID_status""",
+        [f"{name}_enc", f"{name}_med"])
+
+
+features_sql("f_all", "s_long", False)
+FEATURE_COLS = (["pregravid_bmi", "age_at_start_dt", "ethnic_group", "ob_hx_infant_sex", "Parity",
+                 "Gravidity", "Preterm_history", "illegal_drug_user", "smoker", "RPL_THEME1",
+                 "RPL_THEME2", "RPL_THEME3", "RPL_THEME4", "ruca_categorization"]
+                + PROXY_RISK_FACTORS + [f"year_{y}" for y in PROXY_YEARS]
+                + ["race_white", "race_asian", "race_black", "race_other", "commercial_insurance"])
+
+
+def cohen_sql(src: str) -> str:
+    casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in FEATURE_COLS)
+    cols = ", ".join(FEATURE_COLS)
+    return f"""
+SELECT comparison, variable,
+  (avg(value) FILTER (WHERE IMID_status = 1) - avg(value) FILTER (WHERE IMID_status = 0))
+  / NULLIF(sqrt(((count(value) FILTER (WHERE IMID_status = 1) - 1) * var_samp(value) FILTER (WHERE IMID_status = 1)
+     + (count(value) FILTER (WHERE IMID_status = 0) - 1) * var_samp(value) FILTER (WHERE IMID_status = 0))
+     / NULLIF(CAST(count(value) - 2 AS DOUBLE), 0)), 0) AS effect_size
+FROM (UNPIVOT (SELECT comparison, IMID_status, {casts} FROM {src}) ON {cols}
+      INTO NAME variable VALUE value)
+GROUP BY comparison, variable"""
+
+
+cte("f_matched", """
+SELECT m.comparison, m.IMID_status, f.* EXCLUDE (comparison, IMID_status)
+FROM m_all m JOIN f_all f ON m.comparison = f.comparison AND m.pat_id = f.pat_id
+  AND m.instance = f.instance AND m.episode_id = f.episode_id AND f.IMID_status = m.IMID_status""",
+    ["m_all", "f_all"])
+cte("es_before", cohen_sql("f_all"), ["f_all"])
+cte("es_after", cohen_sql("f_matched"), ["f_matched"])
+
+# ------------------------------------------------------------------ outcomes
+OUTCOME_AGGS = """count(*) AS n,
+  CAST(SUM(CASE WHEN preterm_category = 'preterm' THEN 1 ELSE 0 END) AS BIGINT) AS ptb,
+  CAST(SUM(CASE WHEN LBW = 'LBW' THEN 1 ELSE 0 END) AS BIGINT) AS lbw,
+  CAST(SUM(CASE WHEN SGA = 'SGA' THEN 1 ELSE 0 END) AS BIGINT) AS sga,
+  CAST(SUM(CASE WHEN delivery_method = 'c-section' THEN 1 ELSE 0 END) AS BIGINT) AS csec"""
+
+
+def counts_long_sql(treated: str, controls: str) -> str:
+    """One row per (comparison, outcome) with a, n1, c, n0."""
+    return f"""
+SELECT t.comparison, o.outcome,
+  CASE o.outcome WHEN 'ptb' THEN t.ptb WHEN 'lbw' THEN t.lbw WHEN 'sga' THEN t.sga ELSE t.csec END AS a,
+  t.n AS n1,
+  CASE o.outcome WHEN 'ptb' THEN c.ptb WHEN 'lbw' THEN c.lbw WHEN 'sga' THEN c.sga ELSE c.csec END AS c,
+  c.n AS n0
+FROM (SELECT comparison, {OUTCOME_AGGS} FROM {treated} GROUP BY comparison) t
+JOIN (SELECT comparison, {OUTCOME_AGGS} FROM {controls} GROUP BY comparison) c ON t.comparison = c.comparison,
+  (VALUES ('ptb'), ('lbw'), ('sga'), ('csec')) o(outcome)"""
+
+
+import math as _math  # noqa: E402
+
+_LOG_TOL = repr(_math.log1p(1e-7))
+_Z = "1.959963984540054"
+
+
+def _lnc(n: str, k: str) -> str:
+    return f"(lgamma(({n}) + 1) - lgamma(({k}) + 1) - lgamma(({n}) - ({k}) + 1))"
+
+
+def risk_sql(name: str, long: str) -> None:
+    rr = "(CASE WHEN c = 0 OR n1 = 0 OR n0 = 0 THEN NULL ELSE (CAST(a AS DOUBLE) / n1) / (CAST(c AS DOUBLE) / n0) END)"
+    se = "sqrt(1.0 / a - 1.0 / n1 + 1.0 / c - 1.0 / n0)"
+    cte(f"{name}_ci", f"""
+SELECT comparison, outcome, a, n1, c, n0, {rr} AS rr,
+  CASE WHEN a = 0 AND c > 0 THEN 0.0 WHEN a > 0 AND c > 0 THEN {rr} * exp(-{_Z} * {se}) END AS lower,
+  CASE WHEN a > 0 AND c > 0 THEN {rr} * exp({_Z} * {se}) END AS upper
+FROM {long}""", [long])
+    lp = (f"{_lnc('K', 'x')} + {_lnc('N - K', 'n1 - x')} - {_lnc('N', 'n1')}")
+    lp_obs = (f"{_lnc('K', 'a')} + {_lnc('N - K', 'n1 - a')} - {_lnc('N', 'n1')}")
+    cte(f"{name}_fisher", f"""
+SELECT comparison, outcome,
+  least(1.0, SUM(CASE WHEN lp <= lp_obs + {_LOG_TOL} THEN exp(lp) ELSE 0.0 END)) AS p_value
+FROM (SELECT comparison, outcome, {lp} AS lp, {lp_obs} AS lp_obs FROM (
+  SELECT *, unnest(generate_series(greatest(0, n1 - (N - K)), least(K, n1))) AS x
+  FROM (SELECT *, n1 + n0 AS N, a + c AS K FROM {long})))
+GROUP BY comparison, outcome""", [long])
+    cte(name, f"""
+SELECT r.comparison, r.outcome, r.a, r.n1, r.c, r.n0,
+  (round(r.rr, 2) + 0.0) AS rr, (round(r.lower, 2) + 0.0) AS lower, (round(r.upper, 2) + 0.0) AS upper,
+  {PSIG.format(p='f.p_value')} AS pval,
+  (round(r.rr, 6) + 0.0) AS rr_raw, (round(r.lower, 6) + 0.0) AS lower_raw, (round(r.upper, 6) + 0.0) AS upper_raw,
+  (round(f.p_value, 6) + 0.0) AS p_value
+FROM {name}_ci r JOIN {name}_fisher f ON r.comparison = f.comparison AND r.outcome = f.outcome""",
+        [f"{name}_ci", f"{name}_fisher"])
+
+
+cte("o_unadj_long", counts_long_sql("(SELECT * FROM s_long WHERE IMID_status = 1)",
+                                    "(SELECT * FROM s_long WHERE IMID_status = 0)"), ["s_long"])
+risk_sql("o_unadj_s", "o_unadj_long")
+
+cte("oc_unadj_long", counts_long_sql("(SELECT * FROM c_long WHERE IMID_status = 1)",
+                                     "(SELECT * FROM c_long WHERE IMID_status = 0)"), ["c_long"])
+risk_sql("o_unadjusted", "oc_unadj_long")
+
+
+def matched_controls_sql(m: str) -> str:
+    return f"""(SELECT m.comparison, s.* FROM {m} m
+  JOIN (SELECT * FROM s_controls) s ON m.pat_id = s.pat_id AND m.instance = s.instance
+  AND m.episode_id = s.episode_id WHERE m.IMID_status = 0)"""
+
+
+cte("oc_adj_long", counts_long_sql("(SELECT * FROM c_long WHERE IMID_status = 1)",
+                                   matched_controls_sql("m_all")), ["c_long", "m_all", "s_controls"])
+risk_sql("o_adjusted", "oc_adj_long")
+cte("oc_sa_long", counts_long_sql("(SELECT * FROM c_long WHERE IMID_status = 1)",
+                                  matched_controls_sql("m_all_sa")), ["c_long", "m_all_sa", "s_controls"])
+risk_sql("o_sensitivity", "oc_sa_long")

@@ -94,3 +94,161 @@ oracle("cohort_with_exposure", "SELECT c.pat_id, c.instance, c.episode_id, c.lmp
        + ", ".join(f"COALESCE(p.{x}, 0) AS {x}" for x in EXPOSURE_FLAG_COLS) + """
 FROM px_cohort c LEFT JOIN e_pivot p ON c.pat_id = p.pat_id AND c.instance = p.instance
   AND c.lmp = p.lmp AND c.gestational_days = p.gestational_days""", ["px_cohort", "e_pivot"])
+
+# ------------------------------------------------------------------ cohort and arms
+from cohortlab.sources.proxy import PROXY_MIN_DELIVERY_YEAR, PROXY_YEARS  # noqa: E402
+from cohortlab.vocab import DELIVERY_CSECTION, DELIVERY_VAGINAL, IMIDS  # noqa: E402
+
+from . import proxy_sql as P  # noqa: E402
+
+_KEY = "pat_id, instance, episode_id"
+_ANY = " OR ".join(f"{i} = 1" for i in IMIDS)
+P.cte("pp_treated", f"SELECT * FROM px_pregnancy WHERE {_ANY}", ["px_pregnancy"])
+P.cte("pp_controls", """
+SELECT * FROM px_pregnancy b WHERE NOT EXISTS (SELECT 1 FROM pp_treated t
+  WHERE t.pat_id = b.pat_id AND t.instance = b.instance)""", ["px_pregnancy", "pp_treated"])
+
+oracle("filter_delivery_year", f"SELECT {_KEY}, delivery_year FROM px_pregnancy "
+       f"WHERE delivery_year > {PROXY_MIN_DELIVERY_YEAR}", ["px_pregnancy"])
+oracle("control_anti_join", f"SELECT {_KEY}, lmp FROM pp_controls", ["pp_controls"])
+oracle("subcohort_by_flag", "\nUNION ALL ".join(
+    f"SELECT {_KEY}, '{i}' AS comparison FROM px_pregnancy WHERE {i} = 1" for i in IMIDS),
+    ["px_pregnancy"])
+oracle("align_columns_union", f"""
+SELECT {_KEY}, px_score, ibd FROM pp_controls
+UNION ALL SELECT {_KEY}, px_score, ibd FROM pp_treated""", ["pp_controls", "pp_treated"])
+oracle("arm_union", f"""
+SELECT {_KEY}, px_score, CAST(NULL AS INTEGER) AS ibd, 0 AS IMID_status FROM pp_controls
+UNION ALL SELECT {_KEY}, px_score, ibd, 1 AS IMID_status FROM pp_treated""",
+       ["pp_controls", "pp_treated"])
+oracle("cohort_counts", "SELECT count(DISTINCT pat_id) AS n_patients, count(*) AS n_rows "
+       "FROM px_pregnancy", ["px_pregnancy"])
+oracle("dedup_pregnancy_key", """
+SELECT pat_id, instance, lmp, gestational_days, ob_hx_infant_sex, episode_id, px_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY pat_id, instance, lmp, gestational_days, ob_hx_infant_sex
+                               ORDER BY episode_id) AS rn FROM px_pregnancy) WHERE rn = 1""",
+       ["px_pregnancy"])
+oracle("sink_roundtrip", "SELECT * FROM r_flags", ["r_flags"])
+
+# ------------------------------------------------------------------ geography
+oracle("geo_ruca", "SELECT * FROM pg_ruca2010revised", ["pg_ruca2010revised"])
+oracle("geo_svi_tract", "SELECT * FROM pg_svi2018_us", ["pg_svi2018_us"])
+oracle("geo_county_fips4", "SELECT * FROM pg_countytypologycodes2015 UNION ALL "
+       "SELECT * FROM pg_urbaninfluencecodes2013",
+       ["pg_countytypologycodes2015", "pg_urbaninfluencecodes2013"])
+oracle("geo_county_fips5", "SELECT * FROM pg_svi2018_us_county UNION ALL "
+       "SELECT * FROM pg_ruralurbancontinuumcodes2013",
+       ["pg_svi2018_us_county", "pg_ruralurbancontinuumcodes2013"])
+oracle("geo_zip_far", "SELECT * FROM pg_farcodeszip2010", ["pg_farcodeszip2010"])
+oracle("geo_features", f"""
+SELECT c.pat_id, c.instance, c.episode_id, g.value AS SecondaryRUCACode2010
+FROM px_pregnancy c LEFT JOIN pg_ruca2010revised g ON c.pat_id = g.pat_id AND c.instance = g.instance""",
+       ["px_pregnancy", "pg_ruca2010revised"])
+oracle("categorize_ruca", f"""
+SELECT State_County_Tract_FIPS_Code, SecondaryRUCACode2010,
+  {P.RUCA_CAT.format(c='SecondaryRUCACode2010')} AS ruca_categorization
+FROM geo_ruca2010revised""", ["geo_ruca2010revised"])
+oracle("encode_ruca", f"""
+SELECT State_County_Tract_FIPS_Code,
+  {P.RUCA_CODE.format(c='(' + P.RUCA_CAT.format(c='SecondaryRUCACode2010') + ')')} AS ruca_code
+FROM geo_ruca2010revised""", ["geo_ruca2010revised"])
+oracle("svi_clean_sentinel", "SELECT FIPS, " + ", ".join(
+    f"(round(CAST({P.SVI_CLEAN.format(c=c)} AS DOUBLE), 6) + 0.0) AS {c}"
+    for c in ["RPL_THEMES", "RPL_THEME1", "RPL_THEME2", "RPL_THEME3", "RPL_THEME4"])
+    + " FROM geo_svi2018_us", ["geo_svi2018_us"])
+
+# ------------------------------------------------------------------ encoders
+_RIN = "COALESCE(array_to_string(race, '|'), '') AS race_in"
+oracle("encode_race", f"SELECT episode_id, {_RIN}, {P.RACE_FMT.format(r='race')} AS race_fmt "
+       "FROM px_pregnancy", ["px_pregnancy"])
+oracle("race_consolidate", f"SELECT episode_id, {_RIN}, "
+       f"COALESCE(array_to_string({P.RACE_CONS.format(r='race')}, '|'), '') AS race_list "
+       "FROM px_pregnancy", ["px_pregnancy"])
+oracle("race_multiracial", f"""
+SELECT episode_id, race_in, CASE WHEN race IS NULL THEN 'Unknown' WHEN len(c) = 1 THEN c[1]
+  WHEN list_contains(c, 'Other') AND len(list_filter(c, lambda x: x <> 'Other')) = 1
+    THEN list_filter(c, lambda x: x <> 'Other')[1]
+  ELSE 'Multiracial' END AS race_fmt
+FROM (SELECT episode_id, race, {_RIN}, {P.RACE_CONS.format(r='race')} AS c FROM px_pregnancy)""",
+       ["px_pregnancy"])
+oracle("ethnic_group_fmt", f"SELECT episode_id, ethnic_group, {P.ETH_FMT.format(e='ethnic_group')} "
+       "AS ethnic_fmt FROM px_pregnancy", ["px_pregnancy"])
+oracle("encode_parity", f"SELECT episode_id, Parity, {P.PARITY.format(p='Parity')} AS parity_code "
+       "FROM px_pregnancy", ["px_pregnancy"])
+oracle("encode_gravidity", f"SELECT episode_id, Gravidity, {P.GRAVIDITY.format(g='Gravidity')} "
+       "AS gravidity_code FROM px_pregnancy", ["px_pregnancy"])
+oracle("encode_preterm_history", f"SELECT episode_id, Preterm_history, gestational_days, "
+       f"{P.PRETERM.format(h='Preterm_history', ga='gestational_days')} AS preterm_history_code "
+       "FROM px_pregnancy", ["px_pregnancy"])
+oracle("encode_bmi", f"SELECT episode_id, pregravid_bmi, {P.BMI.format(b='pregravid_bmi')} AS bmi_code "
+       "FROM px_pregnancy", ["px_pregnancy"])
+oracle("encode_age", f"SELECT episode_id, age_at_start_dt, {P.AGE.format(a='age_at_start_dt')} "
+       "AS age_code FROM px_pregnancy", ["px_pregnancy"])
+oracle("pval_signal", f"SELECT episode_id, (round(px_score, 6) + 0.0) AS p, {P.PSIG.format(p='px_score')} "
+       "AS signal FROM px_pregnancy", ["px_pregnancy"])
+_LABELS = DELIVERY_VAGINAL + DELIVERY_CSECTION + ["Unknown"]
+_LIST = "[" + ", ".join(repr(x) for x in _LABELS) + "]"
+oracle("encode_delivery_method", f"""
+SELECT episode_id, delivery_label,
+  CASE WHEN delivery_label IN ({", ".join(repr(x) for x in DELIVERY_VAGINAL)}) THEN 0
+       WHEN delivery_label IN ({", ".join(repr(x) for x in DELIVERY_CSECTION)}) THEN 1 ELSE -1 END
+  AS delivery_code
+FROM (SELECT episode_id, list_element({_LIST}, CAST(episode_id % {len(_LABELS) + 1} + 1 AS INTEGER))
+        AS delivery_label FROM px_pregnancy)""", ["px_pregnancy"])
+oracle("year_one_hot", "SELECT episode_id, delivery_year, " + ", ".join(
+    f"CASE WHEN delivery_year = {y} THEN 1 ELSE 0 END AS year_{y}" for y in PROXY_YEARS)
+    + " FROM px_pregnancy", ["px_pregnancy"])
+
+# ------------------------------------------------------------------ imputation, features
+_SVI4 = ["RPL_THEME1", "RPL_THEME2", "RPL_THEME3", "RPL_THEME4"]
+oracle("median_impute_svi", f"""
+SELECT l.pat_id, l.instance, l.episode_id, l.IMID_status, """ + ", ".join(
+    f"(round(COALESCE(CAST(l.{c} AS DOUBLE), m.m_{c}), 6) + 0.0) AS {c}" for c in _SVI4) + f"""
+FROM (SELECT * FROM s_long WHERE comparison = 'IMID') l JOIN (
+  SELECT IMID_status, """ + ", ".join(f"median(CAST({c} AS DOUBLE)) AS m_{c}" for c in _SVI4) + """
+  FROM s_long WHERE comparison = 'IMID' GROUP BY IMID_status) m ON l.IMID_status = m.IMID_status""",
+       ["s_long"])
+_NUM = ["pregravid_bmi", "Parity", "Gravidity", "Preterm_history", "smoker", "illegal_drug_user"]
+oracle("median_impute_all", f"SELECT {_KEY}, " + ", ".join(
+    f"(round(COALESCE(CAST({c} AS DOUBLE), (SELECT median(CAST({c} AS DOUBLE)) FROM px_pregnancy)), 6) + 0.0) AS {c}"
+    for c in _NUM) + " FROM px_pregnancy", ["px_pregnancy"])
+oracle("missingness_report", "SELECT IMID_status, " + ", ".join(
+    f"(round(100.0 * SUM(CASE WHEN {c} IS NULL OR isnan({c}) THEN 0 ELSE 1 END) / count(*), 1) + 0.0) AS pct_{c}"
+    for c in _SVI4 + ["pregravid_bmi"])
+    + " FROM s_long WHERE comparison = 'IMID' GROUP BY IMID_status", ["s_long"])
+oracle("psm_features", "SELECT * EXCLUDE (comparison, RPL_THEME1, RPL_THEME2, RPL_THEME3, RPL_THEME4), "
+       + ", ".join(f"(round({c}, 6) + 0.0) AS {c}" for c in _SVI4)
+       + " FROM f_all WHERE comparison = 'IMID'", ["f_all"])
+
+# ------------------------------------------------------------------ matching, balance
+oracle("psm_match_1nn", "SELECT match_id, IMID_status, pat_id, instance, episode_id, score AS px_score "
+       "FROM m_imid", ["m_imid"])
+oracle("psm_match_reverse", "SELECT match_id, IMID_status, pat_id, instance, episode_id, "
+       "score AS px_score FROM m_rev", ["m_rev"])
+oracle("match_back_join", """
+SELECT s.pat_id, s.instance, s.episode_id, s.lmp, s.preterm_category, s.LBW, s.SGA, s.delivery_method
+FROM s_controls s JOIN (SELECT * FROM m_all WHERE comparison = 'IMID' AND IMID_status = 0) m
+  ON s.pat_id = m.pat_id AND s.instance = m.instance AND s.episode_id = m.episode_id""",
+       ["s_controls", "m_all"])
+oracle("cohen_d", "SELECT variable, (round(effect_size, 6) + 0.0) AS effect_size FROM es_before "
+       "WHERE comparison = 'IMID'", ["es_before"])
+oracle("effect_size_before_after", """
+SELECT comparison, variable, (round(effect_size, 6) + 0.0) AS effect_size, 'before' AS matching
+FROM es_before WHERE comparison = 'IMID'
+UNION ALL SELECT comparison, variable, (round(effect_size, 6) + 0.0) AS effect_size, 'after' AS matching
+FROM es_after WHERE comparison = 'IMID'""", ["es_before", "es_after"])
+oracle("balance_by_comparison", "SELECT comparison, variable, round(effect_size, 2) + 0.0 AS effect_size "
+       "FROM es_after", ["es_after"])
+
+# ------------------------------------------------------------------ outcomes
+oracle("outcome_counts", f"SELECT comparison, IMID_status, {P.OUTCOME_AGGS} FROM s_long "
+       "GROUP BY comparison, IMID_status", ["s_long"])
+oracle("relative_risk_ci", """
+SELECT comparison, outcome, a, n1, c, n0, (round(rr, 6) + 0.0) AS rr, (round(lower, 6) + 0.0) AS lower,
+  (round(upper, 6) + 0.0) AS upper FROM o_unadj_s_ci""", ["o_unadj_s_ci"])
+oracle("fisher_exact_p", "SELECT comparison, outcome, (round(p_value, 6) + 0.0) AS p_value "
+       "FROM o_unadj_s_fisher", ["o_unadj_s_fisher"])
+oracle("outcomes_adjusted", "SELECT *, 'adjusted' AS analysis FROM o_adjusted", ["o_adjusted"])
+oracle("outcomes_unadjusted", "SELECT *, 'unadjusted' AS analysis FROM o_unadjusted", ["o_unadjusted"])
+oracle("outcomes_sensitivity", "SELECT *, 'sensitivity' AS analysis FROM o_sensitivity",
+       ["o_sensitivity"])
