@@ -1,9 +1,9 @@
 """Covariate balance (E1-E3): Cohen's d per covariate, before and after
 matching, for any number of comparisons at once.
 
-The covariates are unpivoted into (variable, value) rows, so one grouped
-aggregate yields mean, sample variance and count per (comparison, variable,
-arm); the effect size is column arithmetic on the two arms' rows.
+One grouped aggregate yields count, mean and sample variance of every
+covariate per (comparison, arm); the effect size is column arithmetic on the
+two arms' rows of that small table.
 """
 
 from __future__ import annotations
@@ -12,29 +12,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _long(df: DataFrame, treatment: str, covariates: list[str], group: list[str]) -> DataFrame:
-    d = df.select(*group, treatment, *[F.col(c).cast("double").alias(c) for c in covariates])
-    return d.unpivot([*group, treatment], covariates, "variable", "value")
-
-
 def cohen_d(df: DataFrame, treatment: str, covariates: list[str],
             group: list[str] | None = None) -> DataFrame:
     """(mean_treated - mean_control) / pooled sample SD, with the pooled
     variance ((n1-1) s1^2 + (n0-1) s0^2) / (n1 + n0 - 2). Undefined values
-    (an empty arm, zero pooled SD) are NULL."""
+    (an empty arm, zero pooled SD) are NULL.
+
+    One grouped aggregate computes count, mean and sample variance of every
+    covariate per (group, arm) in a single pass; only that small result is
+    reshaped to one row per (group, variable)."""
     g = group or []
-    long = _long(df, treatment, covariates, g)
-    st = long.groupBy(*g, "variable").agg(
-        F.avg(F.when(F.col(treatment) == 1, F.col("value"))).alias("m1"),
-        F.avg(F.when(F.col(treatment) == 0, F.col("value"))).alias("m0"),
-        F.var_samp(F.when(F.col(treatment) == 1, F.col("value"))).alias("v1"),
-        F.var_samp(F.when(F.col(treatment) == 0, F.col("value"))).alias("v0"),
-        F.count(F.when(F.col(treatment) == 1, F.col("value"))).alias("n1"),
-        F.count(F.when(F.col(treatment) == 0, F.col("value"))).alias("n0"))
+    aggs = []
+    for i, c in enumerate(covariates):
+        v = F.col(c).cast("double")
+        aggs += [F.count(v).alias(f"n_{i}"), F.avg(v).alias(f"m_{i}"), F.var_samp(v).alias(f"v_{i}")]
+    st = df.groupBy(*g, treatment).agg(*aggs)
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("variable"), F.col(f"n_{i}").alias("n"), F.col(f"m_{i}").alias("m"),
+                 F.col(f"v_{i}").alias("v")) for i, c in enumerate(covariates)])).alias("x")
+    long = st.select(*g, treatment, cells).select(*g, treatment, "x.*")
+    t = long.filter(F.col(treatment) == 1).select(*g, "variable", F.col("n").alias("n1"),
+                                                  F.col("m").alias("m1"), F.col("v").alias("v1"))
+    c0 = long.filter(F.col(treatment) == 0).select(*g, "variable", F.col("n").alias("n0"),
+                                                   F.col("m").alias("m0"), F.col("v").alias("v0"))
+    st2 = t.join(c0, [*g, "variable"], "full_outer")
     pooled = F.try_divide((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0"),
                           (F.col("n1") + F.col("n0") - 2).cast("double"))
     d = F.try_divide(F.col("m1") - F.col("m0"), F.sqrt(pooled))
-    return st.select(*g, "variable", d.alias("effect_size"))
+    return st2.select(*g, "variable", d.alias("effect_size"))
 
 
 def effect_size_before_after(original: DataFrame, matched: DataFrame, treatment: str,
