@@ -47,15 +47,16 @@ def katz_interval(a: Column, n1: Column, c: Column, n0: Column, z: float = Z_975
     return lo, hi
 
 
-def fisher_exact_two_sided(df: DataFrame, id_cols: list[str], a: str, n1: str, c: str, n0: str) -> DataFrame:
+def fisher_exact_two_sided(df: DataFrame, id_cols: list[str], a: str, n1: str, c: str, n0: str,
+                           chunk: int = 50_000) -> DataFrame:
     """O3: two-sided Fisher exact p for each row's 2x2 table
     [[a, n1 - a], [c, n0 - c]]: the sum of hypergeometric probabilities of all
     tables with the same margins that are no more likely than the observed
     one (relative tolerance 1e-7).
 
     Each row expands to its support max(0, n1 - (N - K)) .. min(K, n1), at most
-    min(n1, n0, K, N - K) + 1 rows; expansion is per row, so tables are spread
-    over tasks like any other rows, then summed back by ``id_cols``."""
+    min(n1, n0, K, N - K) + 1 rows, expanded in chunks of ``chunk`` values that
+    are spread over tasks, then summed back by ``id_cols``."""
     N = F.col(n1) + F.col(n0)
     K = F.col(a) + F.col(c)
     lo = F.greatest(F.lit(0), F.col(n1) - (N - K))
@@ -67,8 +68,14 @@ def fisher_exact_two_sided(df: DataFrame, id_cols: list[str], a: str, n1: str, c
     def lpmf(x: Column) -> Column:
         return ln_choose(F.col("_K"), x) + ln_choose(F.col("_N") - F.col("_K"), F.col("_n1") - x) + lp_const
 
+    # Two-level expansion: first one row per chunk of the support, spread over
+    # tasks, then the values of each chunk; no task expands a whole large table.
+    step = F.lit(chunk)
     e = base.withColumn("_lp_obs", lpmf(F.col("_a"))) \
-            .withColumn("_x", F.explode(F.sequence(F.col("_lo"), F.col("_hi"))))
+            .withColumn("_c0", F.explode(F.sequence(F.col("_lo"), F.col("_hi"), step)))
+    e = e.repartition(*id_cols, "_c0")
+    e = e.withColumn("_x", F.explode(F.sequence(F.col("_c0"),
+                                                F.least(F.col("_c0") + step - 1, F.col("_hi")))))
     e = e.withColumn("_lp", lpmf(F.col("_x")))
     keep = F.col("_lp") <= F.col("_lp_obs") + math.log1p(FISHER_REL_TOL)
     p = e.groupBy(*id_cols).agg(F.sum(F.when(keep, F.exp(F.col("_lp"))).otherwise(0.0)).alias("p_value"))

@@ -70,11 +70,12 @@ def active_interval_join(cohort_keys: DataFrame, intervals: DataFrame,
 
 def risk_flag_table(hits: DataFrame, factors: list[str],
                     index_col: str = "decided_index_date") -> DataFrame:
-    """Pivot (key, factor) hits into one 0/1 column per factor (fixed list, so
-    factors with no hits still get a column)."""
-    flags = hits.groupBy("pat_id", "instance", index_col).pivot("risk_factor", factors) \
-                .agg(F.max(F.lit(1)))
-    return flags
+    """One 0/1 column per factor (a fixed list, so factors with no hits still
+    get a column). One grouped aggregate of conditional maxima: it runs with
+    partial aggregation and, after the interval join, needs no new shuffle
+    (the join already clusters rows by (pat_id, instance))."""
+    return hits.groupBy("pat_id", "instance", index_col).agg(
+        *[F.max(F.when(F.col("risk_factor") == f, F.lit(1))).alias(f) for f in factors])
 
 
 def add_risk_factors_active_at_index(cohort: DataFrame, factors: list[str], diag_snomed: DataFrame,

@@ -28,13 +28,34 @@ def problemlist_clean(problemlist: DataFrame) -> DataFrame:
 
 def diagnosis_full_outer(problemlist_c: DataFrame, encdx: DataFrame, dedup: bool = True) -> DataFrame:
     """Problem list FULL OUTER encounter diagnoses on (pat_id, dx_id,
-    instance). The USING form coalesces the keys: left value, else right."""
+    instance); keys are merged (left value, else right), as a USING join does.
+    Rows with a NULL key never match and come through from their own side."""
     enc = encdx.select("pat_id", "instance", "dx_id", "PAT_ENC_CSN_ID", "DIAGNOSISNAME")
-    j = problemlist_c.join(enc, on=KEY, how="full_outer")
+    j = skew_safe_full_outer(problemlist_c, enc, KEY)
     out = j.select(*KEY, "PAT_ENC_CSN_ID", "NOTED_DATE", "RESOLVED_DATE", "DIAGNOSISNAME")
     return out.distinct() if dedup else out
 
 
+def skew_safe_full_outer(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """FULL OUTER JOIN USING ``keys`` written as inner + left-only + right-only.
+
+    Adaptive execution can split a skewed partition of an inner or anti join
+    but not of a full outer join, where one hot key (say a placeholder
+    patient id) would land in a single task. The three joins read the same
+    two key-partitioned shuffles, so the rewrite adds no shuffle."""
+    rcols = [c for c in right.columns if c not in keys]
+    lcols = [c for c in left.columns if c not in keys]
+    both = left.join(right, keys, "inner")
+    left_only = left.join(right.select(*keys), keys, "left_anti")
+    for c in rcols:
+        left_only = left_only.withColumn(c, F.lit(None).cast(right.schema[c].dataType))
+    right_only = right.join(left.select(*keys), keys, "left_anti")
+    for c in lcols:
+        right_only = right_only.withColumn(c, F.lit(None).cast(left.schema[c].dataType))
+    cols = keys + lcols + rcols
+    return both.select(*cols).unionByName(left_only.select(*cols)).unionByName(right_only.select(*cols))
+
+
 def diagnosis_contact_date(diag: DataFrame, encounter: DataFrame, dedup: bool = True) -> DataFrame:
     """LEFT join the encounter on (pat_id, encounter id, instance)."""
     enc = encounter.select("pat_id", "instance", "PAT_ENC_CSN_ID", "CONTACT_DATE")
@@ -70,9 +91,10 @@ def diagnosis_first_contact(diag: DataFrame) -> DataFrame:
     """Earliest contact per (pat_id, dx_id, instance, full name), then
     fill a missing noted date from that contact date.
 
-    The earliest row is taken with ``min(struct(...))`` in a hash aggregate:
-    struct order sorts NULL first, like the study's ascending window, and
-    partial aggregation keeps a hot key from landing in one task. Ties on
+    The earliest row is taken with ``min(struct(...))`` in a grouped aggregate
+    (sort-based, with a partial aggregate before the shuffle): struct order
+    sorts NULL first, like the study's ascending window, and the partial step
+    keeps a hot key from sending all its rows to one task. Ties on
     the contact date are broken by concept, noted and resolved date (nulls
     first), so the pick is deterministic.
     """

@@ -3,7 +3,7 @@
 The study collected the order rows to the driver to find each order's class
 (``idxmax``), uploaded them again, grouped twice and built 160 columns one
 ``withColumn`` at a time. Here: one overlap join, column expressions, and one
-grouped pivot; per-order rows never leave the executors.
+grouped aggregate; per-order rows never leave the executors.
 """
 
 from __future__ import annotations
@@ -116,12 +116,14 @@ def exposure_pivot(rows: DataFrame, meds: list[str]) -> DataFrame:
     credited to that class has the status.
 
     The study's class-level max followed by a pregnancy-level max equals a
-    single max per (pregnancy, class), so this is one grouped pivot with
-    partial aggregation; classes are a fixed list so every column exists.
+    single max per (pregnancy, class), so this is one grouped aggregate of
+    conditional maxima with partial aggregation (a ``pivot`` would plan two);
+    classes are a fixed list so every column exists.
     """
-    p = rows.groupBy(*PREGNANCY_KEY).pivot("med_name", meds).agg(
-        *[F.max(s).alias(s) for s in STATUSES])
     cols = [f"{m}_{s}" for m in meds for s in STATUSES]
+    p = rows.groupBy(*PREGNANCY_KEY).agg(
+        *[F.max(F.when(F.col("med_name") == m, F.col(s))).alias(f"{m}_{s}")
+          for m in meds for s in STATUSES])
     return p.fillna(0, subset=cols).select(*PREGNANCY_KEY, *cols)
 
 

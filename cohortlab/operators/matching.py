@@ -63,14 +63,21 @@ def nearest_score_match(query: DataFrame, pool: DataFrame, score: str, key: list
     splits = _split_points(u, score, buckets)
     u = Bucketizer(splits=splits, inputCol=score, outputCol="_b").transform(u)
     part = [*group, "_b"]
-    w = Window.partitionBy(*part).orderBy(score, "_is_q")
-    before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # Both neighbours come from running frames (unbounded preceding .. current
+    # row), which Spark evaluates incrementally; a frame reaching to the end of
+    # the partition would be re-aggregated for every row (quadratic).
+    # Ascending, pool before query at an equal score: last pool row = the
+    # nearest score at or below. Descending, query before pool at an equal
+    # score: last pool row = the nearest score strictly above.
+    up = Window.partitionBy(*part).orderBy(F.col(score).asc(), F.col("_is_q").asc()) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy(*part).orderBy(F.col(score).desc(), F.col("_is_q").desc()) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cell = F.struct(F.col(score).alias("s"), F.col("_pk").alias("k"))
     pool_cell = F.when(F.col("_is_q") == 0, cell)
     scan = u.select(*part, score, "_is_q",
-                    F.last(pool_cell, ignorenulls=True).over(before).alias("_prev"),
-                    F.first(pool_cell, ignorenulls=True).over(after).alias("_next"))
+                    F.last(pool_cell, ignorenulls=True).over(up).alias("_prev"),
+                    F.last(pool_cell, ignorenulls=True).over(down).alias("_next"))
     qs = scan.filter(F.col("_is_q") == 1)
 
     # Bucket-edge fallback: the nearest pool entry in a lower / higher bucket.

@@ -34,14 +34,14 @@ FLAG_KEY = ["pat_id", "instance", "episode_id", "decided_index_date"]
 # ------------------------------------------------------------------ diagnoses
 @query("scan_distinct_problemlist")
 def q_scan_distinct_problemlist(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     return s.src("problemlist").select("pat_id", "dx_id", "instance", "NOTED_DATE",
                                        "RESOLVED_DATE", "DATE_OF_ENTRY").distinct()
 
 
 @query("noted_date_fill")
 def q_noted_date_fill(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     p = s.src("problemlist")
     return p.select("pat_id", "dx_id", "instance", "NOTED_DATE", "RESOLVED_DATE", "DATE_OF_ENTRY",
                     fill_noted_date(F.col("NOTED_DATE"), F.col("RESOLVED_DATE"),
@@ -50,42 +50,42 @@ def q_noted_date_fill(spark, folder):
 
 @query("problemlist_clean")
 def q_problemlist_clean(spark, folder):
-    return Study(spark, folder).d1
+    return Study.shared(spark, folder).d1
 
 
 @query("diagnosis_full_outer")
 def q_diagnosis_full_outer(spark, folder):
-    return Study(spark, folder).d2
+    return Study.shared(spark, folder).d2
 
 
 @query("diagnosis_contact_date")
 def q_diagnosis_contact_date(spark, folder):
-    return Study(spark, folder).d3
+    return Study.shared(spark, folder).d3
 
 
 @query("diagnosis_concept_map")
 def q_diagnosis_concept_map(spark, folder):
-    return Study(spark, folder).d4
+    return Study.shared(spark, folder).d4
 
 
 @query("diagnosis_full_name")
 def q_diagnosis_full_name(spark, folder):
-    return Study(spark, folder).d5
+    return Study.shared(spark, folder).d5
 
 
 @query("diagnosis_first_contact")
 def q_diagnosis_first_contact(spark, folder):
-    return Study(spark, folder).d6
+    return Study.shared(spark, folder).d6
 
 
 @query("diag_snomed")
 def q_diag_snomed(spark, folder):
-    return Study(spark, folder).diag_snomed
+    return Study.shared(spark, folder).diag_snomed
 
 
 @query("diagnosis_mapped_semi")
 def q_diagnosis_mapped_semi(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     return conditions.diagnosis_mapped_semi(s.diag_snomed, s.src("diagnosismapping"),
                                             s.src("diagnosis"))
 
@@ -93,29 +93,29 @@ def q_diagnosis_mapped_semi(spark, folder):
 # ------------------------------------------------------------------ concepts, flags
 @query("concept_descendants")
 def q_concept_descendants(spark, folder):
-    return Study(spark, folder).descendants
+    return Study.shared(spark, folder).descendants
 
 
 @query("risk_code_set")
 def q_risk_code_set(spark, folder):
-    return Study(spark, folder).codes
+    return Study.shared(spark, folder).codes
 
 
 @query("active_interval_join")
 def q_active_interval_join(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     return conditions.active_interval_join(s.cohort, s.intervals()).distinct()
 
 
 @query("risk_flags")
 def q_risk_flags(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     return s.risk_flags().select(*FLAG_KEY, *proxy.PROXY_RISK_FACTORS)
 
 
 @query("riskflags_instance_1000")
 def q_riskflags_instance_1000(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     return s.risk_flags(only_instance_1k=True).select(*FLAG_KEY, *proxy.PROXY_RISK_FACTORS)
 
 
@@ -129,44 +129,44 @@ ORDER_OUT = ["pat_id", "instance", "gestational_days", "lmp", "ob_delivery_deliv
 
 @query("medication_overlap_join")
 def q_medication_overlap_join(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     return EX.medication_overlap_join(s.cohort, s.med_orders)
 
 
 @query("medication_orders")
 def q_medication_orders(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     return EX.medication_orders(s.cohort, s.med_orders, proxy.PROXY_MEDS)
 
 
 @query("medication_orders_routed")
 def q_medication_orders_routed(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     return EX.medication_orders(s.imid_cohort, s.med_orders, proxy.PROXY_MEDS, ROUTES)
 
 
 @query("filter_any_flag")
 def q_filter_any_flag(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     return s.med_orders.filter(EX.any_flag(proxy.PROXY_MEDS))
 
 
 @query("med_argmax")
 def q_med_argmax(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     return s.exposure_rows().select(*ORDER_OUT, *proxy.PROXY_MEDS, "med_name")
 
 
 @query("exposure_period")
 def q_exposure_period(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     return s.exposure_rows().select(*ORDER_OUT, "orderstart_lmp", "orderstart_lmp_period")
 
 
 @query("exposure_durations")
 def q_exposure_durations(spark, folder):
     from ..functions import exposure as X
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     r = s.exposure_rows()
     st, en, ga = F.col("orderstart_lmp"), F.col("orderend_lmp"), F.col("gestational_days")
     return r.select(*ORDER_OUT, "orderstart_lmp", "orderend_lmp",
@@ -180,18 +180,18 @@ def q_exposure_durations(spark, folder):
 
 @query("medinfo_exposure")
 def q_medinfo_exposure(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     return s.exposure_rows(routed=True).drop(*proxy.PROXY_MEDS)
 
 
 @query("exposure_agg")
 def q_exposure_agg(spark, folder):
-    return EX.exposure_agg(Study(spark, folder).exposure_rows())
+    return EX.exposure_agg(Study.shared(spark, folder).exposure_rows())
 
 
 @query("aggregate_data_sum_max")
 def q_aggregate_data_sum_max(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     return EX.aggregate_data(s.exposure_rows(), ["pat_id", "instance"],
                              {"order_duration": "sum", "orderstart_lmp": "min",
                               "exposure_total_status": "max"})
@@ -199,12 +199,12 @@ def q_aggregate_data_sum_max(spark, folder):
 
 @query("exposure_pivot")
 def q_exposure_pivot(spark, folder):
-    return Study(spark, folder).exposure_flags
+    return Study.shared(spark, folder).exposure_flags
 
 
 @query("cohort_with_exposure")
 def q_cohort_with_exposure(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     c = s.cohort.select("pat_id", "instance", "episode_id", "lmp", "gestational_days")
     return EX.cohort_with_exposure(c, s.exposure_flags, proxy.PROXY_MEDS)
 
@@ -231,27 +231,27 @@ def _r6(df: DataFrame, cols: list[str]) -> DataFrame:
 
 @query("filter_delivery_year")
 def q_filter_delivery_year(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     return C.filter_delivery_year(s.pregnancy, proxy.PROXY_MIN_DELIVERY_YEAR) \
             .select(*KEY, "delivery_year")
 
 
 @query("control_anti_join")
 def q_control_anti_join(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     _, controls = C.split_arms(s.pregnancy, IMIDS)
     return controls.select(*KEY, "lmp")
 
 
 @query("subcohort_by_flag")
 def q_subcohort_by_flag(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     return C.subcohort_by_flag(s.pregnancy, IMIDS, KEY)
 
 
 @query("align_columns_union")
 def q_align_columns_union(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     treated, controls = C.split_arms(s.pregnancy, IMIDS)
     a = controls.select(*KEY, "delivery_year", "px_score", "ibd")
     b = treated.select("episode_id", "pat_id", "instance", "px_score", "lmp", "ibd")
@@ -260,7 +260,7 @@ def q_align_columns_union(spark, folder):
 
 @query("arm_union")
 def q_arm_union(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     treated, controls = C.split_arms(s.pregnancy, IMIDS)
     return C.arm_union(controls.select(*KEY, "px_score"),
                        treated.select(*KEY, "px_score", "ibd"), "IMID_status")
@@ -268,13 +268,13 @@ def q_arm_union(spark, folder):
 
 @query("cohort_counts")
 def q_cohort_counts(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     return C.cohort_counts(s.pregnancy)
 
 
 @query("dedup_pregnancy_key")
 def q_dedup_pregnancy_key(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     d = C.dedup_pregnancy(s.pregnancy.select(*C.PREGNANCY_DEDUP_KEY, "episode_id", "px_score"))
     return d
 
@@ -284,7 +284,7 @@ def q_sink_roundtrip(spark, folder):
     """Write the flag table and read it back (drop-and-replace)."""
     import tempfile
     from ..session import ensure_checkpoint_dir
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     base = ensure_checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/sink-{next(tempfile._get_candidate_names())}"
     write_table(s.risk_flags().select(*FLAG_KEY, *proxy.PROXY_RISK_FACTORS), path)
@@ -305,7 +305,7 @@ GEO_PAYLOAD = {
 
 def _geo_query(*names):
     def run(spark, folder):
-        s = Study(spark, folder)
+        s = Study.shared(spark, folder)
         out = None
         for n in names:
             key, payload = GEO_PAYLOAD[n]
@@ -327,7 +327,7 @@ QUERIES["geo_zip_far"] = _geo_query("farcodeszip2010")
 
 @query("geo_features")
 def q_geo_features(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     c = s.pregnancy.select(*KEY)
     out = G.add_geo_features(c, s.src("patient"), s.src("ruca2010revised"), "ruca2010revised")
     return out.select(*KEY, "SecondaryRUCACode2010")
@@ -335,7 +335,7 @@ def q_geo_features(spark, folder):
 
 @query("categorize_ruca")
 def q_categorize_ruca(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     r = s.src("ruca2010revised")
     return r.select("State_County_Tract_FIPS_Code", "SecondaryRUCACode2010",
                     E.categorize_ruca(F.col("SecondaryRUCACode2010")).alias("ruca_categorization"))
@@ -343,7 +343,7 @@ def q_categorize_ruca(spark, folder):
 
 @query("encode_ruca")
 def q_encode_ruca(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     r = s.src("ruca2010revised")
     cat = E.categorize_ruca(F.col("SecondaryRUCACode2010"))
     return r.select("State_County_Tract_FIPS_Code", E.encode_ruca(cat).alias("ruca_code"))
@@ -351,7 +351,7 @@ def q_encode_ruca(spark, folder):
 
 @query("svi_clean_sentinel")
 def q_svi_clean_sentinel(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     v = s.src("svi2018_us")
     return _r6(v.select("FIPS", *[E.clean_sentinel(F.col(c)).alias(c) for c in
                                   ["RPL_THEMES", *SVI_IMPUTED]]), ["RPL_THEMES", *SVI_IMPUTED])
@@ -362,7 +362,7 @@ def _enc(name, cols):
     """Register an encoder query: pregnancy id, inputs and the encoded value.
     ``cols`` builds the columns when the query runs (a session is needed)."""
     def run(spark, folder):
-        p = Study(spark, folder).pregnancy
+        p = Study.shared(spark, folder).pregnancy
         return p.select("episode_id", *cols())
     QUERIES[name] = run
 
@@ -408,14 +408,14 @@ _enc("encode_delivery_method", _delivery_cols)
 
 @query("year_one_hot")
 def q_year_one_hot(spark, folder):
-    p = Study(spark, folder).pregnancy
+    p = Study.shared(spark, folder).pregnancy
     return p.select("episode_id", "delivery_year",
                     *[v.alias(k) for k, v in FT.year_one_hot(proxy.PROXY_YEARS).items()])
 
 
 @query("median_impute_svi")
 def q_median_impute_svi(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     long = s.comparisons_long().filter(F.col("comparison") == "IMID")
     out = FT.median_impute(long.select(*KEY, "IMID_status", *SVI_IMPUTED), SVI_IMPUTED, ["IMID_status"])
     return _r6(out, SVI_IMPUTED)
@@ -423,7 +423,7 @@ def q_median_impute_svi(spark, folder):
 
 @query("median_impute_all")
 def q_median_impute_all(spark, folder):
-    p = Study(spark, folder).pregnancy
+    p = Study.shared(spark, folder).pregnancy
     cols = ["pregravid_bmi", "Parity", "Gravidity", "Preterm_history", "smoker", "illegal_drug_user"]
     out = FT.median_impute(p.select(*KEY, *cols), cols)
     return _r6(out, cols)
@@ -431,14 +431,14 @@ def q_median_impute_all(spark, folder):
 
 @query("missingness_report")
 def q_missingness_report(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     long = s.comparisons_long().filter(F.col("comparison") == "IMID")
     return FT.missingness(long, SVI_IMPUTED + ["pregravid_bmi"], ["IMID_status"])
 
 
 @query("psm_features")
 def q_psm_features(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     long = s.comparisons_long().filter(F.col("comparison") == "IMID")
     f, names = s.features(long)
     return _r6(f.drop("comparison"), SVI_IMPUTED)
@@ -451,14 +451,14 @@ def _overall(s: Study) -> DataFrame:
 
 @query("psm_match_1nn")
 def q_psm_match_1nn(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     long = _overall(s).select(*KEY, "IMID_status", "px_score")
     return M.propensity_score_matching(long, "IMID_status", "px_score", KEY)
 
 
 @query("psm_match_reverse")
 def q_psm_match_reverse(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     long = _overall(s).filter((F.col("IMID_status") == 1) | (F.col("episode_id") % 20 == 0))
     long = long.select(*KEY, "IMID_status", "px_score")
     return M.propensity_score_matching(long, "IMID_status", "px_score", KEY)
@@ -466,7 +466,7 @@ def q_psm_match_reverse(spark, folder):
 
 @query("match_back_join")
 def q_match_back_join(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     m = s.matched("px_score").filter((F.col("comparison") == "IMID") & (F.col("IMID_status") == 0))
     _, controls = s.arms
     return C.match_back(controls.select(*KEY, "lmp", *OUTC), m, KEY)
@@ -474,7 +474,7 @@ def q_match_back_join(spark, folder):
 
 @query("cohen_d")
 def q_cohen_d(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     f, names = s.features(_overall(s))
     return _r6(BAL.cohen_d(f, "IMID_status", names), ["effect_size"])
 
@@ -492,20 +492,20 @@ def _balance(s: Study, score: str, comparisons: list[str] | None):
 
 @query("effect_size_before_after")
 def q_effect_size_before_after(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     return _r6(_balance(s, "px_score", ["IMID"]), ["effect_size"])
 
 
 @query("balance_by_comparison")
 def q_balance_by_comparison(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     return BAL.balance_table(_balance(s, "px_score", None), ["comparison"])
 
 
 # ------------------------------------------------------------------ outcomes
 @query("outcome_counts")
 def q_outcome_counts(spark, folder):
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     return O.outcome_counts(s.comparisons_long(), ["comparison", "IMID_status"])
 
 
@@ -519,7 +519,7 @@ def _unadjusted_long(s: Study) -> DataFrame:
 @query("relative_risk_ci")
 def q_relative_risk_ci(spark, folder):
     from ..functions import stats as ST
-    lg = _unadjusted_long(Study(spark, folder))
+    lg = _unadjusted_long(Study.shared(spark, folder))
     a, n1, c, n0 = F.col("a"), F.col("n1"), F.col("c"), F.col("n0")
     lo, hi = ST.katz_interval(a, n1, c, n0)
     return _r6(lg.select("comparison", "outcome", "a", "n1", "c", "n0",
@@ -530,24 +530,24 @@ def q_relative_risk_ci(spark, folder):
 @query("fisher_exact_p")
 def q_fisher_exact_p(spark, folder):
     from ..functions import stats as ST
-    lg = _unadjusted_long(Study(spark, folder))
+    lg = _unadjusted_long(Study.shared(spark, folder))
     p = ST.fisher_exact_two_sided(lg, ["comparison", "outcome"], "a", "n1", "c", "n0")
     return _r6(p, ["p_value"])
 
 
 @query("outcomes_adjusted")
 def q_outcomes_adjusted(spark, folder):
-    return Study(spark, folder).outcome_table("adjusted")
+    return Study.shared(spark, folder).outcome_table("adjusted")
 
 
 @query("outcomes_unadjusted")
 def q_outcomes_unadjusted(spark, folder):
-    return Study(spark, folder).outcome_table("unadjusted")
+    return Study.shared(spark, folder).outcome_table("unadjusted")
 
 
 @query("outcomes_sensitivity")
 def q_outcomes_sensitivity(spark, folder):
-    return Study(spark, folder).outcome_table("sensitivity")
+    return Study.shared(spark, folder).outcome_table("sensitivity")
 
 
 # ------------------------------------------------------------------ fitted scores (rows-only)
@@ -555,7 +555,7 @@ def q_outcomes_sensitivity(spark, folder):
 def q_propensity_score(spark, folder):
     """PS1: logistic fit on the overall comparison; per arm the row count and
     mean score (at the optimum the mean score equals the treated share)."""
-    s = Study(spark, folder)
+    s = Study.shared(spark, folder)
     f, names = s.features(_overall(s))
     scored = propensity_score(f, "IMID_status", names)
     return scored.groupBy("IMID_status").agg(F.count(F.lit(1)).alias("n"),
@@ -567,4 +567,4 @@ def q_psm_by_comparison(spark, folder):
     """One logistic model per comparison (fits run concurrently), then
     1-NN matching per comparison on the fitted score."""
     from .pipeline import fitted_matches
-    return fitted_matches(Study(spark, folder))
+    return fitted_matches(Study.shared(spark, folder))

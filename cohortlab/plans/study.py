@@ -19,10 +19,22 @@ from ..sources.tables import Tables
 
 
 class Study:
+    _shared: dict = {}
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.t = Tables(spark, folder)
 
+    @classmethod
+    def shared(cls, spark: SparkSession, folder: str) -> "Study":
+        """One Study per (application, folder), so a materialised stage table
+        (the study cohort) is written once and read by every later query of
+        the session, as the study reused its saved tables."""
+        key = (spark.sparkContext.applicationId, folder)
+        if key not in cls._shared:
+            cls._shared[key] = cls(spark, folder)
+        return cls._shared[key]
+
     # ------------------------------------------------------------- sources
     @cached_property
     def pregnancy(self) -> DataFrame:
