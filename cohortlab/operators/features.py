@@ -74,7 +74,11 @@ def psm_features(df: DataFrame, select_columns: list[str], years: list[int], key
     ``impute_scope="arm"`` takes SVI medians per arm, as the study did (it ran
     per frame); ``"union"`` takes them over all rows."""
     arm = arm or []
-    race = E.format_race(F.col("race"))
+    # The formatted race feeds four indicators: computed once in its own
+    # projection (Spark does not inline a non-trivial expression into several
+    # uses), which also keeps the generated code of the wide projection small.
+    df = df.withColumn("_race_fmt", E.format_race(F.col("race")))
+    race = F.col("_race_fmt")
     enc = {
         "pregravid_bmi": E.encode_bmi(F.col("pregravid_bmi")),
         "age_at_start_dt": E.encode_age(F.col("age_at_start_dt")),

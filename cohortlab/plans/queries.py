@@ -218,6 +218,7 @@ from ..operators import geo as G  # noqa: E402
 from ..operators import matching as M  # noqa: E402
 from ..operators import outcomes as O  # noqa: E402
 from ..operators.propensity import propensity_score  # noqa: E402
+from ..session import cut_lineage  # noqa: E402
 from ..sources.tables import write_table  # noqa: E402
 from ..vocab import IMIDS, SVI_IMPUTED  # noqa: E402
 
@@ -484,6 +485,7 @@ def _balance(s: Study, score: str, comparisons: list[str] | None):
     if comparisons:
         long = long.filter(F.col("comparison").isin(comparisons))
     f, names = s.features(long)
+    f = cut_lineage(f)  # read by both effect-size passes and the matched-row join
     m = s.matched(score, long)
     mf = m.select("comparison", "IMID_status", *KEY).join(
         f.drop("IMID_status"), ["comparison", *KEY], "inner")
