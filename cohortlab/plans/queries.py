@@ -570,3 +570,11 @@ def q_psm_by_comparison(spark, folder):
     1-NN matching per comparison on the fitted score."""
     from .pipeline import fitted_matches
     return fitted_matches(Study.shared(spark, folder))
+
+
+@query("outcomes_fitted")
+def q_outcomes_fitted(spark, folder):
+    """O5-O7 end to end with fitted propensity scores (adjusted and
+    sensitivity analyses; unadjusted needs no score)."""
+    from .pipeline import fitted_outcomes
+    return fitted_outcomes(Study.shared(spark, folder), ("adjusted", "sensitivity"))

@@ -191,20 +191,24 @@ class Study:
         return propensity_score_matching(long.select("comparison", "IMID_status", *self.KEY, score),
                                          "IMID_status", score, self.KEY, group=["comparison"])
 
-    def outcome_table(self, analysis: str) -> DataFrame:
+    def outcome_table(self, analysis: str, matched: DataFrame | None = None) -> DataFrame:
         """Risk table per comparison and outcome for one analysis:
         'adjusted' (matched controls, fixed score), 'sensitivity' (matched on
         the sensitivity score), 'unadjusted' (all controls)."""
         from ..operators import cohort as C
         from ..operators import outcomes as O
-        cohort_c = C.dedup_pregnancy(self.study_cohort)
+        from ..vocab import IMIDS
+        # only the columns the counts need go through the de-duplication
+        need = [*C.PREGNANCY_DEDUP_KEY, "episode_id", *IMIDS,
+                "preterm_category", "LBW", "SGA", "delivery_method"]
+        cohort_c = C.dedup_pregnancy(self.study_cohort.select(*need))
         long_c = self.comparisons_long(cohort_c)
         treated_counts = O.outcome_counts(long_c.filter(F.col("IMID_status") == 1), ["comparison"])
         if analysis == "unadjusted":
             control_counts = O.outcome_counts(long_c.filter(F.col("IMID_status") == 0), ["comparison"])
         else:
             score = "px_score" if analysis == "adjusted" else "px_score_sa"
-            m = self.matched(score)
+            m = self.matched(score) if matched is None else matched
             mc = m.filter(F.col("IMID_status") == 0).select("comparison", *self.KEY)
             _, controls = self.arms
             # Matched control keys (repeats kept) joined back to the control rows
