@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import fill_noted_date
+from .skew import DEFAULT_HOT_KEY_ROWS, full_outer_join
 
 KEY = ["pat_id", "dx_id", "instance"]
 
@@ -26,36 +27,19 @@ def problemlist_clean(problemlist: DataFrame) -> DataFrame:
     return pl.distinct()
 
 
-def diagnosis_full_outer(problemlist_c: DataFrame, encdx: DataFrame, dedup: bool = True) -> DataFrame:
+def diagnosis_full_outer(problemlist_c: DataFrame, encdx: DataFrame, dedup: bool = True,
+                         hot_key_rows: int = DEFAULT_HOT_KEY_ROWS) -> DataFrame:
     """Problem list FULL OUTER encounter diagnoses on (pat_id, dx_id,
     instance); keys are merged (left value, else right), as a USING join does.
-    Rows with a NULL key never match and come through from their own side."""
+    Rows with a NULL key never match and come through from their own side.
+    Keys with more than ``hot_key_rows`` rows are salted (``skew.full_outer_join``):
+    adaptive execution cannot split a skewed full outer join by itself."""
     enc = encdx.select("pat_id", "instance", "dx_id", "PAT_ENC_CSN_ID", "DIAGNOSISNAME")
-    j = skew_safe_full_outer(problemlist_c, enc, KEY)
+    j = full_outer_join(problemlist_c, enc, KEY, hot_key_rows=hot_key_rows)
     out = j.select(*KEY, "PAT_ENC_CSN_ID", "NOTED_DATE", "RESOLVED_DATE", "DIAGNOSISNAME")
     return out.distinct() if dedup else out
 
 
-def skew_safe_full_outer(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """FULL OUTER JOIN USING ``keys`` written as inner + left-only + right-only.
-
-    Adaptive execution can split a skewed partition of an inner or anti join
-    but not of a full outer join, where one hot key (say a placeholder
-    patient id) would land in a single task. The three joins read the same
-    two key-partitioned shuffles, so the rewrite adds no shuffle."""
-    rcols = [c for c in right.columns if c not in keys]
-    lcols = [c for c in left.columns if c not in keys]
-    both = left.join(right, keys, "inner")
-    left_only = left.join(right.select(*keys), keys, "left_anti")
-    for c in rcols:
-        left_only = left_only.withColumn(c, F.lit(None).cast(right.schema[c].dataType))
-    right_only = right.join(left.select(*keys), keys, "left_anti")
-    for c in lcols:
-        right_only = right_only.withColumn(c, F.lit(None).cast(left.schema[c].dataType))
-    cols = keys + lcols + rcols
-    return both.select(*cols).unionByName(left_only.select(*cols)).unionByName(right_only.select(*cols))
-
-
 def diagnosis_contact_date(diag: DataFrame, encounter: DataFrame, dedup: bool = True) -> DataFrame:
     """LEFT join the encounter on (pat_id, encounter id, instance)."""
     enc = encounter.select("pat_id", "instance", "PAT_ENC_CSN_ID", "CONTACT_DATE")

@@ -7,11 +7,11 @@ import random
 from pyspark.sql import functions as F
 
 from cohortlab.operators.conditions import active_interval_join, risk_flag_table
-from cohortlab.operators.diagnoses import skew_safe_full_outer
+from cohortlab.operators.skew import full_outer_join
 from cohortlab.operators.matching import nearest_score_match
 
 
-def test_skew_safe_full_outer_equals_full_outer(spark):
+def test_salted_full_outer_equals_full_outer(spark):
     rnd = random.Random(3)
     left = [(1 if i % 3 == 0 else rnd.randint(2, 40), rnd.randint(1, 5), f"l{i}") for i in range(600)]
     right = [(1 if i % 3 == 0 else rnd.randint(20, 60), rnd.randint(1, 5), f"r{i}") for i in range(600)]
@@ -19,8 +19,8 @@ def test_skew_safe_full_outer_equals_full_outer(spark):
     right.append((None, 1, "rnull"))
     l = spark.createDataFrame(left, "k long, d int, a string")
     r = spark.createDataFrame(right, "k long, d int, b string")
-    got = sorted(map(tuple, skew_safe_full_outer(l, r, ["k", "d"]).select("k", "d", "a", "b").collect()),
-                 key=repr)
+    got = sorted(map(tuple, full_outer_join(l, r, ["k", "d"], hot_key_rows=30, salts=5)
+                     .select("k", "d", "a", "b").collect()), key=repr)
     want = sorted(map(tuple, l.join(r, ["k", "d"], "full_outer").select("k", "d", "a", "b").collect()),
                   key=repr)
     assert got == want
