@@ -578,3 +578,12 @@ def q_outcomes_fitted(spark, folder):
     sensitivity analyses; unadjusted needs no score)."""
     from .pipeline import fitted_outcomes
     return fitted_outcomes(Study.shared(spark, folder), ("adjusted", "sensitivity"))
+
+
+@query("nn_match_scaled")
+def q_nn_match_scaled(spark, folder):
+    s = Study.shared(spark, folder)
+    long = _overall(s)
+    treated = long.filter(F.col("IMID_status") == 1)
+    controls = long.filter(F.col("IMID_status") == 0)
+    return M.nn_match_scaled(treated, controls, ["px_score"], KEY)

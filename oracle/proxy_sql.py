@@ -562,6 +562,17 @@ FROM {name}_pairs""", [f"{name}_pairs"])
 match_sql("m_all", "s_long", "px_score")
 match_sql("m_all_sa", "s_long", "px_score_sa")
 match_sql("m_imid", "s_long", "px_score", "comparison = 'IMID'")
+# PS4 on one feature: treated rows always query the controls (no direction rule)
+cte("m_imid_nn_pairs", """
+SELECT * FROM (
+  SELECT q.episode_id AS q_episode_id, p.pat_id, p.instance, p.episode_id, p.px_score AS score,
+    row_number() OVER (PARTITION BY q.pat_id, q.instance, q.episode_id
+                       ORDER BY abs(q.px_score - p.px_score), p.px_score, p.pat_id, p.instance,
+                                p.episode_id) AS rn
+  FROM s_long q JOIN s_long p ON q.comparison = 'IMID' AND p.comparison = 'IMID'
+  WHERE q.IMID_status = 1 AND p.IMID_status = 0) WHERE rn = 1""", ["s_long"])
+cte("m_imid_nn", """SELECT q_episode_id AS match_id, 0 AS IMID_status, pat_id, instance, episode_id, score
+FROM m_imid_nn_pairs""", ["m_imid_nn_pairs"])
 match_sql("m_rev", "s_long", "px_score",
           "comparison = 'IMID' AND (IMID_status = 1 OR episode_id % 20 = 0)")
 

@@ -252,3 +252,5 @@ oracle("outcomes_adjusted", "SELECT *, 'adjusted' AS analysis FROM o_adjusted",
 oracle("outcomes_unadjusted", "SELECT *, 'unadjusted' AS analysis FROM o_unadjusted", ["o_unadjusted"])
 oracle("outcomes_sensitivity", "SELECT *, 'sensitivity' AS analysis FROM o_sensitivity",
        ["o_sensitivity"])
+oracle("nn_match_scaled", "SELECT match_id, pat_id, instance, episode_id, score AS px_score "
+       "FROM m_imid_nn WHERE IMID_status = 0", ["m_imid_nn"])
