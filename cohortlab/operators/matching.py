@@ -165,3 +165,23 @@ def nn_match_scaled(treated: DataFrame, controls: DataFrame, features: list[str]
     pairs = nearest_score_match(treated.select(*key, f), controls.select(*key, f), f, key)
     return pairs.select(F.col(key[-1]).alias("match_id"),
                         *[F.col(f"m_{k}").alias(k) for k in key], F.col(f"m_{f}").alias(f))
+
+
+def shared_pool_matching(treated_long: DataFrame, controls: DataFrame, treatment: str, score: str,
+                         key: list[str], group: list[str]) -> DataFrame:
+    """PS3 for many comparisons that share one control pool with one score per
+    control (a fixed score), when controls outnumber the treated rows of every
+    comparison (so treated rows are always the queries). Each treated row is
+    matched once, whatever the number of comparisons it belongs to, and the
+    control pool is not copied per comparison. Output as
+    ``propensity_score_matching(..., group=group)``."""
+    t_rows = treated_long.select(*group, *key, score)
+    queries = t_rows.select(*key, score).dropDuplicates(key)
+    pairs = nearest_score_match(queries, controls.select(*key, score), score, key)
+    pairs = cut_lineage(pairs)
+    j = t_rows.join(pairs.drop(score), key, "inner")
+    match_id = F.col(key[-1]).alias("match_id")
+    q_rows = j.select(*group, match_id, F.lit(1).alias(treatment), *key, score)
+    p_rows = j.select(*group, match_id, F.lit(0).alias(treatment),
+                      *[F.col(f"m_{k}").alias(k) for k in key], F.col(f"m_{score}").alias(score))
+    return q_rows.unionByName(p_rows)

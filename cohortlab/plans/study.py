@@ -185,11 +185,23 @@ class Study:
         return psm_features(long, cols, proxy.PROXY_YEARS, key, arm=["comparison", "IMID_status"])
 
     def matched(self, score: str = "px_score", long: DataFrame | None = None) -> DataFrame:
-        """PS3 per comparison on a fixed score column."""
-        from ..operators.matching import propensity_score_matching
+        """PS3 per comparison on a fixed score column. A fixed score is the same
+        for a control in every comparison, so when controls outnumber the
+        treated rows of every comparison the pool is matched once
+        (``shared_pool_matching``); otherwise per comparison."""
+        from ..operators.matching import propensity_score_matching, shared_pool_matching
         long = self.comparisons_long() if long is None else long
-        return propensity_score_matching(long.select("comparison", "IMID_status", *self.KEY, score),
-                                         "IMID_status", score, self.KEY, group=["comparison"])
+        sel = long.select("comparison", "IMID_status", *self.KEY, score)
+        # one row per comparison: a bounded list of arm sizes
+        sizes = sel.groupBy("comparison").agg(
+            F.sum(F.col("IMID_status")).alias("n1"),
+            F.sum(1 - F.col("IMID_status")).alias("n0")).collect()
+        if sizes and all(r.n0 > r.n1 for r in sizes):
+            treated = sel.filter(F.col("IMID_status") == 1)
+            _, controls = self.arms
+            return shared_pool_matching(treated, controls.select(*self.KEY, score), "IMID_status",
+                                        score, self.KEY, ["comparison"])
+        return propensity_score_matching(sel, "IMID_status", score, self.KEY, group=["comparison"])
 
     def outcome_table(self, analysis: str, matched: DataFrame | None = None) -> DataFrame:
         """Risk table per comparison and outcome for one analysis:

@@ -62,3 +62,20 @@ def test_no_cartesian_or_python(spark):
     plan = propensity_score_matching(df, "t", "s", ["episode_id"])._jdf.queryExecution().executedPlan().toString()
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
         assert bad not in plan
+
+
+def test_shared_pool_equals_grouped(spark):
+    from cohortlab.operators.matching import shared_pool_matching
+    rnd = random.Random(21)
+    controls = [(i, round(rnd.random(), 3)) for i in range(300)]
+    treated = [(1000 + i, round(rnd.random(), 3)) for i in range(60)]
+    groups = ["all", "g1", "g2"]
+    t_long = [(g, k, s) for k, s in treated for g in groups if g == "all" or (k + len(g)) % 2 == 0]
+    c_long = [(g, k, s) for k, s in controls for g in groups]
+    long = spark.createDataFrame([(g, 1, k, s) for g, k, s in t_long] + [(g, 0, k, s) for g, k, s in c_long],
+                                 "comparison string, t int, episode_id long, s double")
+    grouped = propensity_score_matching(long, "t", "s", ["episode_id"], group=["comparison"])
+    shared = shared_pool_matching(long.filter(F.col("t") == 1), spark.createDataFrame(controls, "episode_id long, s double"),
+                                  "t", "s", ["episode_id"], ["comparison"])
+    cols = ["comparison", "match_id", "t", "episode_id", "s"]
+    assert sorted(map(tuple, grouped.select(*cols).collect())) == sorted(map(tuple, shared.select(*cols).collect()))
