@@ -459,9 +459,11 @@ def q_psm_match_1nn(spark, folder):
 
 @query("psm_match_reverse")
 def q_psm_match_reverse(spark, folder):
+    """The reverse direction (more treated than controls, so each control takes
+    its nearest treated row), on the whole overall comparison with the arm
+    labels swapped."""
     s = Study.shared(spark, folder)
-    long = _overall(s).filter((F.col("IMID_status") == 1) | (F.col("episode_id") % 20 == 0))
-    long = long.select(*KEY, "IMID_status", "px_score")
+    long = _overall(s).select(*KEY, (1 - F.col("IMID_status")).alias("IMID_status"), "px_score")
     return M.propensity_score_matching(long, "IMID_status", "px_score", KEY)
 
 

@@ -573,8 +573,11 @@ SELECT * FROM (
   WHERE q.IMID_status = 1 AND p.IMID_status = 0) WHERE rn = 1""", ["s_long"])
 cte("m_imid_nn", """SELECT q_episode_id AS match_id, 0 AS IMID_status, pat_id, instance, episode_id, score
 FROM m_imid_nn_pairs""", ["m_imid_nn_pairs"])
-match_sql("m_rev", "s_long", "px_score",
-          "comparison = 'IMID' AND (IMID_status = 1 OR episode_id % 20 = 0)")
+# reverse direction: overall comparison with the arm labels swapped
+cte("s_long_swapped", """
+SELECT comparison, 1 - IMID_status AS IMID_status, * EXCLUDE (comparison, IMID_status)
+FROM s_long WHERE comparison = 'IMID'""", ["s_long"])
+match_sql("m_rev", "s_long_swapped", "px_score")
 
 # ------------------------------------------------------------------ features
 _YEAR_COLS = ", ".join(f"CASE WHEN delivery_year = {y} THEN 1 ELSE 0 END AS year_{y}" for y in PROXY_YEARS)
