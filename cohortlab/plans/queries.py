@@ -516,7 +516,10 @@ def q_outcome_counts(spark, folder):
 def _unadjusted_long(s: Study) -> DataFrame:
     long = s.comparisons_long()
     t = O.outcome_counts(long.filter(F.col("IMID_status") == 1), ["comparison"])
-    c = O.outcome_counts(long.filter(F.col("IMID_status") == 0), ["comparison"])
+    _, controls = s.arms
+    # all controls serve every comparison: counted once, repeated per comparison
+    c = O.outcome_counts(controls, []).withColumn(
+        "comparison", F.explode(F.array(*[F.lit(x) for x in ["IMID", *IMIDS]])))
     return O.outcome_long(t, c, ["comparison"])
 
 

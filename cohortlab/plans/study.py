@@ -217,7 +217,11 @@ class Study:
         long_c = self.comparisons_long(cohort_c)
         treated_counts = O.outcome_counts(long_c.filter(F.col("IMID_status") == 1), ["comparison"])
         if analysis == "unadjusted":
-            control_counts = O.outcome_counts(long_c.filter(F.col("IMID_status") == 0), ["comparison"])
+            # every comparison uses all controls: count them once, then repeat
+            # the single count row per comparison
+            _, controls_c = C.split_arms(cohort_c, IMIDS)
+            control_counts = O.outcome_counts(controls_c, []).withColumn(
+                "comparison", F.explode(F.array(*[F.lit(c) for c in ["IMID", *IMIDS]])))
         else:
             score = "px_score" if analysis == "adjusted" else "px_score_sa"
             m = self.matched(score) if matched is None else matched
