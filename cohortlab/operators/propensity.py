@@ -27,6 +27,8 @@ def propensity_score(df: DataFrame, treatment: str, covariates: list[str],
     data = va.transform(df.withColumn("_label", F.col(treatment).cast("double")))
     lr = LogisticRegression(featuresCol="_features", labelCol="_label",
                             regParam=1.0 / (C * max(n, 1)), elasticNetParam=0.0,
+                            # standardised internally for a well-conditioned L-BFGS; with
+                            # C = 1e6 the penalty is negligible either way
                             standardization=True, maxIter=max_iter, tol=tol,
                             probabilityCol="_prob", rawPredictionCol="_raw",
                             predictionCol="_pred")
