@@ -573,7 +573,7 @@ def q_propensity_score(spark, folder):
 def q_psm_by_comparison(spark, folder):
     """One logistic model per comparison (fits run concurrently), then
     1-NN matching per comparison on the fitted score."""
-    from .pipeline import fitted_matches
+    from .fitted import fitted_matches
     return fitted_matches(Study.shared(spark, folder))
 
 
@@ -581,7 +581,7 @@ def q_psm_by_comparison(spark, folder):
 def q_outcomes_fitted(spark, folder):
     """O5-O7 end to end with fitted propensity scores (adjusted and
     sensitivity analyses; unadjusted needs no score)."""
-    from .pipeline import fitted_outcomes
+    from .fitted import fitted_outcomes
     return fitted_outcomes(Study.shared(spark, folder), ("adjusted", "sensitivity"))
 
 
