@@ -20,7 +20,7 @@ from ..vocab import LOGISTIC_C, LOGISTIC_MAX_ITER
 
 def propensity_score(df: DataFrame, treatment: str, covariates: list[str],
                      C: float = LOGISTIC_C, max_iter: int = LOGISTIC_MAX_ITER,
-                     tol: float = 1e-8, out_col: str = "propensity_score") -> DataFrame:
+                     tol: float = 1e-6, out_col: str = "propensity_score") -> DataFrame:
     """Fit P(treatment = 1 | covariates) and append it as ``out_col``."""
     n = df.count()
     va = VectorAssembler(inputCols=covariates, outputCol="_features", handleInvalid="keep")
