@@ -110,7 +110,7 @@ def q_active_interval_join(spark, folder):
 @query("risk_flags")
 def q_risk_flags(spark, folder):
     s = Study.shared(spark, folder)
-    return s.risk_flags().select(*FLAG_KEY, *proxy.PROXY_RISK_FACTORS)
+    return s.flagged_cohort.select(*FLAG_KEY, *proxy.PROXY_RISK_FACTORS)
 
 
 @query("riskflags_instance_1000")

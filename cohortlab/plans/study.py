@@ -100,6 +100,13 @@ class Study:
             self.diag_snomed, self.codes, self.src("diagnosismapping"), self.src("diagnosis"),
             only_instance_1k=only_instance_1k)
 
+    @cached_property
+    def flagged_cohort(self) -> DataFrame:
+        """Stage A output: the cohort with its condition flags, materialised
+        once in the checkpoint folder (the study wrote this table too) and
+        read by the flag report and every later stage."""
+        return cut_lineage(self.risk_flags())
+
     # ------------------------------------------------------------- exposure
     @cached_property
     def med_orders(self) -> DataFrame:
@@ -136,8 +143,7 @@ class Study:
         from ..operators import cohort as C
         from ..operators.geo import add_geo_features
         from ..vocab import RUCA_COLUMN, SVI_COLUMNS
-        flagged = self.risk_flags()
-        c = C.filter_delivery_year(flagged, proxy.PROXY_MIN_DELIVERY_YEAR)
+        c = C.filter_delivery_year(self.flagged_cohort, proxy.PROXY_MIN_DELIVERY_YEAR)
         pats = self.src("patient")
         base_cols = c.columns
         c = add_geo_features(c, pats, self.src("svi2018_us"), "svi2018_us").select(*base_cols, *SVI_COLUMNS)
