@@ -27,10 +27,10 @@ class Study:
 
     @classmethod
     def shared(cls, spark: SparkSession, folder: str) -> "Study":
-        """One Study per (application, folder), so a materialised stage table
+        """One Study per (application, session, folder), so a materialised stage table
         (the study cohort) is written once and read by every later query of
         the session, as the study reused its saved tables."""
-        key = (spark.sparkContext.applicationId, folder)
+        key = (spark.sparkContext.applicationId, id(spark), folder)
         if key not in cls._shared:
             cls._shared[key] = cls(spark, folder)
         return cls._shared[key]
