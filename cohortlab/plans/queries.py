@@ -283,11 +283,11 @@ def q_dedup_pregnancy_key(spark, folder):
 @query("sink_roundtrip")
 def q_sink_roundtrip(spark, folder):
     """Write the flag table and read it back (drop-and-replace)."""
-    import tempfile
+    import uuid
     from ..session import ensure_checkpoint_dir
     s = Study.shared(spark, folder)
     base = ensure_checkpoint_dir(spark)
-    path = f"{base.rstrip('/')}/sink-{next(tempfile._get_candidate_names())}"
+    path = f"{base.rstrip('/')}/sink-{uuid.uuid4().hex}"
     write_table(s.risk_flags().select(*FLAG_KEY, *proxy.PROXY_RISK_FACTORS), path)
     return spark.read.parquet(path)
 
