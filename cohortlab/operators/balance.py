@@ -12,15 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def cohen_d(df: DataFrame, treatment: str, covariates: list[str],
-            group: list[str] | None = None) -> DataFrame:
-    """(mean_treated - mean_control) / pooled sample SD, with the pooled
-    variance ((n1-1) s1^2 + (n0-1) s0^2) / (n1 + n0 - 2). Undefined values
-    (an empty arm, zero pooled SD) are NULL.
-
-    One grouped aggregate computes count, mean and sample variance of every
-    covariate per (group, arm) in a single pass; only that small result is
-    reshaped to one row per (group, variable)."""
+def arm_stats(df: DataFrame, treatment: str, covariates: list[str],
+              group: list[str] | None = None) -> DataFrame:
+    """Count, mean and sample variance of every covariate per (group, arm):
+    one grouped aggregate, reshaped to (group, arm, variable, n, m, v)."""
     g = group or []
     aggs = []
     for i, c in enumerate(covariates):
@@ -30,11 +25,16 @@ def cohen_d(df: DataFrame, treatment: str, covariates: list[str],
     cells = F.explode(F.array(*[
         F.struct(F.lit(c).alias("variable"), F.col(f"n_{i}").alias("n"), F.col(f"m_{i}").alias("m"),
                  F.col(f"v_{i}").alias("v")) for i, c in enumerate(covariates)])).alias("x")
-    long = st.select(*g, treatment, cells).select(*g, treatment, "x.*")
-    t = long.filter(F.col(treatment) == 1).select(*g, "variable", F.col("n").alias("n1"),
-                                                  F.col("m").alias("m1"), F.col("v").alias("v1"))
-    c0 = long.filter(F.col(treatment) == 0).select(*g, "variable", F.col("n").alias("n0"),
-                                                   F.col("m").alias("m0"), F.col("v").alias("v0"))
+    return st.select(*g, treatment, cells).select(*g, treatment, "x.*")
+
+
+def effect_from_stats(stats: DataFrame, treatment: str, group: list[str] | None = None) -> DataFrame:
+    """Cohen's d per (group, variable) from ``arm_stats`` rows of both arms."""
+    g = group or []
+    t = stats.filter(F.col(treatment) == 1).select(*g, "variable", F.col("n").alias("n1"),
+                                                   F.col("m").alias("m1"), F.col("v").alias("v1"))
+    c0 = stats.filter(F.col(treatment) == 0).select(*g, "variable", F.col("n").alias("n0"),
+                                                    F.col("m").alias("m0"), F.col("v").alias("v0"))
     st2 = t.join(c0, [*g, "variable"], "full_outer")
     pooled = F.try_divide((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0"),
                           (F.col("n1") + F.col("n0") - 2).cast("double"))
@@ -42,6 +42,18 @@ def cohen_d(df: DataFrame, treatment: str, covariates: list[str],
     return st2.select(*g, "variable", d.alias("effect_size"))
 
 
+def cohen_d(df: DataFrame, treatment: str, covariates: list[str],
+            group: list[str] | None = None) -> DataFrame:
+    """(mean_treated - mean_control) / pooled sample SD, with the pooled
+    variance ((n1-1) s1^2 + (n0-1) s0^2) / (n1 + n0 - 2). Undefined values
+    (an empty arm, zero pooled SD) are NULL.
+
+    One grouped aggregate computes count, mean and sample variance of every
+    covariate per (group, arm) in a single pass; only that small result is
+    reshaped to one row per (group, variable)."""
+    return effect_from_stats(arm_stats(df, treatment, covariates, group), treatment, group)
+
+
 def effect_size_before_after(original: DataFrame, matched: DataFrame, treatment: str,
                              covariates: list[str], group: list[str] | None = None) -> DataFrame:
     """(variable, matching in {before, after}, effect_size)."""

@@ -483,15 +483,25 @@ def q_cohen_d(spark, folder):
 
 
 def _balance(s: Study, score: str, comparisons: list[str] | None):
-    long = s.comparisons_long()
-    if comparisons:
-        long = long.filter(F.col("comparison").isin(comparisons))
-    f, names = s.features(long)
-    f = cut_lineage(f)  # read by both effect-size passes and the matched-row join
-    m = s.matched(score, long)
-    mf = m.select("comparison", "IMID_status", *KEY).join(
-        f.drop("IMID_status"), ["comparison", *KEY], "inner")
-    return BAL.effect_size_before_after(f, mf, "IMID_status", names, ["comparison"])
+    """E2 per comparison. Treated rows are encoded per comparison; the control
+    pool is the same in every comparison (same rows, same medians), so it is
+    encoded and summarised once and its statistics repeated per comparison."""
+    comps = comparisons or ["IMID", *IMIDS]
+    long = s.comparisons_long().filter(F.col("comparison").isin(comps))
+    _, controls = s.arms
+    ft, names = s.features(long.filter(F.col("IMID_status") == 1))
+    fc, _ = s.features(controls.withColumn("comparison", F.lit("*")).withColumn("IMID_status", F.lit(0)))
+    ft, fc = cut_lineage(ft), cut_lineage(fc)  # each read by both effect-size passes
+    every = F.explode(F.array(*[F.lit(c) for c in comps]))
+    before = BAL.arm_stats(ft, "IMID_status", names, ["comparison"]).unionByName(
+        BAL.arm_stats(fc, "IMID_status", names, ["comparison"]).withColumn("comparison", every))
+    m = s.matched(score, long).select("comparison", "IMID_status", *KEY)
+    m_t = m.filter(F.col("IMID_status") == 1).join(ft.drop("IMID_status"), ["comparison", *KEY], "inner")
+    m_c = m.filter(F.col("IMID_status") == 0).join(fc.drop("comparison", "IMID_status"), KEY, "inner")
+    after = BAL.cohen_d(m_t.unionByName(m_c), "IMID_status", names, ["comparison"])
+    return BAL.effect_from_stats(before, "IMID_status", ["comparison"]) \
+              .withColumn("matching", F.lit("before")) \
+              .unionByName(after.withColumn("matching", F.lit("after")))
 
 
 @query("effect_size_before_after")
