@@ -35,7 +35,7 @@ from .stage import ship, stage
 MAX_TRAIN = 10_000
 MIN_Z = 5.0
 MAX_FEATURES = 4096
-MIN_SHARE = 0.8  # at least this share of the rows that hold a feature is toxic; words that only lean (of one language, say) are none
+MIN_SHARE = 0.4  # at least this share of the rows that hold a feature is toxic; words that only lean (of one language, say) are none
 MIN_RATE = 0.02  # a feature is held by at least this share of the toxic rows (and by five of them)
 PREFIXES = range(3, 8)
 PREFIX_MARK = 0x7C15F39CC0605CED  # keeps a prefix apart from the equal word
