@@ -145,7 +145,7 @@ def robust_distance(rows: DataFrame, groups: list[str], features: dict[str, floa
         estimate = stage(_moments(nearest(far, "_d"), groups, features), "mcd")
     far = _distance(_with_estimate(fit, estimate, groups).where(F.col("_m0").isNotNull()), "_d", features)
     scale = far.groupBy(*groups).agg(F.percentile_approx("_d", 0.5, 1000).alias("_mid"))
-    estimate = _with_estimate(estimate, scale, groups)
+    estimate = stage(_with_estimate(estimate, scale, groups), "mcd")  # its size is then known when rows are joined
     out = _distance(_with_estimate(rows, estimate, groups), name, features)
     return out.withColumn(name, F.col(name) / F.greatest(F.col("_mid") / median_chi2, F.lit(1e-9))).drop("_mid")
 
@@ -155,8 +155,8 @@ def quality_rules(docs: DataFrame, text: str = "text", groups: tuple[str, str] =
     """Statistics, base_failed, ``distance`` and kept for each row of ``docs`` (its text is left behind)."""
     groups = list(groups)
     stats = stage(text_stats(docs, text).withColumn("base_failed", base_failed()), "stats")
-    rates = stats.where(~F.col("base_failed")).groupBy(*groups).agg(
-        F.sum("n_words").alias("_tw"), *[F.sum(c).alias(f"_t_{c}") for c in ("word_chars", "n_symbols", "n_punct", "n_repeat_words")])
+    rates = stage(stats.where(~F.col("base_failed")).groupBy(*groups).agg(
+        F.sum("n_words").alias("_tw"), *[F.sum(c).alias(f"_t_{c}") for c in ("word_chars", "n_symbols", "n_punct", "n_repeat_words")]), "rates")
     at = _with_estimate(stats, rates, groups)
     drawn = lambda c: (F.col(c) + PRIOR_WORDS * F.col(f"_t_{c}") / F.col("_tw")) / (F.col("n_words") + PRIOR_WORDS)
     vectors = at.withColumns({
