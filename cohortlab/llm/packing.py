@@ -27,7 +27,7 @@ from .stage import distributed_rank, ship, stage
 
 LIMIT = 4096
 END = 1
-CACHED_WORDS = 250_000
+CACHED_WORDS = 800_000
 LONGEST_CACHED = 48  # bytes
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
@@ -54,13 +54,20 @@ class WordTokenizer:
             done = self.model.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
             yield from ((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, done))
 
+    def _learn(self, words: set[bytes]) -> None:
+        """A word that ends in one mark after a letter or digit is its stem's ids and the mark's."""
+        stems = {w: w[:-1] for w in words if w[-1:] in MARKS and w[-2:-1].isalnum()}
+        wanted = (words.difference(stems) | set(stems.values()) | {w[-1:] for w in stems}).difference(self.known)
+        self.known.update(self._encode(list(wanted)))
+        self.known.update({w: self.known[stem] + self.known[w[-1:]] for w, stem in stems.items()})
+
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        split = [t.split() for t in texts]
+        split = [_folded(t).split() for t in texts]
         fresh = set().union(*split).difference(self.known)
-        if len(self.known) + len(fresh) > CACHED_WORDS:
+        if len(self.known) + 2 * len(fresh) > CACHED_WORDS:
             self.known.clear()
             fresh = set().union(*split)
-        self.known.update(self._encode(list(fresh)))
+        self._learn(fresh)
         get = self.known.__getitem__
         for words in split:
             yield b"".join(map(get, words))
@@ -68,12 +75,28 @@ class WordTokenizer:
             del self.known[w]
 
 
+MARKS = (b".", b",", b"!", b"?", b";", b":")
+_TOKENIZERS: dict[str, WordTokenizer] = {}  # one a worker process, kept from task to task
+
+
+def _folded(text: bytes) -> bytes:
+    """ASCII letters lower-cased, as the tokenizer does; a text with combining marks
+    (U+0300 to U+036F) stays, as those join upper and lower case differently."""
+    return text if b"\xcc" in text or b"\xcd" in text else text.lower()
+
+
+def shared_tokenizer(path: str) -> WordTokenizer:
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
+
+
 def tokenize(docs: DataFrame, path: str, limit: int = LIMIT, keep_ids: bool = True) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, ids (little-endian 32-bit, or null)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        model = WordTokenizer(path)
+        model = shared_tokenizer(path)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
