@@ -212,7 +212,7 @@ def _search(percent: int):
 
 def _links(rows: DataFrame, percent: int, total: int) -> DataFrame:
     """Stage table (a, b) of links. Small clusters share a task; a part is never split."""
-    bins = max(1, total // 256)
+    bins = max(1, total // 32)
     binned = rows.withColumn("bin", F.pmod(F.xxhash64("cluster", "part"), F.lit(bins)))
     return stage(binned.groupBy("bin").applyInPandas(_search(percent), "a long, b long"), "links")
 
