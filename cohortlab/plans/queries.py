@@ -312,7 +312,8 @@ def _geo_query(*names):
             key, payload = GEO_PAYLOAD[n]
             g = G.patient_geo(s.src("patient"), s.src(n), n)
             g = g.select("pat_id", "instance", F.col(key).alias("geo_key"),
-                         *[F.col(p).cast("double").alias("value") for p in payload[:1]],
+                         F.col(payload[0]).cast("double").alias("value"),
+                         *[F.col(p).cast("double").alias(p) for p in payload[1:]],
                          F.lit(n).alias("geo_table"))
             out = g if out is None else out.unionByName(g)
         return out

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import concepts, conditions, diagnoses
-from ..session import cut_lineage
+from ..session import cut_lineage, split_hot_keys
 from ..sources import proxy
 from ..sources.tables import Tables
 
@@ -32,6 +32,7 @@ class Study:
         the session, as the study reused its saved tables."""
         key = (spark.sparkContext.applicationId, id(spark), folder)
         if key not in cls._shared:
+            split_hot_keys(spark)
             cls._shared[key] = cls(spark, folder)
         return cls._shared[key]
 

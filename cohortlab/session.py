@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,29 +47,35 @@ def get_spark(master: str | None = None, app: str = "cohortlab",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (local runs, tests) fall back to a fresh scratch folder."""
+    """Use the cluster's shared ``spark.checkpoint.dir``. Where it is unset, a plain
+    ``local`` session (one process: tests, bench) gets a scratch folder; any other
+    session is refused, as its executors would not see one."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    shared = sc.getConf().get("spark.checkpoint.dir", None)
+    shared = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) \
+        or sc.getCheckpointDir()
     if not shared:
-        try:
-            shared = spark.conf.get("spark.checkpoint.dir")
-        except Exception:  # noqa: BLE001 - unset key
-            shared = None
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="cohortlab-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(shared)
-    return shared
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="cohortlab-stages-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared)
+    return shared.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder so that a lost executor
-    recomputes from here rather than from the sources."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a Parquet stage table in the shared folder and read it back, so
+    that a lost executor recomputes from here and later stages read only the columns
+    they use."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def split_hot_keys(spark: SparkSession) -> None:
+    """Let the adaptive planner split a hot key's partition even where an aggregate above
+    reuses the join's partitioning (it then adds a shuffle). Set on the caller's session,
+    as the default is to leave such joins unsplit."""
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:

@@ -423,7 +423,9 @@ GEO_SQL = {
         "SELECT CAST(State_County_Tract_FIPS_Code AS VARCHAR) AS gk, "
         "CAST(SecondaryRUCACode2010 AS DOUBLE) AS value FROM geo_ruca2010revised"),
     "svi2018_us": (f"substring({BG}, 1, length({BG}) - 1)",
-                   "SELECT FIPS AS gk, CAST(RPL_THEMES AS DOUBLE) AS value FROM geo_svi2018_us"),
+                   "SELECT FIPS AS gk, CAST(RPL_THEMES AS DOUBLE) AS value, CAST(RPL_THEME1 AS DOUBLE) AS RPL_THEME1, "
+                   "CAST(RPL_THEME2 AS DOUBLE) AS RPL_THEME2, CAST(RPL_THEME3 AS DOUBLE) AS RPL_THEME3, "
+                   "CAST(RPL_THEME4 AS DOUBLE) AS RPL_THEME4 FROM geo_svi2018_us"),
     "countytypologycodes2015": (
         f"CASE WHEN PATIENT_STATE_CD = 'CA' THEN substring({BG}, 2, 4) ELSE substring({BG}, 1, 5) END",
         "SELECT CAST(FIPStxt AS VARCHAR) AS gk, CAST(Economic_Type AS DOUBLE) AS value "
@@ -444,7 +446,7 @@ GEO_SQL = {
 }
 for _n, (_pk, _g) in GEO_SQL.items():
     cte(f"pg_{_n}", f"""
-SELECT p.pat_id, p.instance, p.gk AS geo_key, g.value, '{_n}' AS geo_table
+SELECT p.pat_id, p.instance, p.gk AS geo_key, g.* EXCLUDE (gk), '{_n}' AS geo_table
 FROM (SELECT *, {_pk} AS gk FROM px_patient) p JOIN ({_g}) g ON p.gk = g.gk""",
         ["px_patient", f"geo_{_n}"])
 
