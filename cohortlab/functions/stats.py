@@ -1,7 +1,10 @@
 """Risk ratio, Katz confidence interval and Fisher's exact test as column
-expressions (O2, O3). Spark SQL has no log-gamma, so ln(n!) is a column
-expression: exact table values below 10, Stirling's series above (absolute
-error below 1e-12 from n = 10 on)."""
+expressions (O2, O3).
+
+Hypergeometric probabilities use the saddle-point form: three binomial terms,
+each a deviance plus the errors of Stirling's formula. Differences of ln(n!)
+would lose the digits that tell equal tables apart (N ln N is 2e10 at N = 1e9);
+here the terms are of the size of the result."""
 
 from __future__ import annotations
 
@@ -12,38 +15,52 @@ from pyspark.sql import functions as F
 
 from ..vocab import FISHER_REL_TOL, Z_975
 
-STIRLING_FROM = 10
-_SMALL_LN_FACT = [math.lgamma(n + 1) for n in range(STIRLING_FROM)]
+SERIES_FROM = 10
+_SMALL_ERROR = [0.0] + [math.lgamma(n + 1) - ((n + 0.5) * math.log(n) - n + 0.5 * math.log(2 * math.pi))
+                        for n in range(1, SERIES_FROM)]
+
+
+def stirling_error(n: Column) -> Column:
+    """ln(n!) - ((n + 1/2) ln n - n + ln(2 pi) / 2) for integer n >= 1."""
+    x = F.greatest(n.cast("double"), F.lit(float(SERIES_FROM)))  # series branch only
+    y = 1 / (x * x)
+    series = (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y / 1680))) / x
+    table = F.array(*[F.lit(v) for v in _SMALL_ERROR])
+    return F.when(n < SERIES_FROM, F.element_at(table, (n + 1).cast("int"))).otherwise(series)
 
 
-def ln_factorial(n: Column) -> Column:
-    """ln(n!) for integer n >= 0."""
-    x = F.greatest(n.cast("double"), F.lit(float(STIRLING_FROM)))  # series branch only
-    stirling = (x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x)
-                + 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5))
-                - 1 / (1680 * F.pow(x, 7)))
-    table = F.array(*[F.lit(v) for v in _SMALL_LN_FACT])
-    return F.when(n < STIRLING_FROM, F.element_at(table, (n + 1).cast("int"))).otherwise(stirling)
+def _deviance(x: Column, mean: Column) -> Column:
+    """x ln(x / mean) + mean - x."""
+    e = (x - mean) / mean
+    return mean * ((1 + e) * F.log1p(e) - e)
 
 
-def ln_choose(n: Column, k: Column) -> Column:
-    return ln_factorial(n) - ln_factorial(k) - ln_factorial(n - k)
+def _ln_binomial(k: Column, m: Column, p: Column) -> Column:
+    """ln P(k successes of m) for 0 < p < 1."""
+    r = m - k
+    inner = (stirling_error(m) - stirling_error(k) - stirling_error(r)
+             - _deviance(k, m * p) - _deviance(r, m * (1 - p))
+             - 0.5 * F.log(2 * math.pi * k.cast("double") * r / m))
+    return F.when(k == 0, m * F.log1p(-p)).when(r == 0, m * F.log(p)).otherwise(inner)
 
 
 def relative_risk(a: Column, n1: Column, c: Column, n0: Column) -> Column:
-    """(a/n1) / (c/n0); NULL when undefined (c = 0: infinite, both 0: NaN)."""
-    return F.try_divide(F.try_divide(a.cast("double"), n1), F.try_divide(c.cast("double"), n0))
+    """(a/n1) / (c/n0); infinite with c = 0, NaN with a = c = 0, NULL for an empty arm."""
+    return F.when((n1 == 0) | (n0 == 0), F.lit(None).cast("double")) \
+        .when((c == 0) & (a == 0), F.lit(math.nan)).when(c == 0, F.lit(math.inf)) \
+        .otherwise(F.try_divide(F.try_divide(a.cast("double"), n1), F.try_divide(c.cast("double"), n0)))
 
 
 def katz_interval(a: Column, n1: Column, c: Column, n0: Column, z: float = Z_975) -> tuple[Column, Column]:
     """Log-normal (Katz) interval: RR * exp(-/+ z * sqrt(1/a - 1/n1 + 1/c - 1/n0)).
-    With a = 0 the lower bound is 0 and the upper undefined; with c = 0 the
-    lower is undefined and the upper infinite: undefined ends are NULL."""
+    With a = 0 the lower bound is 0 and the upper NaN; with c = 0 the lower is
+    NaN and the upper infinite; with both 0 both are NaN; NULL for an empty arm."""
     rr = relative_risk(a, n1, c, n0)
     se = F.sqrt(F.try_divide(F.lit(1.0), a) - F.try_divide(F.lit(1.0), n1)
                 + F.try_divide(F.lit(1.0), c) - F.try_divide(F.lit(1.0), n0))
-    lo = F.when((a == 0) & (c > 0), F.lit(0.0)).when((a > 0) & (c > 0), rr * F.exp(-z * se))
-    hi = F.when((a > 0) & (c > 0), rr * F.exp(z * se))
+    empty = F.when((n1 == 0) | (n0 == 0), F.lit(None).cast("double"))
+    lo = empty.when(c == 0, F.lit(math.nan)).when(a == 0, F.lit(0.0)).otherwise(rr * F.exp(-z * se))
+    hi = empty.when(a == 0, F.lit(math.nan)).when(c == 0, F.lit(math.inf)).otherwise(rr * F.exp(z * se))
     return lo, hi
 
 
@@ -63,10 +80,13 @@ def fisher_exact_two_sided(df: DataFrame, id_cols: list[str], a: str, n1: str, c
     hi = F.least(K, F.col(n1))
     base = df.select(*id_cols, F.col(a).alias("_a"), F.col(n1).alias("_n1"),
                      N.alias("_N"), K.alias("_K"), lo.alias("_lo"), hi.alias("_hi"))
-    lp_const = -ln_choose(F.col("_N"), F.col("_n1"))
 
     def lpmf(x: Column) -> Column:
-        return ln_choose(F.col("_K"), x) + ln_choose(F.col("_N") - F.col("_K"), F.col("_n1") - x) + lp_const
+        n, total, hits = F.col("_n1"), F.col("_N"), F.col("_K")
+        p = n / total
+        # an empty arm leaves one possible table
+        return F.when((n == 0) | (n == total), F.lit(0.0)).otherwise(
+            _ln_binomial(x, hits, p) + _ln_binomial(n - x, total - hits, p) - _ln_binomial(n, total, p))
 
     # Two-level expansion: first one row per chunk of the support, spread over
     # tasks, then the values of each chunk; no task expands a whole large table.

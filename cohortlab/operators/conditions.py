@@ -5,7 +5,7 @@ driver round trips, left join and de-duplication. Because a match always sets
 the flag to 1, the 85 rounds equal 85 EXISTS tests, which are answered here in
 one pass:
 
-  diagnoses JOIN code sets (broadcast behind a row-count check)
+  diagnoses JOIN code sets (broadcast where adaptive execution measures them small)
   -> semi joins to the two dictionary tables
   -> distinct (patient, interval, factor)
   -> JOIN cohort keys on (pat_id, instance) with the interval as a residual
@@ -18,9 +18,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast
-
-
 
 def diagnosis_mapped_semi(diag: DataFrame, dxmap: DataFrame, dx: DataFrame) -> DataFrame:
     """The study's INNER joins to the mapping and diagnosis tables only test
@@ -30,20 +27,16 @@ def diagnosis_mapped_semi(diag: DataFrame, dxmap: DataFrame, dx: DataFrame) -> D
 
 
 def coded_intervals(diag_snomed: DataFrame, codes: DataFrame, dxmap: DataFrame, dx: DataFrame,
-                    only_instance_1k: bool = False,
-                    max_broadcast_codes: int | None = None) -> DataFrame:
+                    only_instance_1k: bool = False) -> DataFrame:
     """(pat_id, instance, noted_date, resolved_date, risk_factor) for every
     mapped diagnosis whose SNOMED code is in the factor's code set.
 
-    The code set is small (factors x descendant codes) but computed, so by
-    default no hint is given and adaptive execution broadcasts it after
-    measuring it at run time; ``max_broadcast_codes`` forces a counted check."""
+    The code set is small (factors x descendant codes) but computed, so no
+    hint is given: adaptive execution broadcasts it after measuring it."""
     d = diag_snomed
     if only_instance_1k:
         d = d.filter(F.col("instance") == 1000)
     c = codes.select(F.col("code").alias("SNOMED_ids"), "risk_factor")
-    if max_broadcast_codes is not None:
-        c = bounded_broadcast(c, max_broadcast_codes)
     m = d.select("pat_id", "dx_id", "instance", "noted_date", "resolved_date", "SNOMED_ids") \
          .join(c, "SNOMED_ids")
     m = diagnosis_mapped_semi(m, dxmap, dx)

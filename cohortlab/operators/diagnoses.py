@@ -1,10 +1,9 @@
 """Diagnosis history (D1-D7): problem list and encounter diagnoses merged,
 dated, mapped to concepts and reduced to one row per diagnosis name.
 
-Each stage returns the study's de-duplicated frame. ``diagnosis_history`` runs
-the whole chain with a single de-duplication at the end: the intermediate
-DISTINCTs only drop exact repeats, which cannot change the first-contact pick
-or the final distinct rows, so they would only add shuffles.
+Each stage returns the study's de-duplicated frame, and de-duplicates the
+projected rows of the table it joins: repeats on both sides of a join would
+otherwise multiply from stage to stage.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import fill_noted_date
-from .skew import DEFAULT_HOT_KEY_ROWS, full_outer_join
+from .skew import full_outer_join
 
 KEY = ["pat_id", "dx_id", "instance"]
 
@@ -27,30 +26,29 @@ def problemlist_clean(problemlist: DataFrame) -> DataFrame:
     return pl.distinct()
 
 
-def diagnosis_full_outer(problemlist_c: DataFrame, encdx: DataFrame, dedup: bool = True,
-                         hot_key_rows: int = DEFAULT_HOT_KEY_ROWS) -> DataFrame:
+def diagnosis_full_outer(problemlist_c: DataFrame, encdx: DataFrame) -> DataFrame:
     """Problem list FULL OUTER encounter diagnoses on (pat_id, dx_id,
     instance); keys are merged (left value, else right), as a USING join does.
     Rows with a NULL key never match and come through from their own side.
-    Keys with more than ``hot_key_rows`` rows are salted (``skew.full_outer_join``):
-    adaptive execution cannot split a skewed full outer join by itself."""
-    enc = encdx.select("pat_id", "instance", "dx_id", "PAT_ENC_CSN_ID", "DIAGNOSISNAME")
-    j = full_outer_join(problemlist_c, enc, KEY, hot_key_rows=hot_key_rows)
-    out = j.select(*KEY, "PAT_ENC_CSN_ID", "NOTED_DATE", "RESOLVED_DATE", "DIAGNOSISNAME")
-    return out.distinct() if dedup else out
+    Distinct rows of both sides join to distinct rows (the keys of a pair say
+    where it came from; a lone row differs from its fellows), but a pair may
+    equal a lone row's NULLs, so the result is made distinct as in the study."""
+    enc = encdx.select("pat_id", "instance", "dx_id", "PAT_ENC_CSN_ID", "DIAGNOSISNAME").distinct()
+    j = full_outer_join(problemlist_c, enc, KEY)
+    return j.select(*KEY, "PAT_ENC_CSN_ID", "NOTED_DATE", "RESOLVED_DATE", "DIAGNOSISNAME").distinct()
 
 
-def diagnosis_contact_date(diag: DataFrame, encounter: DataFrame, dedup: bool = True) -> DataFrame:
+def diagnosis_contact_date(diag: DataFrame, encounter: DataFrame) -> DataFrame:
     """LEFT join the encounter on (pat_id, encounter id, instance)."""
-    enc = encounter.select("pat_id", "instance", "PAT_ENC_CSN_ID", "CONTACT_DATE")
+    enc = encounter.select("pat_id", "instance", "PAT_ENC_CSN_ID", "CONTACT_DATE").distinct()
     j = diag.join(enc, on=["pat_id", "PAT_ENC_CSN_ID", "instance"], how="left")
-    out = j.select(*KEY, "CONTACT_DATE", "NOTED_DATE", "RESOLVED_DATE", "DIAGNOSISNAME")
-    return out.distinct() if dedup else out
+    return j.select(*KEY, "CONTACT_DATE", "NOTED_DATE", "RESOLVED_DATE", "DIAGNOSISNAME").distinct()
 
 
 def diagnosis_concept_map(diag: DataFrame, mapping: DataFrame, dedup: bool = True) -> DataFrame:
-    """LEFT join the external concept mapping (dx_id = value, instance)."""
-    m = mapping.select(F.col("value").alias("dx_id"), "instance", "name", "concept")
+    """LEFT join the external concept mapping (dx_id = value, instance).
+    ``dedup=False`` leaves the last distinct to a caller that groups the rows anyway."""
+    m = mapping.select(F.col("value").alias("dx_id"), "instance", "name", "concept").distinct()
     j = diag.join(m, on=["dx_id", "instance"], how="left")
     out = j.select(*KEY, "CONTACT_DATE", "NOTED_DATE", "RESOLVED_DATE", "DIAGNOSISNAME",
                    "name", "concept")
@@ -104,8 +102,8 @@ def diag_snomed(diag: DataFrame) -> DataFrame:
 def diagnosis_history(problemlist: DataFrame, encdx: DataFrame, encounter: DataFrame,
                       mapping: DataFrame) -> DataFrame:
     """D1-D7 as one plan (the study's ``qw_diag_snomed`` view)."""
-    d = diagnosis_full_outer(problemlist_clean(problemlist), encdx, dedup=False)
-    d = diagnosis_contact_date(d, encounter, dedup=False)
+    d = diagnosis_full_outer(problemlist_clean(problemlist), encdx)
+    d = diagnosis_contact_date(d, encounter)
     d = diagnosis_concept_map(d, mapping, dedup=False)
     d = diagnosis_first_contact(diagnosis_full_name(d))
     return diag_snomed(d)

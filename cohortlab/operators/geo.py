@@ -3,8 +3,8 @@
 A patient's address is joined to a geography table on a key cut from the
 census block group (or ZIP), and the result is LEFT-joined to the cohort so
 every cohort row is kept. Geography tables are bounded by the number of
-census areas (about 85k tracts, 3.2k counties, 42k ZIPs in the US), so the
-geography side is broadcast behind a row-count check.
+census areas (about 85k tracts, 3.2k counties, 42k ZIPs in the US); Spark
+broadcasts them where their measured bytes are under its limit.
 """
 
 from __future__ import annotations
@@ -12,10 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast
 from ..vocab import GEO_TABLES
 
-MAX_GEO_ROWS = 2_000_000
 BG = "PATIENT_ADDR_CENSUS_BLOCKGROUP_DERIVED"
 STATE = "PATIENT_STATE_CD"
 
@@ -47,8 +45,7 @@ def geo_key(geo_name: str) -> tuple[str, F.Column, callable]:
     raise ValueError(f"unknown geography table {geo_name!r}; expected one of {GEO_TABLES}")
 
 
-def patient_geo(patients: DataFrame, geo: DataFrame, geo_name: str,
-                max_geo_rows: int = MAX_GEO_ROWS) -> DataFrame:
+def patient_geo(patients: DataFrame, geo: DataFrame, geo_name: str) -> DataFrame:
     """Patients INNER JOIN the geography table on the derived key."""
     key, pk, gt = geo_key(geo_name)
     p = patients.select("pat_id", "instance", STATE, BG, "ZIP")
@@ -56,8 +53,7 @@ def patient_geo(patients: DataFrame, geo: DataFrame, geo_name: str,
         p = p.withColumn(key, pk).drop("ZIP")
     else:
         p = p.withColumn(key, pk)
-    g = bounded_broadcast(gt(geo), max_geo_rows)
-    return p.join(g, key, "inner")
+    return p.join(gt(geo), key, "inner")
 
 
 def add_geo_features(cohort: DataFrame, patients: DataFrame, geo: DataFrame, geo_name: str,

@@ -14,7 +14,7 @@ score, built from DataFrame operations with no cartesian product:
 3. Within (group, bucket), ordered by score with pool rows first, each query
    score takes the last pool score at or below it and the first above it.
 4. A query at a bucket edge falls back to the nearest pool score of an
-   adjacent bucket: one row per (group, bucket), broadcast.
+   adjacent bucket: one row per (group, bucket).
 5. The nearer of the two wins; the matches join back to the query rows on
    (group, score), where AQE splits a hot score.
 """
@@ -30,14 +30,13 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 DEFAULT_BUCKETS = 64
-MAX_GROUPS = 10_000
 
 
 def _split_points(scores: DataFrame, col: str, buckets: int, rel_err: float = 1e-3) -> list[float]:
     probs = [i / buckets for i in range(1, buckets)]
     qs = scores.approxQuantile(col, probs, rel_err) if buckets > 1 else []
     pts = sorted({float(q) for q in qs if q is not None and not math.isnan(q)})
-    return [-math.inf] + pts + [math.inf]
+    return [-math.inf] + (pts or [0.0]) + [math.inf]  # no scores: any split will do
 
 
 def nearest_score_match(query: DataFrame, pool: DataFrame, score: str, key: list[str],
@@ -89,8 +88,8 @@ def nearest_score_match(query: DataFrame, pool: DataFrame, score: str, key: list
         *part,
         F.last("_bmax", ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias("_lo"),
         F.first("_bmin", ignorenulls=True).over(wb.rowsBetween(1, Window.unboundedFollowing)).alias("_hi"))
-    # edges has one row per (group, bucket): at most MAX_GROUPS x buckets rows
-    qs = qs.join(F.broadcast(edges), part, "left")
+    # edges has one row per (group, bucket); adaptive execution broadcasts it by its size
+    qs = qs.join(edges, part, "left")
     prev = F.coalesce(F.col("_prev"), F.col("_lo"))
     nxt = F.coalesce(F.col("_next"), F.col("_hi"))
     take_prev = nxt.isNull() | (prev.isNotNull() & ((F.col(score) - prev.s) <= (nxt.s - F.col(score))))
@@ -170,18 +169,32 @@ def nn_match_scaled(treated: DataFrame, controls: DataFrame, features: list[str]
 def shared_pool_matching(treated_long: DataFrame, controls: DataFrame, treatment: str, score: str,
                          key: list[str], group: list[str]) -> DataFrame:
     """PS3 for many comparisons that share one control pool with one score per
-    control (a fixed score), when controls outnumber the treated rows of every
-    comparison (so treated rows are always the queries). Each treated row is
-    matched once, whatever the number of comparisons it belongs to, and the
-    control pool is not copied per comparison. Output as
-    ``propensity_score_matching(..., group=group)``."""
+    control (a fixed score). Output as ``propensity_score_matching(..., group=group)``.
+
+    A table of directions (one row per comparison) is part of the plan. Where
+    controls outnumber the treated rows, the treated rows are the queries:
+    each is matched once, whatever the number of its comparisons, and the
+    pool is not copied. Controls are copied only for comparisons in the
+    reverse direction, where each control is a query of its own."""
     t_rows = treated_long.select(*group, *key, score)
-    queries = t_rows.select(*key, score).dropDuplicates(key)
-    pairs = nearest_score_match(queries, controls.select(*key, score), score, key)
-    pairs = cut_lineage(pairs)
-    j = t_rows.join(pairs.drop(score), key, "inner")
+    one = F.lit(1).alias("_one")
+    n0 = controls.agg(F.count(F.lit(1)).alias("_n0")).select(one, "_n0")
+    direction = t_rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n1")) \
+        .withColumn("_one", F.lit(1)).join(n0, "_one") \
+        .select(*group, "_one", (F.col("_n0") > F.col("_n1")).alias("_forward"))
+    direction = cut_lineage(direction)
+    t_rows = t_rows.join(direction.select(*group, "_forward"), group, "inner")
+    forward = t_rows.filter("_forward").drop("_forward")
+    pairs = nearest_score_match(forward.select(*key, score).dropDuplicates(key),
+                                controls.select(*key, score), score, key)
+    pairs = forward.join(cut_lineage(pairs).drop(score), key, "inner").withColumn(treatment, F.lit(1))
+
+    reverse = controls.select(*key, score, one).join(
+        direction.filter(~F.col("_forward")).select(*group, "_one"), "_one").drop("_one")
+    back = nearest_score_match(reverse, t_rows.filter(~F.col("_forward")).drop("_forward"), score, key, group)
+    j = pairs.unionByName(back.withColumn(treatment, F.lit(0)))
     match_id = F.col(key[-1]).alias("match_id")
-    q_rows = j.select(*group, match_id, F.lit(1).alias(treatment), *key, score)
-    p_rows = j.select(*group, match_id, F.lit(0).alias(treatment),
+    q_rows = j.select(*group, match_id, treatment, *key, score)
+    p_rows = j.select(*group, match_id, (1 - F.col(treatment)).alias(treatment),
                       *[F.col(f"m_{k}").alias(k) for k in key], F.col(f"m_{score}").alias(score))
     return q_rows.unionByName(p_rows)

@@ -57,9 +57,9 @@ def risk_table(long: DataFrame, group: list[str]) -> DataFrame:
     rr = S.relative_risk(a, n1, c, n0)
     lo, hi = S.katz_interval(a, n1, c, n0)
     ids = [*group, "outcome"]
-    p = S.fisher_exact_two_sided(long, ids, "a", "n1", "c", "n0")
-    t = long.select(*ids, "a", "n1", "c", "n0", rr.alias("_rr"), lo.alias("_lo"), hi.alias("_hi"))
-    t = t.join(p, ids, "inner")
+    # the counts travel through Fisher's aggregate, so the counts below are planned once
+    t = S.fisher_exact_two_sided(long, [*ids, "a", "n1", "c", "n0"], "a", "n1", "c", "n0")
+    t = t.withColumns({"_rr": rr, "_lo": lo, "_hi": hi})
     return t.select(*ids, "a", "n1", "c", "n0",
                     F.round("_rr", 2).alias("rr"), F.round("_lo", 2).alias("lower"),
                     F.round("_hi", 2).alias("upper"), pval_signal(F.col("p_value")).alias("pval"),

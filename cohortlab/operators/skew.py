@@ -1,22 +1,17 @@
-"""Hot-key handling for joins adaptive execution cannot split.
+"""A full outer join whose hot keys adaptive execution can split.
 
 AQE splits a skewed shuffle partition of inner, semi, anti and one-sided
 outer joins, but not of a FULL OUTER join: there, one key holding a third of
-the rows would be joined in a single task. ``full_outer_join`` handles such
-keys explicitly:
+the rows would be joined in a single task. ``full_outer_join`` is therefore
+the union of the three parts it consists of:
 
-1. Per-key row counts of both sides (a partial aggregate before the shuffle)
-   find the keys above ``hot_key_rows``. Their number is at most
-   (left rows + right rows) / ``hot_key_rows``, so the list is collected and
-   broadcast; when it is empty the plain full outer join is returned.
-2. Cold keys use the ordinary full outer join.
-3. Hot keys present on both sides are joined as an inner join on
-   (key, salt): per key, the side with more rows gets a salt from a hash of
-   the whole row (deterministic, so a retried task rebuilds the same rows),
-   the other side is repeated once per salt value. Each hot key is spread
-   over ``salts`` tasks; no decision goes through the driver.
-4. Hot keys present on one side only pass through with NULLs for the other
-   side (anti joins against the broadcast key lists).
+1. matching pairs: an inner join (split on either side);
+2. left rows without a partner: an anti join against the distinct keys of
+   the right side, so a key that is hot on the right is one row there;
+3. right rows without a partner, likewise.
+
+The plan is the same at every size, no counts are taken and nothing is
+collected. It costs one more shuffle of each side than the plain join.
 """
 
 from __future__ import annotations
@@ -24,61 +19,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_HOT_KEY_ROWS = 1_000_000
-DEFAULT_SALTS = 64
-
 
 def _nulls_for(df: DataFrame, cols: list[str], like: DataFrame) -> DataFrame:
-    for c in cols:
-        df = df.withColumn(c, F.lit(None).cast(like.schema[c].dataType))
-    return df
+    return df.withColumns({c: F.lit(None).cast(like.schema[c].dataType) for c in cols})
 
 
-def full_outer_join(left: DataFrame, right: DataFrame, keys: list[str],
-                    hot_key_rows: int = DEFAULT_HOT_KEY_ROWS, salts: int = DEFAULT_SALTS) -> DataFrame:
-    """FULL OUTER JOIN USING ``keys`` (keys merged, NULL keys never match)
-    with hot keys spread over ``salts`` tasks. Same rows as the plain join."""
+def full_outer_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """FULL OUTER JOIN USING ``keys`` (keys merged, NULL keys never match).
+    Same rows as the plain join."""
     lcols = [c for c in left.columns if c not in keys]
     rcols = [c for c in right.columns if c not in keys]
     cols = keys + lcols + rcols
-    nonnull = F.lit(True)
-    for k in keys:
-        nonnull = nonnull & F.col(k).isNotNull()
-
-    counts = left.filter(nonnull).groupBy(*keys).agg(F.count(F.lit(1)).alias("_nl"),
-                                                     F.lit(0).cast("long").alias("_nr")) \
-        .unionByName(right.filter(nonnull).groupBy(*keys).agg(F.lit(0).cast("long").alias("_nl"),
-                                                              F.count(F.lit(1)).alias("_nr")))
-    hot = counts.groupBy(*keys).agg(F.sum("_nl").alias("_nl"), F.sum("_nr").alias("_nr")) \
-                .filter(F.col("_nl") + F.col("_nr") > hot_key_rows)
-    # At most (rows of both sides) / hot_key_rows keys come back; with none,
-    # the plain join is used and no extra branch reads the inputs again.
-    hot_rows = hot.collect()
-    if not hot_rows:
-        return left.join(right, keys, "full_outer").select(*cols)
-    hot = F.broadcast(left.sparkSession.createDataFrame(hot_rows, hot.schema))
-
-    cold = left.join(hot.select(*keys), keys, "left_anti") \
-               .join(right.join(hot.select(*keys), keys, "left_anti"), keys, "full_outer")
-
-    # Hot keys on both sides: per key, the side with more rows is salted by a
-    # row hash and the other side is repeated once per salt value.
-    both = F.broadcast(hot.filter((F.col("_nl") > 0) & (F.col("_nr") > 0)))
-    lb = left.join(both, keys, "inner")
-    lb = lb.withColumn("_salt", F.when(F.col("_nl") >= F.col("_nr"),
-                                       F.array(F.pmod(F.xxhash64(*left.columns), F.lit(salts))))
-                       .otherwise(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    rb = right.join(both, keys, "inner")
-    rb = rb.withColumn("_salt", F.when(F.col("_nl") < F.col("_nr"),
-                                       F.array(F.pmod(F.xxhash64(*right.columns), F.lit(salts))))
-                       .otherwise(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    lb = lb.withColumn("_salt", F.explode("_salt")).drop("_nl", "_nr")
-    rb = rb.withColumn("_salt", F.explode("_salt")).drop("_nl", "_nr")
-    hot_both = lb.join(rb, [*keys, "_salt"], "inner").drop("_salt")
-    l_hot = left.join(hot.select(*keys), keys, "left_semi")
-    r_hot = right.join(hot.select(*keys), keys, "left_semi")
-    both = both.select(*keys)
-    l_only = _nulls_for(l_hot.join(both, keys, "left_anti"), rcols, right)
-    r_only = _nulls_for(r_hot.join(both, keys, "left_anti"), lcols, left)
-    return cold.select(*cols).unionByName(hot_both.select(*cols)) \
-               .unionByName(l_only.select(*cols)).unionByName(r_only.select(*cols))
+    both = left.join(right, keys, "inner")
+    l_only = left.join(right.select(*keys).distinct(), keys, "left_anti")
+    r_only = right.join(left.select(*keys).distinct(), keys, "left_anti")
+    return both.select(*cols).unionByName(_nulls_for(l_only, rcols, right).select(*cols)) \
+               .unionByName(_nulls_for(r_only, lcols, left).select(*cols))

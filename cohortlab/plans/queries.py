@@ -410,15 +410,17 @@ _enc("encode_delivery_method", _delivery_cols)
 
 @query("year_one_hot")
 def q_year_one_hot(spark, folder):
+    """F15 for the years present, one row per pregnancy and indicator."""
     p = Study.shared(spark, folder).pregnancy
-    return p.select("episode_id", "delivery_year",
-                    *[v.alias(k) for k, v in FT.year_one_hot(proxy.PROXY_YEARS).items()])
+    hot = FT.year_one_hot(FT.distinct_years(p))
+    return p.select("episode_id", "delivery_year", F.inline(F.array(*[
+        F.struct(F.lit(k).alias("indicator"), v.alias("value")) for k, v in hot.items()])))
 
 
 @query("median_impute_svi")
 def q_median_impute_svi(spark, folder):
     s = Study.shared(spark, folder)
-    long = s.comparisons_long().filter(F.col("comparison") == "IMID")
+    long = s.overall()
     out = FT.median_impute(long.select(*KEY, "IMID_status", *SVI_IMPUTED), SVI_IMPUTED, ["IMID_status"])
     return _r6(out, SVI_IMPUTED)
 
@@ -434,21 +436,22 @@ def q_median_impute_all(spark, folder):
 @query("missingness_report")
 def q_missingness_report(spark, folder):
     s = Study.shared(spark, folder)
-    long = s.comparisons_long().filter(F.col("comparison") == "IMID")
-    return FT.missingness(long, SVI_IMPUTED + ["pregravid_bmi"], ["IMID_status"])
+    return FT.missingness(s.overall(), SVI_IMPUTED + ["pregravid_bmi"], ["IMID_status"])
 
 
 @query("psm_features")
 def q_psm_features(spark, folder):
+    """F14; the year indicators (as many as years) are reported as the names that are set."""
     s = Study.shared(spark, folder)
-    long = s.comparisons_long().filter(F.col("comparison") == "IMID")
-    f, names = s.features(long)
-    return _r6(f.drop("comparison"), SVI_IMPUTED)
+    f, names = s.features(s.overall())
+    hot = [n for n in names if n.startswith("year_")]
+    f = f.withColumn("years_set", F.concat_ws("|", *[F.when(F.col(n) == 1, F.lit(n)) for n in hot]))
+    return _r6(f.drop("comparison", *hot), SVI_IMPUTED)
 
 
 # ------------------------------------------------------------------ matching, balance
 def _overall(s: Study) -> DataFrame:
-    return s.comparisons_long().filter(F.col("comparison") == "IMID")
+    return s.overall()
 
 
 @query("psm_match_1nn")
@@ -568,16 +571,19 @@ def q_outcomes_sensitivity(spark, folder):
     return Study.shared(spark, folder).outcome_table("sensitivity")
 
 
-# ------------------------------------------------------------------ fitted scores (rows-only)
+# ------------------------------------------------------------------ fitted scores
 @query("propensity_score")
 def q_propensity_score(spark, folder):
-    """PS1: logistic fit on the overall comparison; per arm the row count and
-    mean score (at the optimum the mean score equals the treated share)."""
+    """PS1: logistic fit on the overall comparison. Reported per covariate (and
+    intercept): the sum of score x value, which at the optimum equals the sum of
+    the treated rows' values. The area ranks are fractions and left out."""
     s = Study.shared(spark, folder)
     f, names = s.features(_overall(s))
-    scored = propensity_score(f, "IMID_status", names)
-    return scored.groupBy("IMID_status").agg(F.count(F.lit(1)).alias("n"),
-                                             F.avg("propensity_score").alias("mean_score"))
+    scored = propensity_score(f, "IMID_status", names).withColumn("intercept", F.lit(1))
+    shown = ["intercept"] + [n for n in names if not n.startswith("RPL_")]
+    sums = scored.agg(*[F.round(F.sum(F.col("propensity_score") * F.col(n)), 2).alias(n) for n in shown])
+    return sums.select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("variable"), F.col(n).alias("score_sum")) for n in shown])))
 
 
 @query("psm_by_comparison")

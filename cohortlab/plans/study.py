@@ -76,7 +76,7 @@ class Study:
 
     @cached_property
     def diag_snomed(self) -> DataFrame:
-        """D1-D7 in one plan (no intermediate de-duplication)."""
+        """D1-D7 in one plan."""
         return diagnoses.diagnosis_history(self.src("problemlist"), self.src("encounterdiagnosis"),
                                            self.src("encounter"), self.src("externalconceptmapping"))
 
@@ -133,7 +133,7 @@ class Study:
         return exposure.exposure_pivot(self.exposure_rows(), proxy.PROXY_MEDS)
 
     # ------------------------------------------------------------- matching stage
-    COMORBIDITIES = proxy.PROXY_RISK_FACTORS
+    COMORBIDITIES = proxy.PROXY_COMORBIDITIES
     KEY = ["pat_id", "instance", "episode_id"]
 
     @cached_property
@@ -163,6 +163,21 @@ class Study:
         from ..vocab import IMIDS
         return C.split_arms(self.study_cohort, IMIDS)
 
+    @cached_property
+    def years(self) -> list[int]:
+        """Delivery years present in the union of the arms."""
+        from ..operators.features import distinct_years
+        treated, controls = self.arms
+        return distinct_years(treated.select("delivery_year").unionByName(controls.select("delivery_year")))
+
+    def overall(self) -> DataFrame:
+        """The comparison of all diseases ('IMID') alone: ``comparisons_long`` of it,
+        without copying the controls for the others."""
+        treated, controls = self.arms
+        return controls.withColumn("IMID_status", F.lit(0)) \
+            .unionByName(treated.withColumn("IMID_status", F.lit(1))) \
+            .withColumn("comparison", F.lit("IMID"))
+
     def comparisons_long(self, cohort: DataFrame | None = None) -> DataFrame:
         """Treated rows once per comparison they belong to ('IMID' = any of the
         diseases, plus each disease flagged), control rows once per comparison;
@@ -189,26 +204,17 @@ class Study:
         from ..vocab import MATCH_BASE_COLUMNS
         cols = MATCH_BASE_COLUMNS if sensitivity else self.select_columns
         key = self.KEY + (extra or [])
-        return psm_features(long, cols, proxy.PROXY_YEARS, key, arm=["comparison", "IMID_status"])
+        return psm_features(long, cols, self.years, key, arm=["comparison", "IMID_status"])
 
     def matched(self, score: str = "px_score", long: DataFrame | None = None) -> DataFrame:
-        """PS3 per comparison on a fixed score column. A fixed score is the same
-        for a control in every comparison, so when controls outnumber the
-        treated rows of every comparison the pool is matched once
-        (``shared_pool_matching``); otherwise per comparison."""
-        from ..operators.matching import propensity_score_matching, shared_pool_matching
+        """PS3 per comparison on a fixed score column, which is the same for a control
+        in every comparison: see ``shared_pool_matching``."""
+        from ..operators.matching import shared_pool_matching
         long = self.comparisons_long() if long is None else long
-        sel = long.select("comparison", "IMID_status", *self.KEY, score)
-        # one row per comparison: a bounded list of arm sizes
-        sizes = sel.groupBy("comparison").agg(
-            F.sum(F.col("IMID_status")).alias("n1"),
-            F.sum(1 - F.col("IMID_status")).alias("n0")).collect()
-        if sizes and all(r.n0 > r.n1 for r in sizes):
-            treated = sel.filter(F.col("IMID_status") == 1)
-            _, controls = self.arms
-            return shared_pool_matching(treated, controls.select(*self.KEY, score), "IMID_status",
-                                        score, self.KEY, ["comparison"])
-        return propensity_score_matching(sel, "IMID_status", score, self.KEY, group=["comparison"])
+        treated = long.filter(F.col("IMID_status") == 1).select("comparison", *self.KEY, score)
+        _, controls = self.arms
+        return shared_pool_matching(treated, controls.select(*self.KEY, score), "IMID_status",
+                                    score, self.KEY, ["comparison"])
 
     def outcome_table(self, analysis: str, matched: DataFrame | None = None) -> DataFrame:
         """Risk table per comparison and outcome for one analysis:

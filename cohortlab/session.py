@@ -1,4 +1,4 @@
-"""Session defaults, lineage cuts and size-checked broadcasts."""
+"""Session defaults and lineage cuts."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Settings applied only when the session does not set them already.
 DEFAULT_CONF = {
@@ -76,11 +75,3 @@ def split_hot_keys(spark: SparkSession) -> None:
     reuses the join's partitioning (it then adds a shuffle). Set on the caller's session,
     as the default is to leave such joins unsplit."""
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows (checked with a
-    limited count, which stops early); otherwise return it unhinted so the
-    planner shuffles it."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df

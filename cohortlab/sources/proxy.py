@@ -9,20 +9,20 @@ the input tables.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..vocab import IMIDS, MATCH_COMORBIDITIES, RISK_FACTORS
 from .tables import Tables
 
-# Proxy vocabularies: the six part types stand in for medication classes and,
-# crossed with two brands, for twelve condition registry nodes.
+# Proxy vocabularies: the six part types stand in for medication classes. Every
+# (type, brand) pair is a condition registry node, dealt in turn to the study's
+# conditions (the diseases compared have their own columns in ``pregnancy``).
 PROXY_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-PROXY_BRANDS = ["Brand#1", "Brand#2"]
 PROXY_MEDS = [t.lower() for t in PROXY_TYPES]
-PROXY_RISK_FACTORS = [f"{t.lower()}_brand{b[-1]}" for t in PROXY_TYPES for b in PROXY_BRANDS]
-PROXY_YEARS = list(range(1995, 2003))
+PROXY_RISK_FACTORS = [f for f in RISK_FACTORS if f not in IMIDS]
+PROXY_COMORBIDITIES = [f for f in MATCH_COMORBIDITIES if f in PROXY_RISK_FACTORS]
+BRANDS_PER_TYPE = 25
 PROXY_MIN_DELIVERY_YEAR = 1995          # exclusive lower bound used on the proxy cohort
 PROXY_ROUTE = {"A": "Oral", "R": "Rectal", "N": "Topical"}
 PROXY_ORDER_CLASS = {"F": "Historical Med", "O": "Normal"}
@@ -70,7 +70,7 @@ def patient(t: Tables) -> DataFrame:
                  F.lpad((key % 3 + 1).cast("string"), 3, "0"),
                  F.lpad((key % 7 + 1).cast("string"), 6, "0"),
                  F.lit("1")).alias("PATIENT_ADDR_CENSUS_BLOCKGROUP_DERIVED"),
-        F.concat(F.lpad((key % 50 + 1).cast("string"), 5, "0"), F.lit("-0001")).alias("ZIP"),
+        F.concat(F.lpad((key % 60 + 1).cast("string"), 5, "0"), F.lit("-0001")).alias("ZIP"),
     )
 
 
@@ -139,27 +139,15 @@ def ruralurbancontinuumcodes2013(t: Tables) -> DataFrame:
 
 
 def farcodeszip2010(t: Tables) -> DataFrame:
+    """All ZIPs 1-50; patients in ZIPs 51-60 have no row here."""
     z = t.customer.select((F.col("c_custkey") % 50 + 1).alias("z")).distinct()
-    z = z.filter(F.col("z") <= 40)
     return z.select(F.lpad(F.col("z").cast("string"), 5, "0").alias("ZIP"),
                     (F.col("z") % 2).cast("int").alias("FAR_LEVEL1"))
 
 
-GEO_SOURCES = {
-    "ruca2010revised": ruca2010revised,
-    "svi2018_us": svi2018_us,
-    "countytypologycodes2015": countytypologycodes2015,
-    "urbaninfluencecodes2013": urbaninfluencecodes2013,
-    "svi2018_us_county": svi2018_us_county,
-    "ruralurbancontinuumcodes2013": ruralurbancontinuumcodes2013,
-    "farcodeszip2010": farcodeszip2010,
-}
-
-
 # ---------------------------------------------------------------- pregnancies
 
 def pregnancy(t: Tables, imids: list[str] | None = None) -> DataFrame:
-    from ..vocab import IMIDS
     imids = imids or IMIDS
     o = t.orders
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
@@ -232,8 +220,15 @@ def medication_order(t: Tables) -> DataFrame:
 
 # ---------------------------------------------------------------- diagnosis history
 
+def _flag_split(flag: str, parity: int) -> Column:
+    """Every line item goes to one of the two diagnosis sources: flag A to the problem
+    list, R to the encounters, N by the parity of its order."""
+    return F.col("l_returnflag").isin(flag, "N") & \
+        ((F.col("l_returnflag") == flag) | (F.col("l_orderkey") % 2 == parity))
+
+
 def problemlist(t: Tables) -> DataFrame:
-    l = t.lineitem.filter(F.col("l_returnflag") == "A").select(
+    l = t.lineitem.filter(_flag_split("A", 0)).select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_shipdate")
     o = t.orders.select("o_orderkey", "o_custkey")
     j = l.join(o, l.l_orderkey == o.o_orderkey)
@@ -251,7 +246,7 @@ def problemlist(t: Tables) -> DataFrame:
 
 
 def encounterdiagnosis(t: Tables) -> DataFrame:
-    l = t.lineitem.filter(F.col("l_returnflag") == "R").select("l_orderkey", "l_partkey")
+    l = t.lineitem.filter(_flag_split("R", 1)).select("l_orderkey", "l_partkey")
     o = t.orders.select("o_orderkey", "o_custkey")
     p = t.part.select("p_partkey", "p_name")
     j = l.join(o, l.l_orderkey == o.o_orderkey).join(p, l.l_partkey == p.p_partkey)
@@ -332,23 +327,22 @@ def concept_ancestor(t: Tables) -> DataFrame:
     return ids.select(e).select("e.*").distinct()
 
 
-def _registry_parts(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", "p_type", "p_brand").filter(F.col("p_brand").isin(PROXY_BRANDS))
-
-
 def _risk_factor_name(typ: Column, brand: Column) -> Column:
-    return F.concat(F.lower(typ), F.lit("_brand"), F.substring(brand, 7, 3))
+    number = F.substring(brand, 7, 3).cast("int") - 1
+    node = F.array_position(F.array(*[F.lit(x) for x in PROXY_TYPES]), typ) * BRANDS_PER_TYPE + number
+    return F.get(F.array(*[F.lit(f) for f in PROXY_RISK_FACTORS]),
+                 (node % len(PROXY_RISK_FACTORS)).cast("int"))
 
 
 def condition_registry(t: Tables) -> DataFrame:
-    p = _registry_parts(t)
+    p = t.part.select("p_type", "p_brand")
     return p.select(_risk_factor_name(F.col("p_type"), F.col("p_brand")).alias("risk_factor"),
                     F.concat(F.col("p_type"), F.lit("/"), F.col("p_brand")).alias("concept_code")
                     ).distinct()
 
 
 def condition_patch(t: Tables) -> DataFrame:
-    p = _registry_parts(t).filter(F.col("p_partkey") % 17 == 0)
+    p = t.part.select("p_partkey", "p_type", "p_brand").filter(F.col("p_partkey") % 17 == 0)
     return p.select(_risk_factor_name(F.col("p_type"), F.col("p_brand")).alias("risk_factor"),
                     _part_code(F.col("p_partkey")).alias("concept_code"))
 
@@ -359,7 +353,3 @@ def diagnosismapping(t: Tables) -> DataFrame:
 
 def diagnosis(t: Tables) -> DataFrame:
     return t.part.filter(F.col("p_size") < 49).select(F.col("p_partkey").alias("dx_id"))
-
-
-def any_of(cols: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.col(c) == 1 for c in cols])

@@ -43,7 +43,7 @@ SELECT c_custkey AS pat_id, {INST.format(c='c_custkey')} AS instance,
   CASE WHEN c_nationkey = 5 THEN 'CA' ELSE 'S' || CAST(c_nationkey AS VARCHAR) END AS PATIENT_STATE_CD,
   lpad(CAST(c_nationkey + 1 AS VARCHAR), 2, '0') || lpad(CAST(c_custkey % 3 + 1 AS VARCHAR), 3, '0')
     || lpad(CAST(c_custkey % 7 + 1 AS VARCHAR), 6, '0') || '1' AS PATIENT_ADDR_CENSUS_BLOCKGROUP_DERIVED,
-  lpad(CAST(c_custkey % 50 + 1 AS VARCHAR), 5, '0') || '-0001' AS ZIP
+  lpad(CAST(c_custkey % 60 + 1 AS VARCHAR), 5, '0') || '-0001' AS ZIP
 FROM customer""")
 
 cte("px_tracts", """
@@ -89,7 +89,7 @@ SELECT fips_num AS FIPS, CAST((n + county) % 9 + 1 AS INTEGER) AS RUCC_2013 FROM
     ["px_counties"])
 cte("geo_farcodeszip2010", """
 SELECT lpad(CAST(z AS VARCHAR), 5, '0') AS ZIP, CAST(z % 2 AS INTEGER) AS FAR_LEVEL1
-FROM (SELECT DISTINCT c_custkey % 50 + 1 AS z FROM customer) WHERE z <= 40""")
+FROM (SELECT DISTINCT c_custkey % 50 + 1 AS z FROM customer)""")
 
 # ------------------------------------------------------------------ pregnancies
 _race = {1: "['White']", 2: "['White or Caucasian']", 3: "['Asian']",
@@ -158,13 +158,14 @@ SELECT o_custkey AS pat_id, l_partkey AS dx_id, {INST.format(c='o_custkey')} AS
   CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS NOTED_DATE,
   CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) + 180 END AS RESOLVED_DATE,
   CAST(l_shipdate AS DATE) + CAST(l_quantity - 25 AS INTEGER) AS DATE_OF_ENTRY
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'A'""")
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+WHERE l_returnflag = 'A' OR (l_returnflag = 'N' AND l_orderkey % 2 = 0)""")
 
 cte("px_encdx", f"""
 SELECT o_custkey AS pat_id, {INST.format(c='o_custkey')} AS instance, l_partkey AS dx_id,
   l_orderkey AS PAT_ENC_CSN_ID, p_name AS DIAGNOSISNAME
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
-WHERE l_returnflag = 'R'""")
+WHERE l_returnflag = 'R' OR (l_returnflag = 'N' AND l_orderkey % 2 = 1)""")
 
 cte("px_encounter", f"""
 SELECT o_custkey AS pat_id, {INST.format(c='o_custkey')} AS instance, o_orderkey AS PAT_ENC_CSN_ID,
@@ -200,13 +201,15 @@ SELECT DISTINCT * FROM (
   UNION ALL SELECT {_T}, {_B}, 1 FROM part
   UNION ALL SELECT {_T}, {_T}, 0 FROM part)""")
 
-RF_NAME = "lower(p_type) || '_brand' || substring(p_brand, 7, 3)"
+_FACTOR_LIST = "[" + ", ".join(f"'{f}'" for f in PROXY_RISK_FACTORS) + "]"
+_TYPE_NO = ("CASE p_type WHEN 'ECONOMY' THEN 1 WHEN 'LARGE' THEN 2 WHEN 'MEDIUM' THEN 3 WHEN 'PROMO' THEN 4 "
+            "WHEN 'SMALL' THEN 5 WHEN 'STANDARD' THEN 6 END")
+RF_NAME = (f"{_FACTOR_LIST}[1 + (({_TYPE_NO}) * 25 + CAST(substring(p_brand, 7, 3) AS INTEGER) - 1) "
+           f"% {len(PROXY_RISK_FACTORS)}]")
 cte("px_registry", f"""
-SELECT DISTINCT {RF_NAME} AS risk_factor, p_type || '/' || p_brand AS concept_code
-FROM part WHERE p_brand IN ('Brand#1', 'Brand#2')""")
+SELECT DISTINCT {RF_NAME} AS risk_factor, p_type || '/' || p_brand AS concept_code FROM part""")
 cte("px_patch", f"""
-SELECT {RF_NAME} AS risk_factor, {PCODE} AS concept_code
-FROM part WHERE p_brand IN ('Brand#1', 'Brand#2') AND p_partkey % 17 = 0""")
+SELECT {RF_NAME} AS risk_factor, {PCODE} AS concept_code FROM part WHERE p_partkey % 17 = 0""")
 cte("px_dxmap", "SELECT p_partkey AS dx_id FROM part WHERE p_size > 2")
 cte("px_dx", "SELECT p_partkey AS dx_id FROM part WHERE p_size < 49")
 
@@ -485,7 +488,7 @@ PSIG = """CASE WHEN {p} IS NULL THEN NULL WHEN isnan({p}) THEN '****' WHEN {p} >
   WHEN {p} > 0.0001 THEN '***' ELSE '****' END"""
 
 # ------------------------------------------------------------------ matching stage
-from cohortlab.sources.proxy import PROXY_MIN_DELIVERY_YEAR, PROXY_YEARS  # noqa: E402
+from cohortlab.sources.proxy import PROXY_COMORBIDITIES, PROXY_MIN_DELIVERY_YEAR  # noqa: E402
 
 _RF_COLS = ", ".join(f"f.{f}" for f in PROXY_RISK_FACTORS)
 cte("s_cohort", f"""
@@ -582,8 +585,9 @@ FROM s_long WHERE comparison = 'IMID'""", ["s_long"])
 match_sql("m_rev", "s_long_swapped", "px_score")
 
 # ------------------------------------------------------------------ features
-_YEAR_COLS = ", ".join(f"CASE WHEN delivery_year = {y} THEN 1 ELSE 0 END AS year_{y}" for y in PROXY_YEARS)
-_RFS = ", ".join(PROXY_RISK_FACTORS)
+_RFS = ", ".join(PROXY_COMORBIDITIES)
+# years of the union of arms: one indicator each
+cte("s_years", "SELECT DISTINCT delivery_year AS y FROM s_long WHERE delivery_year IS NOT NULL", ["s_long"])
 
 
 def features_sql(name: str, long: str, sensitivity: bool) -> None:
@@ -601,7 +605,7 @@ SELECT comparison, IMID_status, pat_id, instance, episode_id,
   RPL_THEME1, RPL_THEME2, RPL_THEME3, RPL_THEME4,
   {RUCA_CODE.format(c='ruca_categorization')} AS ruca_categorization,
   {rf}
-  {_YEAR_COLS},
+  delivery_year,
   CASE WHEN race_f = 'White or Caucasian' THEN 1 ELSE 0 END AS race_white,
   CASE WHEN race_f = 'Asian' THEN 1 ELSE 0 END AS race_asian,
   CASE WHEN race_f = 'Black or African American' THEN 1 ELSE 0 END AS race_black,
@@ -627,21 +631,31 @@ features_sql("f_all", "s_long", False)
 FEATURE_COLS = (["pregravid_bmi", "age_at_start_dt", "ethnic_group", "ob_hx_infant_sex", "Parity",
                  "Gravidity", "Preterm_history", "illegal_drug_user", "smoker", "RPL_THEME1",
                  "RPL_THEME2", "RPL_THEME3", "RPL_THEME4", "ruca_categorization"]
-                + PROXY_RISK_FACTORS + [f"year_{y}" for y in PROXY_YEARS]
+                + PROXY_COMORBIDITIES
                 + ["race_white", "race_asian", "race_black", "race_other", "commercial_insurance"])
 
 
-def cohen_sql(src: str) -> str:
+def long_sql(src: str) -> str:
+    """(comparison, IMID_status, variable, value): every covariate, years included."""
     casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in FEATURE_COLS)
-    cols = ", ".join(FEATURE_COLS)
+    return f"""
+SELECT comparison, IMID_status, variable, value
+FROM (UNPIVOT (SELECT comparison, IMID_status, {casts} FROM {src}) ON {", ".join(FEATURE_COLS)}
+      INTO NAME variable VALUE value)
+UNION ALL
+SELECT comparison, IMID_status, 'year_' || CAST(y AS VARCHAR),
+  CASE WHEN delivery_year = y THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+FROM {src}, s_years"""
+
+
+def cohen_sql(src: str) -> str:
     return f"""
 SELECT comparison, variable,
   (avg(value) FILTER (WHERE IMID_status = 1) - avg(value) FILTER (WHERE IMID_status = 0))
   / NULLIF(sqrt(((count(value) FILTER (WHERE IMID_status = 1) - 1) * var_samp(value) FILTER (WHERE IMID_status = 1)
      + (count(value) FILTER (WHERE IMID_status = 0) - 1) * var_samp(value) FILTER (WHERE IMID_status = 0))
      / NULLIF(CAST(count(value) - 2 AS DOUBLE), 0)), 0) AS effect_size
-FROM (UNPIVOT (SELECT comparison, IMID_status, {casts} FROM {src}) ON {cols}
-      INTO NAME variable VALUE value)
+FROM ({long_sql(src)})
 GROUP BY comparison, variable"""
 
 
@@ -650,8 +664,15 @@ SELECT m.comparison, m.IMID_status, f.* EXCLUDE (comparison, IMID_status)
 FROM m_all m JOIN f_all f ON m.comparison = f.comparison AND m.pat_id = f.pat_id
   AND m.instance = f.instance AND m.episode_id = f.episode_id AND f.IMID_status = m.IMID_status""",
     ["m_all", "f_all"])
-cte("es_before", cohen_sql("f_all"), ["f_all"])
-cte("es_after", cohen_sql("f_matched"), ["f_matched"])
+cte("es_before", cohen_sql("f_all"), ["f_all", "s_years"])
+cte("es_after", cohen_sql("f_matched"), ["f_matched", "s_years"])
+# the logistic optimum: per covariate, the scores add up to the treated rows' values
+cte("f_sums", f"""
+SELECT variable, CAST(SUM(IMID_status * value) AS DOUBLE) AS score_sum
+FROM ({long_sql("f_all")}) WHERE comparison = 'IMID' AND NOT starts_with(variable, 'RPL_')
+GROUP BY variable
+UNION ALL SELECT 'intercept', CAST(SUM(IMID_status) AS DOUBLE) FROM f_all WHERE comparison = 'IMID'""",
+    ["f_all", "s_years"])
 
 # ------------------------------------------------------------------ outcomes
 OUTCOME_AGGS = """count(*) AS n,
@@ -685,12 +706,16 @@ def _lnc(n: str, k: str) -> str:
 
 
 def risk_sql(name: str, long: str) -> None:
-    rr = "(CASE WHEN c = 0 OR n1 = 0 OR n0 = 0 THEN NULL ELSE (CAST(a AS DOUBLE) / n1) / (CAST(c AS DOUBLE) / n0) END)"
+    nan, inf = "CAST('NaN' AS DOUBLE)", "CAST('Infinity' AS DOUBLE)"
+    rr = (f"(CASE WHEN n1 = 0 OR n0 = 0 THEN NULL WHEN c = 0 AND a = 0 THEN {nan} WHEN c = 0 THEN {inf} "
+          "ELSE (CAST(a AS DOUBLE) / n1) / (CAST(c AS DOUBLE) / n0) END)")
     se = "sqrt(1.0 / a - 1.0 / n1 + 1.0 / c - 1.0 / n0)"
     cte(f"{name}_ci", f"""
 SELECT comparison, outcome, a, n1, c, n0, {rr} AS rr,
-  CASE WHEN a = 0 AND c > 0 THEN 0.0 WHEN a > 0 AND c > 0 THEN {rr} * exp(-{_Z} * {se}) END AS lower,
-  CASE WHEN a > 0 AND c > 0 THEN {rr} * exp({_Z} * {se}) END AS upper
+  CASE WHEN n1 = 0 OR n0 = 0 THEN NULL WHEN c = 0 THEN {nan} WHEN a = 0 THEN 0.0
+    ELSE {rr} * exp(-{_Z} * {se}) END AS lower,
+  CASE WHEN n1 = 0 OR n0 = 0 THEN NULL WHEN a = 0 THEN {nan} WHEN c = 0 THEN {inf}
+    ELSE {rr} * exp({_Z} * {se}) END AS upper
 FROM {long}""", [long])
     lp = (f"{_lnc('K', 'x')} + {_lnc('N - K', 'n1 - x')} - {_lnc('N', 'n1')}")
     lp_obs = (f"{_lnc('K', 'a')} + {_lnc('N - K', 'n1 - a')} - {_lnc('N', 'n1')}")

@@ -96,7 +96,7 @@ FROM px_cohort c LEFT JOIN e_pivot p ON c.pat_id = p.pat_id AND c.instance = p.i
   AND c.lmp = p.lmp AND c.gestational_days = p.gestational_days""", ["px_cohort", "e_pivot"])
 
 # ------------------------------------------------------------------ cohort and arms
-from cohortlab.sources.proxy import PROXY_MIN_DELIVERY_YEAR, PROXY_YEARS  # noqa: E402
+from cohortlab.sources.proxy import PROXY_MIN_DELIVERY_YEAR  # noqa: E402
 from cohortlab.vocab import DELIVERY_CSECTION, DELIVERY_VAGINAL, IMIDS  # noqa: E402
 
 from . import proxy_sql as P  # noqa: E402
@@ -195,9 +195,11 @@ SELECT episode_id, delivery_label,
   AS delivery_code
 FROM (SELECT episode_id, list_element({_LIST}, CAST(episode_id % {len(_LABELS) + 1} + 1 AS INTEGER))
         AS delivery_label FROM px_pregnancy)""", ["px_pregnancy"])
-oracle("year_one_hot", "SELECT episode_id, delivery_year, " + ", ".join(
-    f"CASE WHEN delivery_year = {y} THEN 1 ELSE 0 END AS year_{y}" for y in PROXY_YEARS)
-    + " FROM px_pregnancy", ["px_pregnancy"])
+oracle("year_one_hot", """
+SELECT episode_id, delivery_year, 'year_' || CAST(y AS VARCHAR) AS indicator,
+  CASE WHEN delivery_year = y THEN 1 ELSE 0 END AS value
+FROM px_pregnancy, (SELECT DISTINCT delivery_year AS y FROM px_pregnancy WHERE delivery_year IS NOT NULL)""",
+       ["px_pregnancy"])
 
 # ------------------------------------------------------------------ imputation, features
 _SVI4 = ["RPL_THEME1", "RPL_THEME2", "RPL_THEME3", "RPL_THEME4"]
@@ -216,7 +218,8 @@ oracle("missingness_report", "SELECT IMID_status, " + ", ".join(
     f"(round(100.0 * SUM(CASE WHEN {c} IS NULL OR isnan({c}) THEN 0 ELSE 1 END) / count(*), 1) + 0.0) AS pct_{c}"
     for c in _SVI4 + ["pregravid_bmi"])
     + " FROM s_long WHERE comparison = 'IMID' GROUP BY IMID_status", ["s_long"])
-oracle("psm_features", "SELECT * EXCLUDE (comparison, RPL_THEME1, RPL_THEME2, RPL_THEME3, RPL_THEME4), "
+oracle("psm_features", "SELECT * EXCLUDE (comparison, delivery_year, RPL_THEME1, RPL_THEME2, RPL_THEME3, "
+       "RPL_THEME4), COALESCE('year_' || CAST(delivery_year AS VARCHAR), '') AS years_set, "
        + ", ".join(f"(round({c}, 6) + 0.0) AS {c}" for c in _SVI4)
        + " FROM f_all WHERE comparison = 'IMID'", ["f_all"])
 
@@ -240,6 +243,8 @@ FROM es_after WHERE comparison = 'IMID'""", ["es_before", "es_after"])
 oracle("balance_by_comparison", "SELECT comparison, variable, round(effect_size, 2) + 0.0 AS effect_size "
        "FROM es_after", ["es_after"])
 
+oracle("propensity_score", "SELECT variable, score_sum FROM f_sums", ["f_sums"])
+
 # ------------------------------------------------------------------ outcomes
 oracle("outcome_counts", f"SELECT comparison, IMID_status, {P.OUTCOME_AGGS} FROM s_long "
        "GROUP BY comparison, IMID_status", ["s_long"])

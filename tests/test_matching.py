@@ -68,8 +68,8 @@ def test_shared_pool_equals_grouped(spark):
     from cohortlab.operators.matching import shared_pool_matching
     rnd = random.Random(21)
     controls = [(i, round(rnd.random(), 3)) for i in range(300)]
-    treated = [(1000 + i, round(rnd.random(), 3)) for i in range(60)]
-    groups = ["all", "g1", "g2"]
+    treated = [(1000 + i, round(rnd.random(), 3)) for i in range(360)]
+    groups = ["all", "g1", "g2"]  # "all" has more treated rows than controls: matched in reverse
     t_long = [(g, k, s) for k, s in treated for g in groups if g == "all" or (k + len(g)) % 2 == 0]
     c_long = [(g, k, s) for k, s in controls for g in groups]
     long = spark.createDataFrame([(g, 1, k, s) for g, k, s in t_long] + [(g, 0, k, s) for g, k, s in c_long],

@@ -11,15 +11,16 @@ from cohortlab.operators.skew import full_outer_join
 from cohortlab.operators.matching import nearest_score_match
 
 
-def test_salted_full_outer_equals_full_outer(spark):
+def test_split_full_outer_equals_full_outer(spark):
     rnd = random.Random(3)
     left = [(1 if i % 3 == 0 else rnd.randint(2, 40), rnd.randint(1, 5), f"l{i}") for i in range(600)]
     right = [(1 if i % 3 == 0 else rnd.randint(20, 60), rnd.randint(1, 5), f"r{i}") for i in range(600)]
     left.append((None, 1, "lnull"))
     right.append((None, 1, "rnull"))
+    right += [(1, 1, "same")] * 40  # a hot key of identical rows
     l = spark.createDataFrame(left, "k long, d int, a string")
     r = spark.createDataFrame(right, "k long, d int, b string")
-    got = sorted(map(tuple, full_outer_join(l, r, ["k", "d"], hot_key_rows=30, salts=5)
+    got = sorted(map(tuple, full_outer_join(l, r, ["k", "d"])
                      .select("k", "d", "a", "b").collect()), key=repr)
     want = sorted(map(tuple, l.join(r, ["k", "d"], "full_outer").select("k", "d", "a", "b").collect()),
                   key=repr)

@@ -65,10 +65,23 @@ def test_fisher_matches_brute_force_and_is_symmetric(spark):
         assert 0 < p[i] <= 1
 
 
-def test_ln_factorial(spark):
-    df = spark.range(0, 400).select(F.col("id"), S.ln_factorial(F.col("id")).alias("lf"))
+def test_stirling_error(spark):
+    df = spark.range(1, 400).select(F.col("id"), S.stirling_error(F.col("id")).alias("e"))
     for r in df.collect():
-        assert r.lf == pytest.approx(math.lgamma(r.id + 1), abs=1e-10)
+        n = r.id
+        main = (n + 0.5) * math.log(n) - n + 0.5 * math.log(2 * math.pi)
+        assert r.e + main == pytest.approx(math.lgamma(n + 1), abs=1e-10)
+
+
+def test_fisher_ties_at_a_billion_rows(spark):
+    """Equal arms make the tables a and K - a equally likely: both tails count."""
+    half, hits = 500_000_000, 100_000
+    df = spark.createDataFrame([(0, 2, half, 4, half), (1, 49_900, half, hits - 49_900, half)],
+                               "id int, a long, n1 long, c long, n0 long")
+    p = {r.id: r.p_value for r in S.fisher_exact_two_sided(df, ["id"], "a", "n1", "c", "n0").collect()}
+    assert p[0] == pytest.approx(1 - 20 / 64, abs=1e-6)
+    sd = math.sqrt(hits / 4 * (1 - hits / (2 * half)))
+    assert p[1] == pytest.approx(math.erfc(99.5 / sd / math.sqrt(2)), abs=2e-5)
 
 
 def test_zero_counts(spark):
@@ -76,6 +89,6 @@ def test_zero_counts(spark):
     a, n1, c, n0 = F.col("a"), F.col("n1"), F.col("c"), F.col("n0")
     lo, hi = S.katz_interval(a, n1, c, n0)
     r = df.select(S.relative_risk(a, n1, c, n0).alias("rr"), lo.alias("lo"), hi.alias("hi")).collect()
-    assert (r[0].rr, r[0].lo, r[0].hi) == (0.0, 0.0, None)
-    assert (r[1].rr, r[1].lo, r[1].hi) == (None, None, None)
-    assert (r[2].rr, r[2].lo, r[2].hi) == (None, None, None)
+    assert (r[0].rr, r[0].lo) == (0.0, 0.0) and math.isnan(r[0].hi)
+    assert (r[1].rr, r[1].hi) == (math.inf, math.inf) and math.isnan(r[1].lo)
+    assert all(math.isnan(v) for v in r[2])
