@@ -11,8 +11,3 @@ def fill_noted_date(noted: Column, resolved: Column, candidate: Column) -> Colum
     missing or not before the candidate; otherwise the noted date stays."""
     return F.when(noted.isNull() & (resolved.isNull() | (resolved >= candidate)), candidate) \
             .otherwise(noted)
-
-
-def days_from(later: Column, earlier: Column) -> Column:
-    """Whole days from ``earlier`` to ``later``."""
-    return F.datediff(later, earlier)

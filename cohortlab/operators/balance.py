@@ -54,14 +54,6 @@ def cohen_d(df: DataFrame, treatment: str, covariates: list[str],
     return effect_from_stats(arm_stats(df, treatment, covariates, group), treatment, group)
 
 
-def effect_size_before_after(original: DataFrame, matched: DataFrame, treatment: str,
-                             covariates: list[str], group: list[str] | None = None) -> DataFrame:
-    """(variable, matching in {before, after}, effect_size)."""
-    b = cohen_d(original, treatment, covariates, group).withColumn("matching", F.lit("before"))
-    a = cohen_d(matched, treatment, covariates, group).withColumn("matching", F.lit("after"))
-    return b.unionByName(a)
-
-
 def balance_table(effects: DataFrame, group: list[str], digits: int = 2) -> DataFrame:
     """The 'after' effect sizes per comparison, rounded (+ 0.0 turns a
     rounded negative zero into zero)."""

@@ -9,7 +9,7 @@ medians are one grouped aggregate joined back (one row per arm).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab as V
@@ -40,22 +40,59 @@ def missingness(df: DataFrame, cols: list[str], group: list[str] | None = None)
     return df.groupBy(*g).agg(*aggs)
 
 
+#: Relative rank error of the sketch that brackets a median.
+MEDIAN_ACCURACY = 10_000
+
+
+def exact_medians(df: DataFrame, cols: list[str], group: list[str]) -> DataFrame:
+    """One row per group with the exact median of each column as ``_med_<column>``
+    (NULL where a column has no values).
+
+    A mergeable sketch gives two values around the middle, whose ranks are off by at
+    most one part in ``MEDIAN_ACCURACY``. The rows below them are only counted, and the
+    values between them (0.06% of the rows at most, plus repeats) are counted per value and
+    ranked. No task holds all distinct values of a column."""
+    d = 2.0 / MEDIAN_ACCURACY
+    lo, hi = {}, {}
+    for c in cols:
+        q = F.percentile_approx(c, [0.5 - d, 0.5 + d], MEDIAN_ACCURACY)
+        lo[c], hi[c] = q[0].alias(f"_lo_{c}"), q[1].alias(f"_hi_{c}")
+    bracket = df.groupBy(*group).agg(*lo.values(), *hi.values())
+    # one row per group (arms or comparisons)
+    v = df.select(*group, *cols).join(F.broadcast(bracket), group, "inner")
+    long = v.select(*group, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("_c"), F.col(c).alias("_v"), F.col(f"_lo_{c}").alias("_lo"),
+                 F.col(f"_hi_{c}").alias("_hi")) for c in cols])))
+    # below the bracket: one key per column; inside: one key per value; above: one key
+    place = F.when(F.col("_v") < F.col("_lo"), -1).when(F.col("_v") > F.col("_hi"), 1).otherwise(0)
+    counts = long.filter(F.col("_v").isNotNull()) \
+        .select(*group, "_c", place.alias("_p"), F.when(place == 0, F.col("_v")).alias("_v")) \
+        .groupBy(*group, "_c", "_p", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*group, "_c")
+    upto = F.sum("_n").over(w.orderBy("_p", "_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = counts.select(*group, "_c", "_v", "_n", upto.alias("_to"), F.sum("_n").over(w).alias("_total"))
+
+    def at(rank):
+        return F.max(F.when((F.col("_to") >= rank) & (F.col("_to") - F.col("_n") < rank), F.col("_v")))
+
+    low, high = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
+    med = ranked.groupBy(*group, "_c").agg(((at(low) + at(high)) / 2).alias("_m"))
+    wide = med.groupBy(*group).agg(*[F.max(F.when(F.col("_c") == c, F.col("_m"))).alias(f"_med_{c}") for c in cols])
+    # a group without any value has no counts: keep it, with NULL medians
+    return bracket.select(*group).join(wide, group, "left")
+
+
 def median_impute(df: DataFrame, cols: list[str], group: list[str] | None = None) -> DataFrame:
     """Fill NULL (and NaN) with the exact median of the column
-    within ``group`` (the whole frame when no group). Spark's exact median
-    keeps one counter per distinct value and merges partial aggregates; for
-    ranks and other coded covariates the distinct values are bounded (SVI
-    ranks have four decimals: at most 10,001 values). A column with no values
+    within ``group`` (the whole frame when no group). A column with no values
     stays NULL."""
     g = group or []
-    clean = {c: F.when(F.isnan(F.col(c)), F.lit(None)).otherwise(F.col(c)) for c in cols}
-    df = df.withColumns(clean)
+    df = df.withColumns({c: F.when(F.isnan(F.col(c)), F.lit(None)).otherwise(F.col(c)).cast("double") for c in cols})
     if not g:
         df, g = df.withColumn("_all", F.lit(0)), ["_all"]
-    med = df.groupBy(*g).agg(*[F.median(c).alias(f"_med_{c}") for c in cols])
     # one row per group (arms or comparisons), bounded
-    j = df.join(F.broadcast(med), g, "inner").drop("_all")
-    return j.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_med_{c}")) for c in cols}) \
+    j = df.join(F.broadcast(exact_medians(df.select(*g, *cols), cols, g)), g, "inner").drop("_all")
+    return j.withColumns({c: F.coalesce(F.col(c), F.col(f"_med_{c}")) for c in cols}) \
             .drop(*[f"_med_{c}" for c in cols])
 
 
@@ -67,12 +104,11 @@ def covariate_names(select_columns: list[str], years: list[int]) -> list[str]:
 
 
 def psm_features(df: DataFrame, select_columns: list[str], years: list[int], key: list[str],
-                 arm: list[str] | None = None, impute_scope: str = "arm") -> tuple[DataFrame, list[str]]:
+                 arm: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """encode ``select_columns`` of each row into numeric covariates.
 
     Returns (frame with ``key`` + ``arm`` + covariates, covariate names).
-    ``impute_scope="arm"`` takes SVI medians per arm, as the study did (it ran
-    per frame); ``"union"`` takes them over all rows."""
+    SVI medians are taken per arm, as the study did (it ran per frame)."""
     arm = arm or []
     # The formatted race feeds four indicators: computed once in its own
     # projection (Spark does not inline a non-trivial expression into several
@@ -101,7 +137,7 @@ def psm_features(df: DataFrame, select_columns: list[str], years: list[int], key
     out = df.select(*key, *arm, *cols)
     svi = [c for c in V.SVI_IMPUTED if c in select_columns]
     if svi:
-        out = median_impute(out, svi, arm if impute_scope == "arm" else None)
+        out = median_impute(out, svi, arm)
     names = covariate_names(select_columns, years)
     # any remaining NULL -> -1
     out = out.fillna(-1, subset=[c for c in names if c not in svi]).fillna(-1.0, subset=svi)

@@ -8,9 +8,9 @@ score, built from DataFrame operations with no cartesian product:
    rule: equal distance -> lower score, equal score -> lower key). The query
    side is reduced to distinct scores too, so a score shared by a third of
    all rows is still one row here.
-2. Scores are cut into buckets at approximate quantiles (a bounded list of
-   split points comes back to the driver), so each bucket holds a similar
-   number of distinct scores.
+2. Scores are cut into buckets at approximate quantiles of their own group, so
+   each bucket holds a similar number of distinct scores wherever a group's
+   scores lie. The split points are one row per group in the plan.
 3. Within (group, bucket), ordered by score with pool rows first, each query
    score takes the last pool score at or below it and the first above it.
 4. A query at a bucket edge falls back to the nearest pool score of an
@@ -21,9 +21,6 @@ score, built from DataFrame operations with no cartesian product:
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,20 +29,31 @@ from ..session import cut_lineage
 DEFAULT_BUCKETS = 64
 
 
-def _split_points(scores: DataFrame, col: str, buckets: int, rel_err: float = 1e-3) -> list[float]:
+def add_buckets(df: DataFrame, col: str, group: list[str], buckets: int) -> DataFrame:
+    """``df`` with ``_b``: how many of its group's split points are at or below ``col``.
+    The points are approximate quantiles, so a group's buckets hold similar row counts."""
     probs = [i / buckets for i in range(1, buckets)]
-    qs = scores.approxQuantile(col, probs, rel_err) if buckets > 1 else []
-    pts = sorted({float(q) for q in qs if q is not None and not math.isnan(q)})
-    return [-math.inf] + (pts or [0.0]) + [math.inf]  # no scores: any split will do
+    if not probs:
+        return df.withColumn("_b", F.lit(0))
+    points = df.groupBy(*group).agg(
+        F.percentile_approx(col, probs, max(10_000, 20 * buckets)).alias("_points"))
+    # one row per group (comparisons), a bounded list
+    return df.join(F.broadcast(points), group, "inner").withColumn(
+        "_b", F.size(F.filter("_points", lambda x: x <= F.col(col)))).drop("_points")
 
 
 def nearest_score_match(query: DataFrame, pool: DataFrame, score: str, key: list[str],
-                        group: list[str] | None = None, buckets: int | None = None) -> DataFrame:
-    """For every ``query`` row: its ``group``, ``key`` and ``score`` plus the
-    nearest ``pool`` row of the same group as ``m_<key>`` and ``m_<score>``.
+                        group: list[str] | None = None, buckets: int | None = None,
+                        carry: list[str] | None = None) -> DataFrame:
+    """For every ``query`` row: its ``group``, ``key``, ``carry`` columns and ``score`` plus
+    the nearest ``pool`` row of the same group as ``m_<key>`` and ``m_<score>``.
     Rows with a NULL score do not take part; a group without pool rows gives
-    no output. One output row per matched query row."""
-    group = group or []
+    no output. One output row per matched query row. ``buckets`` (per group) defaults
+    to the shuffle partitions, which grow with the data; at least 64."""
+    if not group:
+        one = F.lit(0)
+        return nearest_score_match(query.withColumn("_grp", one), pool.withColumn("_grp", one), score, key,
+                                   ["_grp"], buckets, carry).drop("_grp")
     spark = query.sparkSession
     if buckets is None:
         buckets = max(DEFAULT_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -59,8 +67,7 @@ def nearest_score_match(query: DataFrame, pool: DataFrame, score: str, key: list
                         F.lit(None).cast(pool_best.schema["_pk"].dataType).alias("_pk")))
 
     u = cut_lineage(u)  # read by the quantile pass, the scan and the edge table
-    splits = _split_points(u, score, buckets)
-    u = Bucketizer(splits=splits, inputCol=score, outputCol="_b").transform(u)
+    u = add_buckets(u, score, group, buckets)
     part = [*group, "_b"]
     # Both neighbours come from running frames (unbounded preceding .. current
     # row), which Spark evaluates incrementally; a frame reaching to the end of
@@ -83,7 +90,7 @@ def nearest_score_match(query: DataFrame, pool: DataFrame, score: str, key: list
     stats = u.filter(F.col("_is_q") == 0).groupBy(*part).agg(
         F.max(cell).alias("_bmax"), F.min(cell).alias("_bmin"))
     all_b = u.select(*part).distinct().join(stats, part, "left")
-    wb = Window.partitionBy(*group).orderBy("_b") if group else Window.orderBy("_b")
+    wb = Window.partitionBy(*group).orderBy("_b")
     edges = all_b.select(
         *part,
         F.last("_bmax", ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias("_lo"),
@@ -99,7 +106,7 @@ def nearest_score_match(query: DataFrame, pool: DataFrame, score: str, key: list
     m = best.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col(score).alias("_qs"),
                     *[F.col(f"_m.k.{k}").alias(f"m_{k}") for k in key],
                     F.col("_m.s").alias(f"m_{score}"))
-    qq = q.select(*group, *key, score)
+    qq = q.select(*group, *key, *(carry or []), score)
     cond = [qq[score] == m["_qs"]] + [qq[g] == m[f"_g_{g}"] for g in group]
     out = qq.join(m, cond, "inner")
     return out.drop("_qs", *[f"_g_{g}" for g in group])
@@ -132,8 +139,7 @@ def propensity_score_matching(df: DataFrame, treatment: str, score: str, key: li
     is_q = (F.col(treatment) == 1) == F.col("_treated_query")
     q = d.filter(is_q).select(*gg, *key, score, treatment)
     p = d.filter(~is_q).select(*gg, *key, score)
-    pairs = nearest_score_match(q, p, score, key, gg, buckets)
-    pairs = pairs.join(q.select(*gg, *key, treatment), [*gg, *key], "inner")
+    pairs = nearest_score_match(q, p, score, key, gg, buckets, carry=[treatment])
     match_id = F.col(key[-1]).alias("match_id")
     q_rows = pairs.select(*gg, match_id, F.col(treatment), *key, score)
     p_rows = pairs.select(*gg, match_id, (1 - F.col(treatment)).alias(treatment),

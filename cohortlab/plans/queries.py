@@ -219,7 +219,7 @@ from ..operators import matching as M  # noqa: E402
 from ..operators import outcomes as O  # noqa: E402
 from ..operators.propensity import propensity_score  # noqa: E402
 from ..session import cut_lineage  # noqa: E402
-from ..sources.tables import write_table  # noqa: E402
+from ..sources.tables import read_table, save_table, table_name  # noqa: E402
 from ..vocab import IMIDS, SVI_IMPUTED  # noqa: E402
 
 KEY = ["pat_id", "instance", "episode_id"]
@@ -282,14 +282,14 @@ def q_dedup_pregnancy_key(spark, folder):
 
 @query("sink_roundtrip")
 def q_sink_roundtrip(spark, folder):
-    """Write the flag table and read it back (drop-and-replace)."""
+    """Save the flag table under a versioned catalog name and read it by that name."""
     import uuid
     from ..session import ensure_checkpoint_dir
     s = Study.shared(spark, folder)
-    base = ensure_checkpoint_dir(spark)
-    path = f"{base.rstrip('/')}/sink-{uuid.uuid4().hex}"
-    write_table(s.risk_flags().select(*FLAG_KEY, *proxy.PROXY_RISK_FACTORS), path)
-    return spark.read.parquet(path)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS cohortlab LOCATION '{ensure_checkpoint_dir(spark)}/catalog'")
+    name = table_name("risk_flags", uuid.uuid4().hex, schema="cohortlab")
+    save_table(s.risk_flags().select(*FLAG_KEY, *proxy.PROXY_RISK_FACTORS), name)
+    return read_table(spark, name)
 
 
 # ------------------------------------------------------------------ geography

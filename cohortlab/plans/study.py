@@ -1,7 +1,8 @@
 """The study's stages wired to the proxy sources.
 
-``Study(spark, folder)`` builds lazy DataFrames for each stage; nothing runs
-until a caller acts on a result. The proxy views stand in for the warehouse
+``Study(spark, folder)`` builds a DataFrame for each stage on first use. Those that are
+stage tables (the flagged cohort, the study cohort, the matching inputs) and the list of
+years run jobs when they are built; all others run when a caller acts on them. The proxy views stand in for the warehouse
 tables; a deployment passes its own tables to the operators directly.
 """
 
@@ -27,15 +28,28 @@ class Study:
 
     @classmethod
     def shared(cls, spark: SparkSession, folder: str) -> "Study":
-        """One Study per (application, session, folder), so a materialised stage table
-        (the study cohort) is written once and read by every later query of
-        the session, as the study reused its saved tables."""
-        key = (spark.sparkContext.applicationId, id(spark), folder)
+        """One Study per (session, folder), so a materialised stage table (the study
+        cohort) is written once and read by every later query of the session, as the
+        study reused its saved tables. Entries of ended applications are dropped; after
+        the files of a folder change, call ``release`` first."""
+        app = spark.sparkContext.applicationId
+        for k in [k for k in cls._shared if k[0] != app]:
+            del cls._shared[k]
+        key = cls._key(spark, folder)
         if key not in cls._shared:
             split_hot_keys(spark)
             cls._shared[key] = cls(spark, folder)
         return cls._shared[key]
 
+    @classmethod
+    def release(cls, spark: SparkSession, folder: str) -> None:
+        """Forget the stage tables of ``folder``: the next query builds them anew."""
+        cls._shared.pop(cls._key(spark, folder), None)
+
+    @staticmethod
+    def _key(spark: SparkSession, folder: str) -> tuple[str, str, str]:
+        return spark.sparkContext.applicationId, spark._jsparkSession.sessionUUID(), folder
+
     # ------------------------------------------------------------- sources
     @cached_property
     def pregnancy(self) -> DataFrame:

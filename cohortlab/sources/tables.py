@@ -8,12 +8,16 @@ parameter (the study wrote Delta tables, which this image does not ship).
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-TEST_TABLES = [
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
-]
+def table_name(base: str, *parts: str, schema: str | None = None) -> str:
+    """S3: the name of a catalog table from its base and the version, disease or date it
+    is for: ``table_name("matched", "v2", "asthma", schema="study")`` is
+    ``study.matched_v2_asthma``. Characters that names cannot hold become ``_``."""
+    name = "_".join(re.sub(r"\W", "_", p) for p in (base, *parts) if p)
+    return f"{schema}.{name}" if schema else name
 
 
 class Tables:
@@ -38,11 +42,6 @@ class Tables:
         return self._cache[name]
 
 
-def scan_distinct(df: DataFrame, *cols: str) -> DataFrame:
-    """``select distinct c1, .. from t``."""
-    return df.select(*cols).distinct()
-
-
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None) -> None:
     """Drop-and-replace sink. ``mode('overwrite')`` replaces the whole
     table in one job, which is what DROP TABLE + saveAsTable did."""
@@ -52,8 +51,19 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=Non
     w.save(path)
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.format(fmt).load(path)
+def save_table(df: DataFrame, name: str, fmt: str = "parquet", partition_by=None) -> None:
+    """Drop-and-replace sink for a managed catalog table."""
+    w = df.write.mode("overwrite").format(fmt)
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.saveAsTable(name)
+
+
+def read_table(spark: SparkSession, name: str, *columns: str, distinct: bool = False) -> DataFrame:
+    """A catalog table by name, whole or ``columns`` only, optionally distinct."""
+    df = spark.table(name)
+    df = df.select(*columns) if columns else df
+    return df.distinct() if distinct else df
 
 
 def register_view(df: DataFrame, name: str) -> DataFrame:

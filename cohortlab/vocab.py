@@ -148,8 +148,7 @@ GEO_TABLES = [
     "svi2018_us_county",
 ]
 
-# --- fixed values: exposure period edges (days from LMP) and the 37-week mark ---
-PERIOD_EDGES = {"pre": -180, "t1": 0, "t2": 84, "t3": 189, "post": 320}
+# --- fixed value: the 37-week mark in days ---
 TERM_DAYS = 259
 
 # --- fixed values: statistics ---

@@ -4,11 +4,15 @@ skew handling only changes how work is spread, never the answer)."""
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cohortlab.operators.conditions import active_interval_join, risk_flag_table
+from cohortlab.operators.diagnoses import diagnosis_concept_map, diagnosis_first_contact, diagnosis_full_name
+from cohortlab.operators.exposure import medication_orders
 from cohortlab.operators.skew import full_outer_join
-from cohortlab.operators.matching import nearest_score_match
+from cohortlab.operators.matching import add_buckets, nearest_score_match
+from cohortlab.session import split_hot_keys
 
 
 def test_split_full_outer_equals_full_outer(spark):
@@ -63,3 +67,85 @@ def test_matching_with_hot_score(spark):
         best = min((abs(qs - ps), ps, pid) for pid, ps in pool)
         assert got[qid] == best[2]
     assert got[10_000] == 0  # the hot score matches its lowest key
+
+
+def _final_plan(df):
+    execution = df._jdf.queryExecution()
+    execution.toRdd().count()
+    return execution.executedPlan().toString()
+
+
+@pytest.fixture
+def low_skew_limits(spark):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1000",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1000",
+            "spark.sql.adaptive.forceOptimizeSkewedJoin": "false",
+            "spark.sql.shuffle.partitions": "8"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    split_hot_keys(spark)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _half_hot(spark, n):
+    """Ids 0..n-1 over four tasks, ``k`` = 1 for every other row."""
+    return spark.range(0, n, numPartitions=4).withColumn(
+        "k", F.when(F.col("id") % 2 == 0, F.lit(1)).otherwise(F.col("id")).cast("long"))
+
+
+def test_hot_diagnosis_is_split(spark, low_skew_limits):
+    """D4 + D6: half the rows hold one diagnosis."""
+    diag = _half_hot(spark, 20_000).select(
+        F.col("id").alias("pat_id"), F.col("k").alias("dx_id"), F.lit(1000).alias("instance"),
+        F.to_date(F.lit("2020-01-01")).alias("CONTACT_DATE"), F.lit(None).cast("date").alias("NOTED_DATE"),
+        F.lit(None).cast("date").alias("RESOLVED_DATE"), F.concat(F.lit("dx "), F.hex("id")).alias("DIAGNOSISNAME"))
+    mapping = spark.range(0, 20_000, numPartitions=4).select(
+        F.col("id").alias("value"), F.lit(1000).alias("instance"), F.lit("dx").alias("name"),
+        F.concat(F.lit("SNOMED#"), "id").alias("concept"))
+    got = diagnosis_first_contact(diagnosis_full_name(diagnosis_concept_map(diag, mapping, dedup=False)))
+    assert "skew=true" in _final_plan(got)
+    assert got.count() == 20_000
+
+
+def test_hot_patient_is_split_under_the_flags(spark, low_skew_limits):
+    """Half the pregnancies carry one patient id."""
+    day = F.date_add(F.to_date(F.lit("2000-01-01")), F.col("id").cast("int"))
+    cohort = _half_hot(spark, 20_000).select(F.col("k").alias("pat_id"), F.lit(1000).alias("instance"),
+                                             day.alias("decided_index_date"))
+    none = F.lit(None).cast("date")
+    ivs = spark.range(0, 20_000, numPartitions=4).select(
+        F.col("id").alias("pat_id"), F.lit(1000).alias("instance"), none.alias("noted_date"),
+        none.alias("resolved_date"), F.lit("f1").alias("risk_factor"))
+    got = risk_flag_table(active_interval_join(cohort, ivs), ["f1", "f2"])
+    assert "skew=true" in _final_plan(got)
+    assert got.filter("f1 = 1 and f2 is null").count() == 20_000
+
+
+def test_hot_patient_is_split_under_the_orders(spark, low_skew_limits):
+    """M1: half the medication orders carry one patient id."""
+    date = lambda s: F.to_date(F.lit(s))
+    cohort = spark.range(0, 20_000, numPartitions=4).select(
+        F.col("id").alias("pat_id"), F.lit(1000).alias("instance"), F.lit(270).alias("gestational_days"),
+        date("2020-01-01").alias("lmp"), date("2020-10-01").alias("ob_delivery_delivery_date"))
+    orders = _half_hot(spark, 20_000).select(
+        F.col("k").alias("pat_id"), F.lit(1000).alias("instance"), F.col("id").alias("dose"),
+        date("2020-02-01").alias("start_date"), date("2020-03-01").alias("end_date"),
+        F.lit(1).alias("m1"), F.lit("Normal").alias("order_class"))
+    got = medication_orders(cohort, orders, ["m1"])
+    assert "skew=true" in _final_plan(got)
+    assert got.count() == 20_000
+
+
+def test_buckets_are_even_in_every_group(spark):
+    """A group whose scores lie in one narrow range fills its buckets as evenly as others."""
+    df = spark.range(0, 8_000).select(
+        (F.col("id") % 2).alias("g"),
+        F.when(F.col("id") % 2 == 0, 0.5 + F.col("id") / 1e9).otherwise(F.col("id") / 8_000).alias("s"))
+    sizes = add_buckets(df, "s", ["g"], 16).groupBy("g", "_b").count().collect()
+    assert len(sizes) == 32
+    assert all(200 <= r["count"] <= 300 for r in sizes)

@@ -14,9 +14,18 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+def final_plan(df) -> str:
+    """The plan that ran: executed through the frame's own query execution, which then
+    holds the adaptive planner's final version."""
+    execution = df._jdf.queryExecution()
+    execution.toRdd().count()
+    plan = execution.executedPlan().toString()
+    assert "isFinalPlan=false" not in plan
+    return plan.split("== Initial Plan ==")[0]
+
+
 def stats(df) -> dict:
-    df.write.format("noop").mode("overwrite").save()
-    plan = df._jdf.queryExecution().executedPlan().toString()
+    plan = final_plan(df)
     return {
         "shuffles": len(re.findall(r"Exchange (hashpartitioning|rangepartitioning|SinglePartition|RoundRobin)", plan)),
         "broadcasts": plan.count("BroadcastExchange"),
