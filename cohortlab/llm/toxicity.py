@@ -36,7 +36,7 @@ MAX_TRAIN = 10_000
 MIN_Z = 5.0
 MAX_FEATURES = 4096
 MIN_SHARE = 0.4  # at least this share of the rows that hold a feature is toxic; words that only lean (of one language, say) are none
-MIN_RATE = 0.02  # a feature is held by at least this share of the toxic rows (and by five of them)
+MIN_HOLDERS = 5  # a feature is held by this many toxic rows; a share of all of them would leave a rare language without words
 PREFIXES = range(3, 8)
 PREFIX_MARK = 0x7C15F39CC0605CED  # keeps a prefix apart from the equal word
 SLICE = 1 << 20  # bytes of text scored at once
@@ -150,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, min_z:
     if not own:
         return nothing
     known, in1 = np.unique(np.concatenate(own), return_counts=True)
-    known = known[in1 >= max(5, MIN_RATE * len(own))]
+    known = known[in1 >= MIN_HOLDERS]
     got = _feature_rows(rows, known)
     toxic, own = np.array([t for t, _ in got], bool), [f.astype(np.int64) for _, f in got]
     n1, n0 = int(toxic.sum()), int((~toxic).sum())

@@ -109,6 +109,23 @@ def test_toxicity_held_out(spark, empty):
     assert toxicity.score_severity(df.drop("toxic"), nothing).where("toxic").count() == 0
 
 
+def test_toxicity_of_a_rare_language(spark):
+    """A language with under 2% of the toxic rows has features of its own."""
+    rng = np.random.default_rng(4)
+    words, rare = [f"word{i}" for i in range(300)], [f"palabra{i}" for i in range(60)]
+    data = []
+    for kind, n, own, toxic in (("many", 2000, words, 0), ("many", 400, words + ["vile"] * 60, 1), ("few", 100, rare, 0), ("few", 16, rare, 1)):
+        for i in range(n):
+            t = list(rng.choice(own, 20))
+            if kind == "few" and toxic:
+                t[3] = "odioso"
+            data.append((len(data), " ".join(t), toxic, kind == "few" and i % 2 == 0))
+    df = spark.createDataFrame(data, "doc_id long, text string, toxic int, held boolean")
+    model = toxicity.train(df.select("doc_id", "text"), df.where("not held").select("doc_id", "toxic"))
+    out = toxicity.score_severity(df.withColumnRenamed("toxic", "truth"), model).where("held").collect()
+    assert sum(r["truth"] for r in out) == 8 and all(r["toxic"] == bool(r["truth"]) for r in out)
+
+
 def test_sharding(docs, rows, empty):
     out = shards.interleave(docs.drop("text"), 4, tie=("doc_id",)).collect()
     size = Counter(r["shard"] for r in out)
