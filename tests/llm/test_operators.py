@@ -78,6 +78,20 @@ def test_robust_distance_rejects_planted_outliers(spark):
     assert np.corrcoef(good_d, plain)[0, 1] > .97
 
 
+def test_small_groups_get_a_verdict(spark):
+    """Groups of one to five rows: their gross outliers go, their plain rows stay, and each row has a distance."""
+    rng = np.random.default_rng(6)
+    words = [f"word{i}" for i in range(400)]
+    text = lambda bad: " ".join(w + "#$%!?" * 6 if bad else w for w in rng.choice(words, 60 + int(rng.integers(0, 80))))
+    sizes = [("en", "big", 300, 0), ("de", "big", 80, 0)] + [
+        (lang, f"s{good}{bad}", good, bad) for lang in ("en", "de", "xx") for good, bad in ((1, 0), (0, 1), (2, 1), (4, 1))]
+    data = [(text(k >= good), lang, source, k >= good) for lang, source, good, bad in sizes for k in range(good + bad)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(data)], "doc_id long, text string, lang string, source string, bad boolean")
+    out = quality.quality_rules(df).collect()
+    assert len(out) == len(data) and all(r["distance"] is not None and not r["base_failed"] for r in out)
+    assert [(r["lang"], r["source"], r["bad"], round(r["distance"])) for r in out if r["kept"] == r["bad"]] == []
+
+
 def test_ordinal_regression():
     rng = np.random.default_rng(1)
     n, true = 4000, np.array([2.0, -1.0, 0.0])
