@@ -28,22 +28,34 @@ from .trigrams import trigram_query
 class Rule:
     """``pattern`` finds leftmost non-overlapping matches; a match counts if its
     group ``min_group`` has ``min_chars`` characters or more. ``scan`` is the
-    pattern run by the engine where a stricter one gives the same matches."""
+    pattern run by the engine where a stricter one gives the same matches. A ``whole``
+    rule is redacted before the others, which could break up its matches."""
     kind: str
     pattern: str
     min_group: int = 0
     min_chars: int = 0
     scan: str | None = None
+    whole: bool = False
 
 
 # The patterns and lengths of the first three are fixed values. A greedy run that
 # is too short holds no longer run, so access and hex take their length into the
 # scanned pattern; assign must not (a failed match uses up its text).
+# A private key runs from its BEGIN to its END line if no other dashed line (and no more
+# than 64 hyphens, as in armor headers) stands between; else to the end of the base64 lines
+# after BEGIN, of which there may be 1000. Loops over groups are bounded, as the engine recurses in them.
+_KEY = r"[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+_SEP = r"""[\s\\>"'+|*#]{1,8}"""
+KEY_BLOCK = (
+    rf"-----BEGIN {_KEY}(?:[^-]*+(?:-(?!----)[^-]*+){{0,64}}+-----END {_KEY}"
+    r"|(?:\r?\n[A-Za-z][A-Za-z-]{0,30}: [^\r\n]{0,200}){0,8}"
+    rf"(?:{_SEP}[A-Za-z0-9+/]{{16,}}+={{0,2}}(?![A-Za-z0-9+/=._-])){{0,1000}}"
+    rf"(?:{_SEP}[A-Za-z0-9+/]{{2,15}}(?:={{1,2}}(?![A-Za-z0-9+/=])|\Z))?(?:{_SEP}=[A-Za-z0-9+/]{{4}}(?![A-Za-z0-9+/=]))?)")
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18, r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", r"[0-9a-f]+", 0, 16, r"[0-9a-f]{16,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", KEY_BLOCK, whole=True),
     Rule("hub_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
@@ -143,12 +155,12 @@ def scan_secrets(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """``docs`` with each secret replaced by a mark, one rule after the other, each on
-    the text that the former ones left. Texts without a secret stay as they are."""
+    """``docs`` with each secret replaced by a mark, one rule after the other (``whole``
+    ones first), each on the text that the former ones left. Texts without a secret stay as they are."""
     was = fresh(docs, "_null")[0]
     out, mine, verify = _to_verify(docs.withColumn(was, F.col(text).isNull()), text, rules)
     piece = fresh(out, "_p")[0]
-    for r, v in zip(rules, verify):
+    for r, v in sorted(zip(rules, verify), key=lambda x: not x[0].whole):
         out = out.withColumn(piece, F.when(v, _pieces(F.col(text), r)))
         glue = F.array_join(F.transform(F.col(piece), lambda p: F.concat(
             p["gap"], F.when(p["ok"], F.lit(MARK)).otherwise(p["hit"]))), "")

@@ -43,6 +43,32 @@ def test_redaction(docs, rows):
     assert "abcdefGHIJ12345" not in out[15, "y"] and secrets.MARK in out[15, "y"]
 
 
+def test_private_keys_go_with_their_bodies(spark):
+    import base64
+    import textwrap
+    rng = np.random.default_rng(8)
+    body = lambda n: textwrap.wrap(base64.b64encode(rng.bytes(n)).decode(), 64)
+    block = lambda kind, lines, head="": "\n".join([f"-----BEGIN {kind}-----", *([head, ""] if head else []), *lines, f"-----END {kind}-----"])
+    b = [body(1200), body(1700), body(2500), body(600), body(700), body(900), body(60000), body(40)]
+    b[0][3] = "deadbeefdeadbeef0123" + b[0][3][20:]  # a hex run inside a body
+    texts = ["before " + block("RSA PRIVATE KEY", b[0], "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011") + "\nafter",
+             "before " + block("PGP PRIVATE KEY BLOCK", [*b[1], "=aB3d"], "Version: GnuPG v1") + "\nafter",
+             'before "' + block("PRIVATE KEY", b[2]).replace("\n", "\\n") + '" after',
+             "before -----BEGIN EC PRIVATE KEY-----\n" + "\n".join(b[3]) + "\nafter the body, no end",
+             "before -----BEGIN PRIVATE KEY----- " + " ".join(b[4]) + " after -----BEGIN X----- " + block("PRIVATE KEY", b[5]) + " after",
+             "before " + block("OPENSSH PRIVATE KEY", b[6]) + " after",
+             "before -----BEGIN PRIVATE KEY----- after " + "some-words " * 20000 + " after",
+             "before after -----BEGIN PRIVATE KEY-----\n" + "\n".join(b[7])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(df).collect()}
+    for i, own in enumerate([[0], [1], [2], [3], [4, 5], [6], [], [7]]):
+        assert all(line not in out[i] and line[:12] not in out[i] for k in own for line in b[k]), i
+        assert out[i].startswith("before ") and "after" in out[i] and "PRIVATE KEY" not in out[i] and out[i].count("after") == texts[i].count("after"), i
+    assert secrets.scan_secrets(df.limit(0).union(secrets.redact_secrets(df))).where(F.size("secrets") > 0).count() == 0
+    spans = {r["doc_id"]: [(s["start"], s["end"]) for s in r["secrets"] if s["kind"] == "private_key"] for r in secrets.scan_secrets(df).collect()}
+    assert all(len(spans[i]) == 1 + (i == 4) for i in spans) and spans[5] == [(7, len(texts[5]) - 6)]
+
+
 def test_many_matches_in_one_text(spark):
     text = "0123456789abcdef " * 3000
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
