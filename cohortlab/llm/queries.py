@@ -1,11 +1,12 @@
-"""Registered queries of the ten operators, over their whole tables, and their SQL where it can express them."""
+"""Registered queries of the operators, over their whole tables, and their SQL where it can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, packing, quality, secrets, shards, substrings, suffixes, toxicity
+from . import (chat, decontaminate, jaccard, packing, quality, ranking, repair, secrets, shards, substrings, suffixes,
+               toxicity, wrappers)
 from .stage import table
 
 
@@ -81,6 +82,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(_docs(spark, sf_dir), 50, keep_text=False)
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank_documents(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    out = repair.repair_conversations(repair.damage(rows), rows.select("conv_id"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+                      F.sha2(said, 256).alias("repaired_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
     return run(spark, sf_dir)
@@ -88,7 +105,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_quality_rules, op3_toxicity, op4_sharding, op5_suffix_dedup, op6_jaccard_join,
-    op7_chat_format, op8_bin_slack_packing, op9_decontamination, op10_substring_dedup, pipeline)}
+    op7_chat_format, op8_bin_slack_packing, op9_decontamination, op10_substring_dedup,
+    op11_html_extraction, op12_ranked_search, op13_conversation_repair, pipeline)}
 
 #: Filled in oracle.py where SQL can express the whole result.
 from .oracle import ORACLE  # noqa: E402,F401

@@ -150,3 +150,94 @@ def chat(rows):
         loss = "".join(t for _, r, t in turns if r == "assistant")
         out[c] = (len(turns), sha("".join(f"{r}\n{t}\n" for _, r, t in turns)), len(loss), sha(loss))
     return out
+
+
+def ranked(docs, items, top=50):
+    """(item_id, rank, doc_id, score), every document scored for every item."""
+    import math
+    term = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    held = [(i, Counter(term.findall((t or "").translate(ASCII_LOWER)))) for i, t in docs]
+    held = [(i, c, c.total()) for i, c in held if c]
+    n_docs, n_terms = len(held), sum(n for _, _, n in held)
+    df = Counter(t for _, c, _ in held for t in c)
+    out = []
+    for item, text in items:
+        terms = set(term.findall((text or "").translate(ASCII_LOWER)))
+        weight = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) for t in terms}
+        scored = []
+        for i, c, n in held:
+            m = 50 + 50 * n * n_docs // n_terms
+            score = sum(weight[t] * (1000000000 * c[t] // (1000 * c[t] + 20 * m)) for t in terms if t in c)
+            if score > 0:
+                scored.append((-score, i is None, i or 0, i))
+        scored.sort(key=lambda x: x[:3])
+        out += [(item, k + 1, i, -s) for k, (s, _, _, i) in enumerate(scored[:top])]
+    return out
+
+
+def damaged(rows):
+    """conv_id -> its rows (turn, role, text) after damage, in order."""
+    import zlib
+    out = defaultdict(list)
+    sp = lambda x: " " if x is None else x
+    for conv, turn, role, text in rows:
+        mine, fate = out[conv], zlib.crc32(f"{sp(conv)}:{sp(turn)}".encode()) % 20
+        role, text = sp(role), sp(text)
+        if fate == 1:
+            text = ""
+        elif fate == 2:
+            text = re.sub("[.!?]", "", text)
+        elif fate == 4:
+            role = "user"
+        mine += [] if fate == 0 else [(turn, role, text)] * (2 if fate == 3 else 1)
+    return {c: sorted(v, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode())) for c, v in out.items()}
+
+
+def repaired(rows):
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, digest): the search tries
+    edits in order of (cost, audit), so the first whole repair is the answer."""
+    import heapq
+    faults, seen = [], set()
+    for _, role, text in rows:
+        last = re.search(r"[^\x20\x09-\x0D][\x20\x09-\x0D]*\Z", text)
+        faults.append("blank" if not last else "duplicate" if (role, text) in seen else
+                      "truncated" if text[last.start()] not in ".!?" else "")
+        seen.add((role, text))
+    turns = {t for t, _, _ in rows if t is not None}
+    gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    heap, done = [(0, "", 0, "", ())], set()
+    while heap:
+        cost, audit, at, roles, kept = heapq.heappop(heap)
+        if at == len(rows) and re.fullmatch("(s?(ua)+)?", roles):
+            break
+        if (at, roles[-1:]) in done:  # what may follow depends on the last role alone
+            continue
+        done.add((at, roles[-1:]))
+
+        def push(mark, price, here, role=None, text=None):
+            now = roles + (role[0] if role else "")
+            if role is None or (role and re.fullmatch("(s?(ua)*u?)?", now)):
+                heapq.heappush(heap, (cost + price, audit + mark, here, now, kept if role is None else (*kept, f"{role}:{text}")))
+
+        for role in ("user", "assistant"):
+            push("I", 2, at, role, "")
+        if at < len(rows):
+            _, role, text = rows[at]
+            push("D", 3, at + 1)
+            if faults[at] not in ("blank", "duplicate"):
+                more = faults[at] == "truncated"
+                if role:
+                    push("K", more, at + 1, role, text)
+                for new in ("user", "assistant"):
+                    push("R", 2 + more, at + 1, new, text)
+    return (gaps, faults.count("blank"), faults.count("duplicate"), faults.count("truncated"), illegal, cost, audit, sha("\n".join(kept)))
+
+
+def article(page):
+    """Main text of a given page: its article's headings and paragraphs."""
+    import html
+    inside = re.search("<article>(.*?)</article>", page, re.S).group(1)
+    blocks = (" ".join(html.unescape(re.sub("<[^>]*>", lambda m: " " if m.group() == "<br>" else "", b)).split())
+              for b in re.split("</?(?:p|h1)>", inside))
+    return "\n".join(b for b in blocks if b)
