@@ -47,19 +47,40 @@ class WordTokenizer:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[bytes, bytes] = {}
+        self.mark, = self.model.encode(SEPARATOR.decode(), add_special_tokens=False).ids
 
     def _encode(self, new: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            done = self.model.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
-            yield from ((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, done))
+        """Words joined by a mark of their own, whose id parts their ids again. A word that
+        holds the mark's byte goes alone."""
+        alone = [w for w in new if SEPARATOR in w]
+        for w in alone:
+            yield w, np.array(self.model.encode(w.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+        new = [w for w in new if SEPARATOR not in w] if alone else new
+        glue = b" " + SEPARATOR + b" "
+        parts = [new[at:at + JOINED] for at in range(0, len(new), JOINED)]
+        for at in range(0, len(parts), 64):
+            some = parts[at:at + 64]
+            done = self.model.encode_batch_fast([(glue.join(p) + glue).decode("utf-8") for p in some], add_special_tokens=False)
+            for words, e in zip(some, done):
+                ids = np.array(e.ids, "<u4")
+                data, start = ids.tobytes(), 0
+                for w, end in zip(words, (4 * np.flatnonzero(ids == self.mark)).tolist()):
+                    yield w, data[start:end]
+                    start = end + 4
 
     def _learn(self, words: set[bytes]) -> None:
-        """A word that ends in one mark after a letter or digit is its stem's ids and the mark's."""
-        stems = {w: w[:-1] for w in words if w[-1:] in MARKS and w[-2:-1].isalnum()}
-        wanted = (words.difference(stems) | set(stems.values()) | {w[-1:] for w in stems}).difference(self.known)
-        self.known.update(self._encode(list(wanted)))
-        self.known.update({w: self.known[stem] + self.known[w[-1:]] for w, stem in stems.items()})
+        """A word that ends in a run of marks after a letter or digit is its stem's ids and the run's."""
+        split = []
+        for w in words:
+            if w[-1] in MARKS:
+                stem = w.rstrip(MARKS)
+                if stem and (stem[-1:].isalnum() or _ends_in_letter(stem)):
+                    split.append((w, stem, w[len(stem):]))
+        whole = words.difference(w for w, _, _ in split)
+        whole.update(stem for _, stem, _ in split)
+        whole.update(run for _, _, run in split)
+        self.known.update(self._encode(list(whole.difference(self.known))))
+        self.known.update({w: self.known[stem] + self.known[run] for w, stem, run in split})
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         split = [_folded(t).split() for t in texts]
@@ -75,7 +96,16 @@ class WordTokenizer:
             del self.known[w]
 
 
-MARKS = (b".", b",", b"!", b"?", b";", b":")
+MARKS = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+SEPARATOR = b"\x01"
+JOINED = 256  # words a text
+
+
+def _ends_in_letter(word: bytes) -> bool:
+    """Whether the last character is a Latin letter beyond ASCII (two bytes, up to U+024F)."""
+    return word[-1] >= 0x80 and b"\xc3" <= word[-2:-1] <= b"\xc9" and word[-2:].decode("utf-8").isalpha()
+
+
 _TOKENIZERS: dict[str, WordTokenizer] = {}  # one a worker process, kept from task to task
 
 

@@ -319,3 +319,15 @@ def test_registered_queries_on_given_tables(spark, sf):
     }
     for name, (cols, want) in check.items():
         assert got(queries.QUERIES[name](spark, sf), "doc_id", *cols) == Counter((i, *w) for (i, _), w in zip(docs, want))
+
+
+def test_word_tokenizer_is_exact():
+    """Words cut at marks and encoded together have the ids that the whole text gives."""
+    import random
+    rng = random.Random(4)
+    parts = ["don't", "it's", "'s", "word", "Éçole", "ß", "12", "٣", "x²", "…", "é", "ñ", "ǅ", "日本", "$$$", "###", "!?", "'", "''", "_", "\x01", "a\x01b",
+             "é", "̸", "<", "--", "(", ")", "¡", " ", "🙂", "http://a.b/c?d=e", "%%%", "A"]
+    texts = [" ".join("".join(rng.choices(parts, k=rng.randrange(1, 5))) for _ in range(rng.randrange(0, 60))) for _ in range(400)]
+    model = packing.WordTokenizer(packing.tokenizer_path())
+    want = [np.array(e.ids, "<u4").tobytes() for e in model.model.encode_batch_fast(texts, add_special_tokens=False)]
+    assert list(model.encode([t.encode() for t in texts])) == want
