@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stage import fresh, stage
+from .stage import fresh, shielded, stage
 
 SPACE = "[ \\t-\\r]+"
 SYMBOLS = "#*$%&|<>"
@@ -227,6 +227,7 @@ def quality_rules(docs: DataFrame, text: str = "text", groups: tuple[str, str] =
                   cutoff: float = CUTOFF, prior_rows: float = PRIOR_ROWS) -> DataFrame:
     """Statistics, base_failed, ``distance`` and kept for each row of ``docs`` (its text is left behind)."""
     groups = list(groups)
+    docs, restore = shielded(docs, text, *groups)
     stats = stage(text_stats(docs, text).withColumn("base_failed", base_failed()), "stats")
     counted = ("word_chars", "n_symbols", "n_punct", "n_repeat_words")
     totals = stage(stats.where(~F.col("base_failed")).groupBy(*groups).agg(
@@ -241,5 +242,5 @@ def quality_rules(docs: DataFrame, text: str = "text", groups: tuple[str, str] =
     }).drop("_n", *[f"_t_{c}" for c in counted])
     vectors = stage(vectors, "vectors")
     out = robust_distance(vectors, groups, FEATURES, ~F.col("base_failed"), "distance", prior_rows=prior_rows)
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))) \
-        .drop(*FEATURES)
+    return restore(out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
+                   .drop(*FEATURES))

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stage import fresh
+from .stage import fresh, shielded, stage
 from .trigrams import trigram_query
 
 
@@ -131,7 +131,8 @@ def _to_verify(docs: DataFrame, text: str, rules) -> tuple[DataFrame, str, list]
     key, mine = fresh(docs, "_key", "_rules")
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.withColumn(text, body).withColumn(key, F.xxhash64(body))
-    found = candidates(keyed, key, text, rules).select(F.col(key).alias("_found"), F.col("rules").alias(mine))
+    # a table, so that Spark knows how few they are and moves no text to join them
+    found = stage(candidates(keyed, key, text, rules).select(F.col(key).alias("_found"), F.col("rules").alias(mine)), "candidates")
     out = keyed.join(found, F.col(key) == F.col("_found"), "left").drop(key, "_found")
     ifs = [F.lit(True) if trigram_query(r.pattern) is None else
            F.coalesce(F.array_contains(F.col(mine), i), F.lit(False)) for i, r in enumerate(rules)]
@@ -141,6 +142,7 @@ def _to_verify(docs: DataFrame, text: str, rules) -> tuple[DataFrame, str, list]
 def scan_secrets(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """``docs`` (its null texts empty) plus ``secrets``: array<struct<start, ord, kind, end>>
     by start, then by the rules' order; code points, end exclusive."""
+    docs, restore = shielded(docs, text)
     out, mine, verify = _to_verify(docs, text, rules)
     spans = fresh(out, *[f"_s{i}" for i in range(len(rules))])
     pieces = fresh(out, *[f"_p{i}" for i in range(len(rules))])
@@ -150,13 +152,14 @@ def scan_secrets(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
                            for p, v, r in zip(pieces, verify, rules)})
     out = out.withColumns({s: F.when(F.size(p) > 0, _spans(F.col(p), r, i)).otherwise(none)
                            for i, (s, p, r) in enumerate(zip(spans, pieces, rules))})
-    return out.withColumn("secrets", F.array_sort(F.concat(*[F.col(s) for s in spans]))) \
-        .drop(mine, *spans, *pieces)
+    return restore(out.withColumn("secrets", F.array_sort(F.concat(*[F.col(s) for s in spans])))
+                   .drop(mine, *spans, *pieces))
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """``docs`` with each secret replaced by a mark, one rule after the other (``whole``
     ones first), each on the text that the former ones left. Texts without a secret stay as they are."""
+    docs, restore = shielded(docs, text)
     was = fresh(docs, "_null")[0]
     out, mine, verify = _to_verify(docs.withColumn(was, F.col(text).isNull()), text, rules)
     piece = fresh(out, "_p")[0]
@@ -165,4 +168,4 @@ def redact_secrets(docs: DataFrame, text: str = "text", rules=RULES) -> DataFram
         glue = F.array_join(F.transform(F.col(piece), lambda p: F.concat(
             p["gap"], F.when(p["ok"], F.lit(MARK)).otherwise(p["hit"]))), "")
         out = out.withColumn(text, F.when(F.col(piece).isNotNull(), glue).otherwise(F.col(text)))
-    return out.withColumn(text, F.when(~F.col(was), F.col(text))).drop(piece, mine, was)
+    return restore(out.withColumn(text, F.when(~F.col(was), F.col(text))).drop(piece, mine, was))

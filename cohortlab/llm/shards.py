@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stage import distributed_rank, fresh
+from .stage import distributed_rank, fresh, shielded
 
 ROWS_A_BUCKET = 256
 MOST_BUCKETS = 1 << 16  # bounds the running sums; parts grow beyond that, and stay sortable
@@ -27,6 +27,7 @@ def interleave(docs: DataFrame, n_shards: int, source: str = "source", tie: tupl
                seed: int = 7) -> DataFrame:
     """``docs`` plus ``shard`` (0..n_shards-1) and ``slot`` (0-based place in the shard).
     ``tie`` names the columns that identify a row; they seed its random key."""
+    docs, restore = shielded(docs, source, *tie)
     n = docs.count()
     buckets = max(1, min(MOST_BUCKETS, n // ROWS_A_BUCKET))
     u, m, r, f, g = fresh(docs, "_u", "_m", "_r", "_f", "_g")
@@ -40,7 +41,7 @@ def interleave(docs: DataFrame, n_shards: int, source: str = "source", tie: tupl
     rows = distributed_rank(rows, [], [f, source, u, *tie], part(F.col(f)), buckets, g)
     rows = rows.withColumn("shard", F.expr(f"cast({g} * {n_shards} div {max(n, 1)} as int)"))
     first = F.expr(f"(shard * {max(n, 1)}L + {n_shards - 1}) div {n_shards}")  # ceil(shard * n / n_shards)
-    return rows.withColumn("slot", F.col(g) - first).drop(u, m, r, f, g)
+    return restore(rows.withColumn("slot", F.col(g) - first).drop(u, m, r, f, g))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_STEPS: list[list[str]] = []  # stage tables made by each step of a pipeline, see ``pipeline_step``
+_MAKING: list[list[str]] = []  # those of the step that is being built
 _SHIPPED: set[str] = set()
 
 
@@ -51,13 +54,65 @@ def ship(spark: SparkSession) -> None:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back. A lost
     executor then costs the rerun of tasks from this table on, not from the
-    sources. Each call has a folder of its own; the caller's cluster expires them."""
+    sources. Each call has a folder of its own; a pipeline step's are removed after it
+    (``pipeline_step``), others the caller's cluster expires."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    if _MAKING:
+        _MAKING[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def pipeline_step(fn):
+    """A step (spark, docs, sf_dir) -> DataFrame whose result is written and read again as
+    the next one's ``docs``. The stage tables of a step are removed when the next one starts
+    from ``docs`` that do not read them any more, or when ``end_steps`` is called."""
+    @functools.wraps(fn)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles() if _STEPS else []
+        for made in list(_STEPS):
+            # a local folder's files are listed as file:///..., so folder names are compared, not whole paths
+            if not any(p.rsplit("/", 1)[1] in f for p in made for f in read):
+                remove(spark, made)
+                _STEPS.remove(made)
+        made: list[str] = []
+        _STEPS.append(made)
+        _MAKING.append(made)
+        try:
+            return fn(spark, docs, sf_dir)
+        finally:
+            _MAKING.pop()
+    return run
+
+
+def end_steps(spark: SparkSession) -> None:
+    """Remove the stage tables of all steps: the last one's result is written."""
+    for made in _STEPS:
+        remove(spark, made)
+    _STEPS.clear()
+
+
+def shielded(docs: DataFrame, *needed: str):
+    """``docs`` with all but the ``needed`` columns under names that no helper column has, and
+    the function that gives them their names back. A column that the operator adds replaces
+    one of the same name."""
+    away = {c: f"__in{i}__" for i, c in enumerate(docs.columns) if c not in needed}
+
+    def restore(out: DataFrame) -> DataFrame:
+        added = {c.lower() for c in out.columns}
+        lost = [new for old, new in away.items() if old.lower() in added]
+        return out.drop(*lost).withColumnsRenamed({new: old for old, new in away.items() if new not in lost})
+
+    return docs.withColumnsRenamed(away), restore
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

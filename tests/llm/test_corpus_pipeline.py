@@ -1,5 +1,6 @@
 """The corpus pipeline against a brute-force version, stage by stage."""
 
+import os
 from collections import Counter
 
 import brute
@@ -8,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cohortlab.llm import packing, secrets, toxicity
-from cohortlab.llm.stage import table
+from cohortlab.llm.stage import shared_dir, table
 
 
 def test_stages(spark, sf):
@@ -55,3 +56,32 @@ def test_hard_rows(spark, docs, empty, sf):
     ids = [r["doc_id"] for r in left]
     assert ids.count(0) == 1 and 1 not in ids and 2 not in ids and 3 in ids  # copies of row 0 go; wordless rows stay
     assert np.all([r["text"] is None for r in left if r["doc_id"] == 3])
+
+
+def left_over(spark):
+    folder = shared_dir(spark).removeprefix("file://")
+    return {f for f in os.listdir(folder) if f.startswith(("llm-", "pipeline-"))}
+
+
+def test_run_leaves_its_result_only(spark, sf):
+    before = left_over(spark)
+    out = P.run(spark, sf)
+    new = left_over(spark) - before
+    assert len(new) == 1 and new.pop().startswith("pipeline-packing") and out.count() > 0
+
+
+def test_steps_that_write_between_leave_no_tables(spark, sf, tmp_path):
+    """A step called with docs read from the last result removes that step's tables; one
+    called with docs that still read them does not."""
+    P.end_steps(spark)
+    before = left_over(spark)
+    docs = table(spark, sf, "documents")
+    docs = P.drop_near_duplicates(spark, docs, sf)
+    own = left_over(spark) - before
+    chained = P.drop_contaminated(spark, docs, sf)
+    assert own <= left_over(spark)
+    chained.write.parquet(f"{tmp_path}/a")
+    P.redact_secrets(spark, spark.read.parquet(f"{tmp_path}/a"), sf).write.parquet(f"{tmp_path}/b")
+    assert not own & left_over(spark)
+    P.end_steps(spark)
+    assert left_over(spark) == before
