@@ -7,17 +7,21 @@ one pass:
 
   diagnoses JOIN code sets (broadcast where adaptive execution measures them small)
   -> semi joins to the two dictionary tables
-  -> distinct (patient, interval, factor)
+  -> union of the intervals of each (patient, factor)
   -> JOIN cohort keys on (pat_id, instance) with the interval as a residual
-  -> group by (patient, index date), pivot the factors
-  -> LEFT JOIN back to the cohort, missing flags = 0.
+  -> group by (patient, index date), one bit a factor, one bit_or a word
+  -> LEFT JOIN back to the cohort, bits to columns, missing flags = 0.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import bits
+
+FACTOR_KEY = ["pat_id", "instance", "risk_factor"]
+
 
 def diagnosis_mapped_semi(diag: DataFrame, dxmap: DataFrame, dx: DataFrame) -> DataFrame:
     """The study's INNER joins to the mapping and diagnosis tables only test
@@ -40,7 +44,33 @@ def coded_intervals(diag_snomed: DataFrame, codes: DataFrame, dxmap: DataFrame,
     m = d.select("pat_id", "dx_id", "instance", "noted_date", "resolved_date", "SNOMED_ids") \
          .join(c, "SNOMED_ids")
     m = diagnosis_mapped_semi(m, dxmap, dx)
-    return m.select("pat_id", "instance", "noted_date", "resolved_date", "risk_factor").distinct()
+    return m.select("pat_id", "instance", "noted_date", "resolved_date", "risk_factor")
+
+
+def interval_union(intervals: DataFrame, key: list[str] = FACTOR_KEY) -> DataFrame:
+    """The union of each key's closed intervals [noted_date, resolved_date] (NULL: open) as
+    intervals of which no two share a day, with ``always``: whether one of an interval's parts
+    was open at both ends (only such a part covers a NULL date). Intervals that end before
+    they start cover nothing and go.
+
+    Intervals that start on the same day are merged by a grouped aggregate first, so a key has
+    at most a row for each day of the calendar when its rows are put in order: that many, and
+    not its number of diagnoses, meet in one task. In order of their start, an interval opens
+    a new island if all before it ended before it starts."""
+    noted, resolved = F.col("noted_date"), F.col("resolved_date")
+    real = noted.isNull() | resolved.isNull() | (noted <= resolved)
+    reach = F.struct(resolved.isNull().alias("open"), resolved.alias("day"))
+    days = intervals.filter(real).groupBy(*key, "noted_date").agg(
+        F.max(reach).alias("_reach"), F.max(noted.isNull() & resolved.isNull()).alias("_always"))
+    order = Window.partitionBy(*key).orderBy(noted.asc_nulls_first())
+    before = F.max("_reach").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = before.isNull() | (~before["open"] & (before["day"] < noted))
+    islands = days.withColumn("_opens", opens.cast("int")) \
+        .withColumn("_island", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.min(F.struct(noted.isNotNull(), noted.alias("day")))["day"]
+    last = F.max("_reach")["day"]
+    return islands.groupBy(*key, "_island").agg(first.alias("noted_date"), last.alias("resolved_date"),
+                                                F.max("_always").alias("always")).drop("_island")
 
 
 def active_at(index_date: Column, noted: Column, resolved: Column) -> Column:
@@ -50,25 +80,34 @@ def active_at(index_date: Column, noted: Column, resolved: Column) -> Column:
 
 def active_interval_join(cohort_keys: DataFrame, intervals: DataFrame,
                          index_col: str = "decided_index_date") -> DataFrame:
-    """(pat_id, instance, index date, risk_factor) pairs where an interval of
-    that factor covers the index date. Equi keys (pat_id, instance) drive a
-    hash-partitioned join; the interval test is a residual condition."""
+    """(pat_id, instance, index date, risk_factor) where an interval of that factor covers
+    the index date. The intervals are united first, so a date meets one interval of a factor
+    at most and each row is a flag. Equi keys (pat_id, instance) drive a hash-partitioned
+    join; the interval test is a residual condition."""
     k = cohort_keys.select("pat_id", "instance", index_col)
-    iv = intervals.select(F.col("pat_id").alias("_pid"), F.col("instance").alias("_inst"),
-                          "noted_date", "resolved_date", "risk_factor")
+    iv = interval_union(intervals).withColumnsRenamed({"pat_id": "_pid", "instance": "_inst"})
     cond = (k.pat_id == iv._pid) & (k.instance == iv._inst) & \
-        active_at(k[index_col], iv.noted_date, iv.resolved_date)
+        active_at(k[index_col], iv.noted_date, iv.resolved_date) & (k[index_col].isNotNull() | iv.always)
     return k.join(iv, cond, "inner").select("pat_id", "instance", index_col, "risk_factor")
 
 
-def risk_flag_table(hits: DataFrame, factors: list[str],
+def risk_flag_words(hits: DataFrame, factors: list[str],
                     index_col: str = "decided_index_date") -> DataFrame:
-    """One 0/1 column per factor (a fixed list, so factors with no hits still
-    get a column). One grouped aggregate of conditional maxima: it runs with
-    partial aggregation and, after the interval join, needs no new shuffle
-    (the join already clusters rows by (pat_id, instance))."""
+    """The factors of each (patient, index date) as bits of a few words: a grouped ``bit_or``
+    with partial aggregation, as wide as the words and not as the factors."""
+    place = F.element_at(bits.places(factors), F.col("risk_factor"))
+    masks = bits.words(place, F.lit(1), len(factors))
     return hits.groupBy("pat_id", "instance", index_col).agg(
-        *[F.max(F.when(F.col("risk_factor") == f, F.lit(1))).alias(f) for f in factors])
+        *[F.bit_or(m).alias(w) for m, w in zip(masks, bits.word_names(len(factors)))])
+
+
+def risk_flag_table(hits: DataFrame, factors: list[str],
+                    index_col: str = "decided_index_date") -> DataFrame:
+    """One column per factor (a fixed list, so factors with no hits still get a column), 1 or
+    NULL."""
+    names = bits.word_names(len(factors))
+    return risk_flag_words(hits, factors, index_col).select("pat_id", "instance", index_col, *[
+        F.when(bits.flag(names, i) == 1, F.lit(1)).alias(f) for i, f in enumerate(factors)])
 
 
 def add_risk_factors_active_at_index(cohort: DataFrame, factors: list[str], diag_snomed: DataFrame,
@@ -77,13 +116,14 @@ def add_risk_factors_active_at_index(cohort: DataFrame, factors: list[str], diag
                                      index_col: str = "decided_index_date",
                                      dedup_rows: bool = True) -> DataFrame:
     """The cohort plus one 0/1 column per factor. With ``dedup_rows`` the
-    cohort is whole-row de-duplicated, as the study's per-factor loop did."""
+    cohort is whole-row de-duplicated, as the study's per-factor loop did. The flags reach
+    the cohort as words and become columns after the join."""
     iv = coded_intervals(diag_snomed, codes, dxmap, dx, only_instance_1k)
     hits = active_interval_join(cohort, iv, index_col)
-    flags = risk_flag_table(hits, factors, index_col)
-    f = flags.select(F.col("pat_id").alias("_fp"), F.col("instance").alias("_fi"),
-                     F.col(index_col).alias("_fd"), *factors)
+    names = bits.word_names(len(factors))
+    f = risk_flag_words(hits, factors, index_col).select(
+        F.col("pat_id").alias("_fp"), F.col("instance").alias("_fi"), F.col(index_col).alias("_fd"), *names)
     base = cohort.dropDuplicates() if dedup_rows else cohort
     cond = (base.pat_id == f._fp) & (base.instance == f._fi) & base[index_col].eqNullSafe(f._fd)
-    out = base.join(f, cond, "left").drop("_fp", "_fi", "_fd")
-    return out.fillna(0, subset=factors)
+    return base.join(f, cond, "left").select(*[base[c] for c in base.columns], *[
+        F.coalesce(bits.flag(names, i), F.lit(0)).alias(x) for i, x in enumerate(factors)])

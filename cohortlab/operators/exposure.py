@@ -9,10 +9,12 @@ grouped aggregate; per-order rows never leave the executors.
 from __future__ import annotations
 
 from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import bits
 from ..functions import exposure as X
 from ..vocab import HISTORICAL_ORDER_CLASS, ORDER_ADMIN_COLUMNS
 
@@ -115,16 +117,18 @@ def exposure_pivot(rows: DataFrame, meds: list[str]) -> DataFrame:
     """One row per pregnancy, ``<med>_<status>`` = 1 if any order
     credited to that class has the status.
 
-    The study's class-level max followed by a pregnancy-level max equals a
-    single max per (pregnancy, class), so this is one grouped aggregate of
-    conditional maxima with partial aggregation (a ``pivot`` would plan two);
-    classes are a fixed list so every column exists.
+    The study's class-level max followed by a pregnancy-level max equals a single max per
+    (pregnancy, class). The statuses are 0 or 1, so a class's are a few bits in a word, a
+    grouped ``bit_or`` a word unites a pregnancy's orders, and bits become columns at the end.
     """
-    cols = [f"{m}_{s}" for m in meds for s in STATUSES]
-    p = rows.groupBy(*PREGNANCY_KEY).agg(
-        *[F.max(F.when(F.col("med_name") == m, F.col(s))).alias(f"{m}_{s}")
-          for m in meds for s in STATUSES])
-    return p.fillna(0, subset=cols).select(*PREGNANCY_KEY, *cols)
+    width = len(STATUSES)
+    names = bits.word_names(len(meds), width)
+    own = reduce(add, [F.when(F.col(s) == 1, F.lit(1 << k)).otherwise(0) for k, s in enumerate(STATUSES)])
+    masks = bits.words(F.element_at(bits.places(meds), F.col("med_name")), own, len(meds), width)
+    p = rows.groupBy(*PREGNANCY_KEY).agg(*[F.bit_or(m).alias(w) for m, w in zip(masks, names)])
+    return p.select(*PREGNANCY_KEY, *[
+        F.coalesce(bits.flag(names, i, width, k), F.lit(0)).alias(f"{m}_{s}")
+        for i, m in enumerate(meds) for k, s in enumerate(STATUSES)])
 
 
 def cohort_with_exposure(cohort: DataFrame, pivot: DataFrame, meds: list[str]) -> DataFrame:

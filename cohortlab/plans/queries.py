@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import fill_noted_date
 from ..operators import conditions
 from ..sources import proxy
-from .study import Study
+from .study import Study, WholeStudy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -104,7 +104,7 @@ def q_risk_code_set(spark, folder):
 @query("active_interval_join")
 def q_active_interval_join(spark, folder):
     s = Study.shared(spark, folder)
-    return conditions.active_interval_join(s.cohort, s.intervals()).distinct()
+    return conditions.active_interval_join(s.cohort, s.intervals()).distinct()  # pregnancies may share an index date
 
 
 @query("risk_flags")
@@ -119,6 +119,13 @@ def q_riskflags_instance_1000(spark, folder):
     return s.risk_flags(only_instance_1k=True).select(*FLAG_KEY, *proxy.PROXY_RISK_FACTORS)
 
 
+@query("risk_flags_whole")
+def q_risk_flags_whole(spark, folder):
+    """R1 with all 85 conditions."""
+    s = WholeStudy.shared(spark, folder)
+    return s.flagged_cohort.select(*FLAG_KEY, *s.FACTORS)
+
+
 # ------------------------------------------------------------------ exposure
 from ..operators import exposure as EX  # noqa: E402
 from ..vocab import ROUTES  # noqa: E402
@@ -202,6 +209,24 @@ def q_exposure_pivot(spark, folder):
     return Study.shared(spark, folder).exposure_flags
 
 
+@query("exposure_pivot_whole")
+def q_exposure_pivot_whole(spark, folder):
+    """M10 with all 32 classes x 5 exposures."""
+    return WholeStudy.shared(spark, folder).exposure_flags
+
+
+@query("arms_from_flags")
+def q_arms_from_flags(spark, folder):
+    """Arms from R1's disease columns with J15's exposures: each row's diseases, and how many
+    of its 160 exposures are set."""
+    s = WholeStudy.shared(spark, folder)
+    treated, controls = s.arms
+    both = C.arm_union(controls, treated, "IMID_status")
+    exposed = [f"{m}_{x}" for m in s.MEDS for x in EX.STATUSES]
+    return both.select(*KEY, "IMID_status", *IMIDS, F.aggregate(
+        F.array(*exposed), F.lit(0), lambda a, x: a + x).alias("n_exposures"))
+
+
 @query("cohort_with_exposure")
 def q_cohort_with_exposure(spark, folder):
     s = Study.shared(spark, folder)

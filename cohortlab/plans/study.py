@@ -3,7 +3,8 @@
 ``Study(spark, folder)`` builds a DataFrame for each stage on first use. Those that are
 stage tables (the flagged cohort, the study cohort, the matching inputs) and the list of
 years run jobs when they are built; all others run when a caller acts on them. The proxy views stand in for the warehouse
-tables; a deployment passes its own tables to the operators directly.
+tables; a deployment passes its own ``sources`` (an object with a function of the tables for
+each name that ``src`` is asked for) and vocabularies.
 """
 
 from __future__ import annotations
@@ -14,17 +15,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import concepts, conditions, diagnoses
+from ..operators.cohort import filter_delivery_year
+from ..operators.exposure import any_flag, cohort_with_exposure, exposure_pivot
 from ..session import cut_lineage, split_hot_keys
 from ..sources import proxy
 from ..sources.tables import Tables
+from ..vocab import IMIDS, MEDICATIONS, RISK_FACTORS
 
 
 class Study:
     _shared: dict = {}
 
-    def __init__(self, spark: SparkSession, folder: str):
+    FACTORS = proxy.PROXY_RISK_FACTORS
+    MEDS = proxy.PROXY_MEDS
+
+    def __init__(self, spark: SparkSession, folder: str, sources=proxy):
         self.spark = spark
         self.t = Tables(spark, folder)
+        self.sources = sources
 
     @classmethod
     def shared(cls, spark: SparkSession, folder: str) -> "Study":
@@ -46,14 +54,14 @@ class Study:
         """Forget the stage tables of ``folder``: the next query builds them anew."""
         cls._shared.pop(cls._key(spark, folder), None)
 
-    @staticmethod
-    def _key(spark: SparkSession, folder: str) -> tuple[str, str, str]:
-        return spark.sparkContext.applicationId, spark._jsparkSession.sessionUUID(), folder
+    @classmethod
+    def _key(cls, spark: SparkSession, folder: str) -> tuple[str, str, str, str]:
+        return spark.sparkContext.applicationId, spark._jsparkSession.sessionUUID(), folder, cls.__name__
 
     # ------------------------------------------------------------- sources
     @cached_property
     def pregnancy(self) -> DataFrame:
-        return proxy.pregnancy(self.t)
+        return self.src("pregnancy")
 
     @cached_property
     def cohort(self) -> DataFrame:
@@ -61,7 +69,7 @@ class Study:
         return self.pregnancy.withColumn("decided_index_date", F.col("lmp"))
 
     def src(self, name: str) -> DataFrame:
-        return getattr(proxy, name)(self.t)
+        return getattr(self.sources, name)(self.t)
 
     # ------------------------------------------------------------- diagnoses
     @cached_property
@@ -111,7 +119,7 @@ class Study:
     def risk_flags(self, only_instance_1k: bool = False, cohort: DataFrame | None = None,
                    factors: list[str] | None = None) -> DataFrame:
         return conditions.add_risk_factors_active_at_index(
-            self.cohort if cohort is None else cohort, factors or proxy.PROXY_RISK_FACTORS,
+            self.cohort if cohort is None else cohort, factors or self.FACTORS,
             self.diag_snomed, self.codes, self.src("diagnosismapping"), self.src("diagnosis"),
             only_instance_1k=only_instance_1k)
 
@@ -137,14 +145,13 @@ class Study:
         from ..operators import exposure
         from ..vocab import ROUTES
         if routed:
-            return exposure.exposure_rows(self.imid_cohort, self.med_orders, proxy.PROXY_MEDS,
-                                          ROUTES, mode)
-        return exposure.exposure_rows(self.cohort, self.med_orders, proxy.PROXY_MEDS, None, mode)
+            return exposure.exposure_rows(self.imid_cohort, self.med_orders, self.MEDS, ROUTES, mode)
+        return exposure.exposure_rows(self.cohort, self.med_orders, self.MEDS, None, mode)
 
     @cached_property
     def exposure_flags(self) -> DataFrame:
         from ..operators import exposure
-        return exposure.exposure_pivot(self.exposure_rows(), proxy.PROXY_MEDS)
+        return exposure.exposure_pivot(self.exposure_rows(), self.MEDS)
 
     # ------------------------------------------------------------- matching stage
     COMORBIDITIES = proxy.PROXY_COMORBIDITIES
@@ -261,3 +268,35 @@ class Study:
             control_counts = O.outcome_counts(rows, ["comparison"])
         long = O.outcome_long(treated_counts, control_counts, ["comparison"])
         return O.risk_table(long, ["comparison"]).withColumn("analysis", F.lit(analysis))
+
+
+class WholeStudy(Study):
+    """The stages at their full width, each fed by the one before: R1 flags all 85 conditions,
+    its 12 disease columns choose the disease cohort, whose routed orders give 32 classes x 5
+    exposures; flags and exposures are joined to the cohort and the arms are split from that.
+    The cohort's own disease columns, if any, are not read."""
+
+    FACTORS = RISK_FACTORS
+    MEDS = MEDICATIONS
+
+    @cached_property
+    def cohort(self) -> DataFrame:
+        return super().cohort.drop(*IMIDS)
+
+    def src(self, name: str) -> DataFrame:
+        if name in ("condition_registry", "condition_patch"):
+            return getattr(self.sources, name)(self.t, self.FACTORS)
+        if name == "medication_order":
+            return self.sources.medication_order(self.t, whole=True)
+        return super().src(name)
+
+    @cached_property
+    def imid_cohort(self) -> DataFrame:
+        return self.flagged_cohort.filter(any_flag(IMIDS))
+
+    @cached_property
+    def study_cohort(self) -> DataFrame:
+        """Flags (R1) and the disease cohort's exposures (J15) on the pregnancies after the cut-off year."""
+        pivot = exposure_pivot(self.exposure_rows(routed=True), self.MEDS)
+        both = cohort_with_exposure(self.flagged_cohort, pivot, self.MEDS)
+        return cut_lineage(filter_delivery_year(both, proxy.PROXY_MIN_DELIVERY_YEAR))

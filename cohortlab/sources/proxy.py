@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..vocab import IMIDS, MATCH_COMORBIDITIES, RISK_FACTORS
+from ..vocab import IMIDS, MATCH_COMORBIDITIES, MEDICATIONS, RISK_FACTORS
 from .tables import Tables
 
 # Proxy vocabularies: the six part types stand in for medication classes. Every
@@ -193,7 +193,8 @@ def pregnancy(t: Tables, imids: list[str] | None = None) -> DataFrame:
 
 # ---------------------------------------------------------------- medication orders
 
-def medication_order(t: Tables) -> DataFrame:
+def medication_order(t: Tables, whole: bool = False) -> DataFrame:
+    """Orders with a flag for each proxy class or, with ``whole``, each of the study's 32."""
     l = t.lineitem.select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag",
                           "l_linestatus", "l_shipdate")
     o = t.orders.select("o_orderkey", "o_custkey")
@@ -202,7 +203,11 @@ def medication_order(t: Tables) -> DataFrame:
     start = F.to_date("l_shipdate")
     cls = F.lower(F.col("p_type"))
     flags = []
-    for m in PROXY_MEDS:
+    # the study's classes: a part has one by its number, or none, and some parts a second
+    number, more = F.col("p_partkey") % 37, F.col("p_size") % 10 == 0
+    for i, m in enumerate(MEDICATIONS if whole else []):
+        flags.append(((number == i) | (more & (number == (i + 7) % 37))).cast("int").alias(m))
+    for m in [] if whole else PROXY_MEDS:
         hit = cls == m
         if m == "promo":
             hit = hit | (F.col("p_size") % 10 == 0)
@@ -327,23 +332,22 @@ def concept_ancestor(t: Tables) -> DataFrame:
     return ids.select(e).select("e.*").distinct()
 
 
-def _risk_factor_name(typ: Column, brand: Column) -> Column:
+def _risk_factor_name(typ: Column, brand: Column, factors: list[str] = PROXY_RISK_FACTORS) -> Column:
     number = F.substring(brand, 7, 3).cast("int") - 1
     node = F.array_position(F.array(*[F.lit(x) for x in PROXY_TYPES]), typ) * BRANDS_PER_TYPE + number
-    return F.get(F.array(*[F.lit(f) for f in PROXY_RISK_FACTORS]),
-                 (node % len(PROXY_RISK_FACTORS)).cast("int"))
+    return F.get(F.array(*[F.lit(f) for f in factors]), (node % len(factors)).cast("int"))
 
 
-def condition_registry(t: Tables) -> DataFrame:
+def condition_registry(t: Tables, factors: list[str] = PROXY_RISK_FACTORS) -> DataFrame:
     p = t.part.select("p_type", "p_brand")
-    return p.select(_risk_factor_name(F.col("p_type"), F.col("p_brand")).alias("risk_factor"),
+    return p.select(_risk_factor_name(F.col("p_type"), F.col("p_brand"), factors).alias("risk_factor"),
                     F.concat(F.col("p_type"), F.lit("/"), F.col("p_brand")).alias("concept_code")
                     ).distinct()
 
 
-def condition_patch(t: Tables) -> DataFrame:
+def condition_patch(t: Tables, factors: list[str] = PROXY_RISK_FACTORS) -> DataFrame:
     p = t.part.select("p_partkey", "p_type", "p_brand").filter(F.col("p_partkey") % 17 == 0)
-    return p.select(_risk_factor_name(F.col("p_type"), F.col("p_brand")).alias("risk_factor"),
+    return p.select(_risk_factor_name(F.col("p_type"), F.col("p_brand"), factors).alias("risk_factor"),
                     _part_code(F.col("p_partkey")).alias("concept_code"))
 
 

@@ -7,8 +7,8 @@ WITH-clause for the named views and everything they depend on.
 
 from __future__ import annotations
 
-from cohortlab.sources.proxy import PROXY_MEDS, PROXY_RISK_FACTORS
-from cohortlab.vocab import IMIDS
+from cohortlab.sources.proxy import PROXY_MEDS, PROXY_MIN_DELIVERY_YEAR, PROXY_RISK_FACTORS
+from cohortlab.vocab import IMIDS, MEDICATIONS, RISK_FACTORS
 
 _CTES: dict[str, tuple[str, list[str]]] = {}
 
@@ -152,6 +152,11 @@ SELECT o_custkey AS pat_id, {INST.format(c='o_custkey')} AS instance,
   {_med_flags}
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""")
 
+_whole_flags = ",\n  ".join(
+    f"CAST(p_partkey % 37 = {i} OR (p_size % 10 = 0 AND p_partkey % 37 = {(i + 7) % 37}) AS INTEGER) AS {m}"
+    for i, m in enumerate(MEDICATIONS))
+cte("px_med_whole", _CTES["px_med"][0].replace(_med_flags, _whole_flags))
+
 # ------------------------------------------------------------------ diagnosis sources
 cte("px_problemlist", f"""
 SELECT o_custkey AS pat_id, l_partkey AS dx_id, {INST.format(c='o_custkey')} AS instance,
@@ -201,15 +206,21 @@ SELECT DISTINCT * FROM (
   UNION ALL SELECT {_T}, {_B}, 1 FROM part
   UNION ALL SELECT {_T}, {_T}, 0 FROM part)""")
 
-_FACTOR_LIST = "[" + ", ".join(f"'{f}'" for f in PROXY_RISK_FACTORS) + "]"
 _TYPE_NO = ("CASE p_type WHEN 'ECONOMY' THEN 1 WHEN 'LARGE' THEN 2 WHEN 'MEDIUM' THEN 3 WHEN 'PROMO' THEN 4 "
             "WHEN 'SMALL' THEN 5 WHEN 'STANDARD' THEN 6 END")
-RF_NAME = (f"{_FACTOR_LIST}[1 + (({_TYPE_NO}) * 25 + CAST(substring(p_brand, 7, 3) AS INTEGER) - 1) "
-           f"% {len(PROXY_RISK_FACTORS)}]")
-cte("px_registry", f"""
-SELECT DISTINCT {RF_NAME} AS risk_factor, p_type || '/' || p_brand AS concept_code FROM part""")
-cte("px_patch", f"""
-SELECT {RF_NAME} AS risk_factor, {PCODE} AS concept_code FROM part WHERE p_partkey % 17 = 0""")
+
+
+def registry_sql(suffix: str, factors: list[str]) -> None:
+    names = "[" + ", ".join(f"'{f}'" for f in factors) + "]"
+    name = f"{names}[1 + (({_TYPE_NO}) * 25 + CAST(substring(p_brand, 7, 3) AS INTEGER) - 1) % {len(factors)}]"
+    cte(f"px_registry{suffix}", f"""
+SELECT DISTINCT {name} AS risk_factor, p_type || '/' || p_brand AS concept_code FROM part""")
+    cte(f"px_patch{suffix}", f"""
+SELECT {name} AS risk_factor, {PCODE} AS concept_code FROM part WHERE p_partkey % 17 = 0""")
+
+
+registry_sql("", PROXY_RISK_FACTORS)
+registry_sql("_whole", RISK_FACTORS)
 cte("px_dxmap", "SELECT p_partkey AS dx_id FROM part WHERE p_size > 2")
 cte("px_dx", "SELECT p_partkey AS dx_id FROM part WHERE p_size < 49")
 
@@ -323,20 +334,28 @@ GROUP BY c.pat_id, c.instance, c.episode_id, c.decided_index_date"""
 cte("r_flags", flags_sql("r_hits"), ["px_cohort", "r_hits"])
 cte("r_flags_1k", flags_sql("r_hits_1k"), ["px_cohort", "r_hits_1k"])
 
-# ------------------------------------------------------------------ exposure
-_ANY_MED = " OR ".join(f"m.{m} = 1" for m in PROXY_MEDS)
-_MED_COLS = ", ".join(f"m.{m}" for m in PROXY_MEDS)
+# the whole vocabulary: 85 conditions, and the 12 diseases as R1 flags them
+for _name, _deps in (("c1_descendants", ["px_registry"]), ("c2_codes", ["c1_descendants", "px_patch"]),
+                     ("r_intervals", ["c2_codes"]), ("r_hits", ["r_intervals"])):
+    _sql, _own = _CTES[_name]
+    for _d in _deps:
+        _sql = _sql.replace(f"{_d} ", f"{_d}_whole ")
+    cte(f"{_name}_whole", _sql, [f"{d}_whole" if d in _deps else d for d in _own])
+_PREGNANCY_KEY = "pat_id, instance, episode_id, decided_index_date"
+cte("r_flags_whole", flags_sql("r_hits_whole", RISK_FACTORS), ["px_cohort", "r_hits_whole"])
 
-
-def orders_sql(cohort: str, routed: bool) -> str:
+# ------------------------------------------------------------------ exposure
+def orders_sql(cohort: str, routed: bool, meds: list[str] = PROXY_MEDS, table: str = "px_med") -> str:
+    any_med = " OR ".join(f"m.{m} = 1" for m in meds)
+    columns = ", ".join(f"m.{m}" for m in meds)
     route = (" AND m.route IN ('Oral', 'Intramuscular', 'Intravenous', 'Subcutaneous Infusion', "
              "'Subcutaneous', 'Intravenous (Continuous Infusion)', 'Rectal')") if routed else ""
     return f"""
 SELECT DISTINCT c.pat_id, c.instance, c.gestational_days, c.lmp, c.ob_delivery_delivery_date,
-  m.start_date, m.end_date, m.route, {_MED_COLS}
-FROM {cohort} c JOIN px_med m ON c.pat_id = m.pat_id AND c.instance = m.instance
+  m.start_date, m.end_date, m.route, {columns}
+FROM {cohort} c JOIN {table} m ON c.pat_id = m.pat_id AND c.instance = m.instance
   AND m.end_date > c.lmp AND m.start_date < c.ob_delivery_delivery_date
-WHERE ({_ANY_MED}) AND m.order_class <> 'Historical Med'{route}"""
+WHERE ({any_med}) AND m.order_class <> 'Historical Med'{route}"""
 
 
 _ANY_IMID = " OR ".join(f"{i} = 1" for i in IMIDS)
@@ -371,10 +390,10 @@ D3 = """CASE WHEN s < 189 AND e < 189 THEN 0
 PERIOD = """CASE WHEN s < -180 THEN -1 WHEN s < 0 THEN 0 WHEN s < 84 THEN 1 WHEN s < 189 THEN 2
   WHEN s <= 320 THEN 3 WHEN s > 320 THEN 4 END"""
 CLIP = "CAST(greatest(0, least(e, {hi}) - greatest(s, {lo}) + 1) AS INTEGER)"
-_MED_NAME = "CASE " + " ".join(f"WHEN {m} = 1 THEN '{m}'" for m in PROXY_MEDS) + " END"
 
 
-def rows_sql(orders: str) -> str:
+def rows_sql(orders: str, meds: list[str] = PROXY_MEDS) -> str:
+    med_name = "CASE " + " ".join(f"WHEN {m} = 1 THEN '{m}'" for m in meds) + " END"
     return f"""
 SELECT *,
   CASE WHEN exposure1_duration > 0 THEN 1 ELSE 0 END AS exposure1_status,
@@ -395,7 +414,7 @@ FROM (
       {CLIP.format(lo=0, hi=83)} AS clipped1_duration,
       {CLIP.format(lo=84, hi=188)} AS clipped2_duration,
       {CLIP.format(lo=189, hi='ga')} AS clipped3_duration,
-      {_MED_NAME} AS med_name
+      {med_name} AS med_name
     FROM (SELECT *, CAST(date_diff('day', lmp, start_date) AS INTEGER) AS s,
             CAST(date_diff('day', lmp, end_date) AS INTEGER) AS e,
             gestational_days AS ga,
@@ -408,13 +427,35 @@ cte("e_rows_routed", rows_sql("e_orders_routed"), ["e_orders_routed"])
 
 _STATUSES = ["exposure_total_status", "exposure0_status", "exposure1_status",
              "exposure2_status", "exposure3_status"]
-_PIVOT = ",\n  ".join(
-    f"CAST(COALESCE(MAX(CASE WHEN med_name = '{m}' THEN {st} END), 0) AS INTEGER) AS {m}_{st}"
-    for m in PROXY_MEDS for st in _STATUSES)
-cte("e_pivot", f"""
+
+
+def pivot_sql(rows: str, meds: list[str]) -> str:
+    columns = ",\n  ".join(
+        f"CAST(COALESCE(MAX(CASE WHEN med_name = '{m}' THEN {st} END), 0) AS INTEGER) AS {m}_{st}"
+        for m in meds for st in _STATUSES)
+    return f"""
 SELECT pat_id, instance, lmp, gestational_days,
-  {_PIVOT}
-FROM e_rows GROUP BY pat_id, instance, lmp, gestational_days""", ["e_rows"])
+  {columns}
+FROM {rows} GROUP BY pat_id, instance, lmp, gestational_days"""
+
+
+cte("e_pivot", pivot_sql("e_rows", PROXY_MEDS), ["e_rows"])
+cte("e_orders_whole", orders_sql("px_cohort", False, MEDICATIONS, "px_med_whole"), ["px_cohort", "px_med_whole"])
+cte("e_rows_whole", rows_sql("e_orders_whole", MEDICATIONS), ["e_orders_whole"])
+cte("e_pivot_whole", pivot_sql("e_rows_whole", MEDICATIONS), ["e_rows_whole"])
+# flags -> disease cohort -> routed exposures -> arms
+cte("w_flagged", "SELECT c.* EXCLUDE (" + ", ".join(IMIDS) + "), " + ", ".join(f"f.{i}" for i in IMIDS) + """
+FROM px_cohort c JOIN r_flags_whole f ON c.episode_id = f.episode_id AND c.pat_id = f.pat_id""",
+    ["px_cohort", "r_flags_whole"])
+cte("w_imid", "SELECT * FROM w_flagged WHERE " + " OR ".join(f"{i} = 1" for i in IMIDS), ["w_flagged"])
+cte("w_orders", orders_sql("w_imid", True, MEDICATIONS, "px_med_whole"), ["w_imid", "px_med_whole"])
+cte("w_rows", rows_sql("w_orders", MEDICATIONS), ["w_orders"])
+cte("w_pivot", pivot_sql("w_rows", MEDICATIONS), ["w_rows"])
+cte("w_cohort", f"""
+SELECT c.*, {" + ".join(f"COALESCE(p.{m}_{st}, 0)" for m in MEDICATIONS for st in _STATUSES)} AS n_exposures
+FROM w_flagged c LEFT JOIN w_pivot p ON c.pat_id = p.pat_id AND c.instance = p.instance
+  AND c.lmp = p.lmp AND c.gestational_days = p.gestational_days
+WHERE c.delivery_year > {PROXY_MIN_DELIVERY_YEAR}""", ["w_flagged", "w_pivot"])
 EXPOSURE_FLAG_COLS = [f"{m}_{st}" for m in PROXY_MEDS for st in _STATUSES]
 
 # ------------------------------------------------------------------ geography
@@ -488,7 +529,7 @@ PSIG = """CASE WHEN {p} IS NULL THEN NULL WHEN isnan({p}) THEN '****' WHEN {p} >
   WHEN {p} > 0.0001 THEN '***' ELSE '****' END"""
 
 # ------------------------------------------------------------------ matching stage
-from cohortlab.sources.proxy import PROXY_COMORBIDITIES, PROXY_MIN_DELIVERY_YEAR  # noqa: E402
+from cohortlab.sources.proxy import PROXY_COMORBIDITIES  # noqa: E402
 
 _RF_COLS = ", ".join(f"f.{f}" for f in PROXY_RISK_FACTORS)
 cte("s_cohort", f"""

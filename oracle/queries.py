@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cohortlab.sources.proxy import PROXY_RISK_FACTORS
+from cohortlab.vocab import IMIDS
 
 from .proxy_sql import with_ctes
 
@@ -39,6 +40,16 @@ WHERE d.dx_id IN (SELECT dx_id FROM px_dxmap) AND d.dx_id IN (SELECT dx_id FROM
 # ------------------------------------------------------------------ concepts, flags
 oracle("concept_descendants", "SELECT * FROM c1_descendants", ["c1_descendants"])
 oracle("risk_code_set", "SELECT * FROM c2_codes", ["c2_codes"])
+oracle("risk_flags_whole", "SELECT * FROM r_flags_whole", ["r_flags_whole"])
+oracle("exposure_pivot_whole", "SELECT * FROM e_pivot_whole", ["e_pivot_whole"])
+_IMIDS = ", ".join(IMIDS)
+oracle("arms_from_flags", f"""
+SELECT pat_id, instance, episode_id, 1 AS IMID_status, {_IMIDS}, CAST(n_exposures AS INTEGER) AS n_exposures
+FROM w_cohort WHERE {" OR ".join(f"{i} = 1" for i in IMIDS)}
+UNION ALL
+SELECT pat_id, instance, episode_id, 0, {_IMIDS}, CAST(n_exposures AS INTEGER) FROM w_cohort b
+WHERE NOT EXISTS (SELECT 1 FROM w_cohort t WHERE t.pat_id = b.pat_id AND t.instance = b.instance
+  AND ({" OR ".join(f"t.{i} = 1" for i in IMIDS)}))""", ["w_cohort"])
 oracle("active_interval_join", "SELECT * FROM r_hits", ["r_hits"])
 oracle("risk_flags", "SELECT * FROM r_flags", ["r_flags"])
 oracle("riskflags_instance_1000", "SELECT * FROM r_flags_1k", ["r_flags_1k"])
