@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import with_position
+
 
 def concept_descendants(registry: DataFrame, concept: DataFrame, ancestor: DataFrame,
                         vocabulary: str = "SNOMED") -> DataFrame:
@@ -35,6 +37,17 @@ def concept_descendants(registry: DataFrame, concept: DataFrame, ancestor: DataF
                     "min_levels_of_separation")
 
 
+def ordered_descendants(descendants: DataFrame) -> DataFrame:
+    """``concept_descendants`` in the study's order, by closeness, then name, for each
+    ancestor code: ``position`` among all rows by (factor, ancestor, closeness, name, code) and
+    ``place`` within its (factor, ancestor), which starts at 1."""
+    group = ["risk_factor", "ancestor_snomed_code"]
+    order = [*group, "min_levels_of_separation", "descendant_concept_name", "descendant_snomed_code", "ancestor_concept_name"]
+    rows = with_position(descendants, order)
+    first = rows.groupBy(*group).agg(F.min("position").alias("_first"))
+    return rows.join(first, group).withColumn("place", F.col("position") - F.col("_first") + 1).drop("_first")
+
+
 def risk_code_set(descendants: DataFrame, patch: DataFrame | None = None,
                   excluded_prefix: str = "OMOP") -> DataFrame:
     """Distinct (risk_factor, code), minus the factor's patch codes, minus

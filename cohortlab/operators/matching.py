@@ -1,4 +1,5 @@
-"""Nearest-neighbour matching on a propensity score (PS3, and PS4 on one feature).
+"""Nearest-neighbour matching on a propensity score (PS3, and PS4 on one feature;
+PS4 on several is in ``metric``).
 
 Spark has no nearest-value join, and the study used an in-memory tree on the
 driver. ``nearest_score_match`` is an exact 1-nearest-neighbour join on one
@@ -150,26 +151,24 @@ def propensity_score_matching(df: DataFrame, treatment: str, score: str, key: li
 
 
 def nn_match_scaled(treated: DataFrame, controls: DataFrame, features: list[str],
-                    key: list[str]) -> DataFrame:
-    """PS4: standardise on the union of both arms, then for each treated row its
-    Euclidean nearest control (with replacement). Returns one matched control
-    row per treated row: ``match_id`` (the treated row's last key column), the
-    control's key and feature value.
-
-    For one feature, standardising is an increasing linear map, so the nearest
-    control is the nearest raw value and the exact bucketed score join applies
-    (matching on the raw values also avoids rounding noise from the scaling).
-    For several features an exact nearest neighbour needs the distance of
-    every treated x control pair; that all-pairs product is not built here,
-    and an approximate join would change results, so it raises."""
-    if len(features) != 1:
-        raise NotImplementedError(
-            "exact multi-feature nearest neighbour needs all treated x control pairs; "
-            "pass a single (e.g. propensity) feature")
-    f = features[0]
-    pairs = nearest_score_match(treated.select(*key, f), controls.select(*key, f), f, key)
-    return pairs.select(F.col(key[-1]).alias("match_id"),
-                        *[F.col(f"m_{k}").alias(k) for k in key], F.col(f"m_{f}").alias(f))
+                    key: list[str], scaled: bool = True) -> DataFrame:
+    """PS4: for each treated row its Euclidean nearest control (with replacement), on features
+    standardised over both arms or (``scaled=False``) as they are. Returns one matched control
+    row per treated row: ``match_id`` (the treated row's last key column), the control's key
+    and feature values.
+
+    For one feature, standardising is an increasing linear map, so the nearest control is the
+    nearest raw value and the bucketed score join applies; several features go through a
+    metric partition (``metric``). Ties go to the lower value of one feature, to the lowest
+    key in several; rows with a missing feature are in no pair."""
+    if len(features) == 1:
+        f = features[0]
+        pairs = nearest_score_match(treated.select(*key, f), controls.select(*key, f), f, key)
+    else:
+        from .metric import nearest_rows
+        pairs = nearest_rows(treated, controls, features, key, scaled)
+    return pairs.select(F.col(key[-1]).alias("match_id"), *[F.col(f"m_{k}").alias(k) for k in key],
+                        *[F.col(f"m_{f}").alias(f) for f in features])
 
 
 def shared_pool_matching(treated_long: DataFrame, controls: DataFrame, treatment: str, score: str,

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import fill_noted_date
-from ..operators import conditions
+from ..operators import concepts, conditions
 from ..sources import proxy
 from .study import Study, WholeStudy
 
@@ -96,6 +96,11 @@ def q_concept_descendants(spark, folder):
     return Study.shared(spark, folder).descendants
 
 
+@query("concept_descendants_ordered")
+def q_concept_descendants_ordered(spark, folder):
+    return concepts.ordered_descendants(Study.shared(spark, folder).descendants)
+
+
 @query("risk_code_set")
 def q_risk_code_set(spark, folder):
     return Study.shared(spark, folder).codes
@@ -613,12 +618,46 @@ def q_propensity_score(spark, folder):
 
 @query("psm_by_comparison")
 def q_psm_by_comparison(spark, folder):
-    """One logistic model per comparison (fits run concurrently), then
+    """One logistic model per comparison (fitted together), then
     1-NN matching per comparison on the fitted score."""
     from .fitted import fitted_matches
     return fitted_matches(Study.shared(spark, folder))
 
 
+@query("psm_fit_equations")
+def q_psm_fit_equations(spark, folder):
+    """O7's fits per comparison and covariate (and intercept): the sum of score x value, which
+    at the optimum equals the sum of the treated rows' values. Area ranks are left out."""
+    from .fitted import fitted_features, fitted_scores
+    s = Study.shared(spark, folder)
+    scored = fitted_scores(s).withColumn("intercept", F.lit(1))
+    names = [n for n in fitted_features(s)[2] if not n.startswith("RPL_")]
+    sums = scored.groupBy("comparison").agg(*[
+        F.round(F.sum(F.col("propensity_score") * F.col(n)), 2).alias(n) for n in ["intercept", *names]])
+    return sums.select("comparison", F.inline(F.array(*[
+        F.struct(F.lit(n).alias("variable"), F.col(n).alias("score_sum")) for n in ["intercept", *names]])))
+
+
+@query("psm_fitted_pairs")
+def q_psm_fitted_pairs(spark, folder):
+    """O7's matches per comparison: pairs, the sum of the query arm's ids, and whether every
+    match is in the other arm."""
+    from .fitted import fitted_matches
+    m = fitted_matches(Study.shared(spark, folder))
+    arm = lambda v, x: F.sum(F.when(F.col("IMID_status") == v, x))
+    return m.groupBy("comparison").agg(arm(1, F.lit(1)).alias("n_treated"), arm(0, F.lit(1)).alias("n_controls"),
+                                       arm(1, F.col("episode_id")).alias("treated_ids"))
+
+
+@query("outcomes_fitted_counts")
+def q_outcomes_fitted_counts(spark, folder):
+    """O5-O7's tables from fitted scores, as far as the fit does not decide them: the arms'
+    sizes and the treated arm's outcomes."""
+    from .fitted import fitted_outcomes
+    return fitted_outcomes(Study.shared(spark, folder), ("adjusted", "sensitivity")) \
+        .select("analysis", "comparison", "outcome", "a", "n1", "n0")
+
+
 @query("outcomes_fitted")
 def q_outcomes_fitted(spark, folder):
     """O5-O7 end to end with fitted propensity scores (adjusted and
@@ -634,3 +673,20 @@ def q_nn_match_scaled(spark, folder):
     treated = long.filter(F.col("IMID_status") == 1)
     controls = long.filter(F.col("IMID_status") == 0)
     return M.nn_match_scaled(treated, controls, ["px_score"], KEY)
+
+
+MATCH_COLUMNS = ["px_score", "gestational_days", "age_at_start_dt", "pregravid_bmi"]
+
+
+@query("nn_match_many")
+def q_nn_match_many(spark, folder):
+    """PS4/J13 on four standardised columns."""
+    treated, controls = Study.shared(spark, folder).arms
+    return M.nn_match_scaled(treated, controls, MATCH_COLUMNS, KEY)
+
+
+@query("nn_match_many_raw")
+def q_nn_match_many_raw(spark, folder):
+    """PS4 without the scaler, on the columns as they are."""
+    treated, controls = Study.shared(spark, folder).arms
+    return M.nn_match_scaled(treated, controls, MATCH_COLUMNS[1:], KEY, scaled=False)

@@ -40,6 +40,12 @@ WHERE d.dx_id IN (SELECT dx_id FROM px_dxmap) AND d.dx_id IN (SELECT dx_id FROM
 # ------------------------------------------------------------------ concepts, flags
 oracle("concept_descendants", "SELECT * FROM c1_descendants", ["c1_descendants"])
 oracle("risk_code_set", "SELECT * FROM c2_codes", ["c2_codes"])
+oracle("concept_descendants_ordered", """
+SELECT *, row_number() OVER (ORDER BY risk_factor NULLS FIRST, ancestor_snomed_code, min_levels_of_separation,
+    descendant_concept_name NULLS FIRST, descendant_snomed_code, ancestor_concept_name NULLS FIRST) AS position,
+  row_number() OVER (PARTITION BY risk_factor, ancestor_snomed_code ORDER BY min_levels_of_separation,
+    descendant_concept_name NULLS FIRST, descendant_snomed_code, ancestor_concept_name NULLS FIRST) AS place
+FROM c1_descendants""", ["c1_descendants"])
 oracle("risk_flags_whole", "SELECT * FROM r_flags_whole", ["r_flags_whole"])
 oracle("exposure_pivot_whole", "SELECT * FROM e_pivot_whole", ["e_pivot_whole"])
 _IMIDS = ", ".join(IMIDS)
@@ -256,6 +262,22 @@ oracle("balance_by_comparison", "SELECT comparison, variable, round(effect_size,
 
 oracle("propensity_score", "SELECT variable, score_sum FROM f_sums", ["f_sums"])
 
+oracle("psm_fit_equations", f"""
+SELECT comparison, variable, CAST(SUM(IMID_status * value) AS DOUBLE) AS score_sum
+FROM ({P.long_sql("f_all")}) WHERE NOT starts_with(variable, 'RPL_') GROUP BY comparison, variable
+UNION ALL SELECT comparison, 'intercept', CAST(SUM(IMID_status) AS DOUBLE) FROM f_all GROUP BY comparison""",
+       ["f_all", "s_years"])
+# the smaller arm queries: its rows are matched once each; a reversed comparison (controls no
+# more than treated) has as many pairs as controls, and its treated rows come from the fit
+oracle("psm_fitted_pairs", """
+SELECT comparison, least(n1, n0) AS n_treated, least(n1, n0) AS n_controls, ids AS treated_ids
+FROM (SELECT comparison, count(*) FILTER (WHERE IMID_status = 1) AS n1, count(*) FILTER (WHERE IMID_status = 0) AS n0,
+        CAST(SUM(episode_id) FILTER (WHERE IMID_status = 1) AS BIGINT) AS ids FROM s_long GROUP BY comparison)""", ["s_long"])
+oracle("outcomes_fitted_counts", """
+SELECT analysis, comparison, outcome, a, n1, n0 FROM (
+  SELECT 'adjusted' AS analysis, * FROM o_adjusted UNION ALL SELECT 'sensitivity' AS analysis, * FROM o_sensitivity)""",
+       ["o_adjusted", "o_sensitivity"])
+
 # ------------------------------------------------------------------ outcomes
 oracle("outcome_counts", f"SELECT comparison, IMID_status, {P.OUTCOME_AGGS} FROM s_long "
        "GROUP BY comparison, IMID_status", ["s_long"])
@@ -270,3 +292,25 @@ oracle("outcomes_sensitivity", "SELECT *, 'sensitivity' AS analysis FROM o_sensi
        ["o_sensitivity"])
 oracle("nn_match_scaled", "SELECT match_id, pat_id, instance, episode_id, score AS px_score "
        "FROM m_imid_nn WHERE IMID_status = 0", ["m_imid_nn"])
+
+
+def nearest_sql(columns: list[str], scaled: bool) -> str:
+    """Every treated row against every control: the nearest, ties by the lowest key."""
+    weights = ", ".join(f"CASE WHEN {v} > 0 THEN 1.0 / {v} ELSE 1.0 END AS w{i}" if scaled else f"1.0::DOUBLE AS w{i}"
+                        for i, v in enumerate(f"var_pop({c})" for c in columns))
+    square = " + ".join(f"(w{i} * (t.{c} - c.{c})) * (t.{c} - c.{c})" for i, c in enumerate(columns))
+    known = " AND ".join(f"{c} IS NOT NULL" for c in columns)
+    names = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in columns)
+    return f"""
+, n_t AS (SELECT pat_id, instance, episode_id, {names} FROM s_treated WHERE {known}),
+n_c AS (SELECT pat_id, instance, episode_id, {names} FROM s_controls WHERE {known}),
+n_w AS (SELECT {weights} FROM (SELECT {names} FROM s_treated UNION ALL SELECT {names} FROM s_controls)),
+n_best AS (SELECT t.pat_id, t.instance, t.episode_id, MIN(ROW({square}, c.pat_id, c.instance, c.episode_id)) AS best
+  FROM n_t t, n_c c, n_w GROUP BY t.pat_id, t.instance, t.episode_id)
+SELECT b.episode_id AS match_id, c.* FROM n_best b JOIN n_c c
+  ON c.pat_id = b.best[2] AND c.instance = b.best[3] AND c.episode_id = b.best[4]"""
+
+
+_MATCH_COLUMNS = ["px_score", "gestational_days", "age_at_start_dt", "pregravid_bmi"]
+oracle("nn_match_many", nearest_sql(_MATCH_COLUMNS, True), ["s_treated", "s_controls"])
+oracle("nn_match_many_raw", nearest_sql(_MATCH_COLUMNS[1:], False), ["s_treated", "s_controls"])
