@@ -296,7 +296,7 @@ oracle("nn_match_scaled", "SELECT match_id, pat_id, instance, episode_id, score
 
 def nearest_sql(columns: list[str], scaled: bool) -> str:
     """Every treated row against every control: the nearest, ties by the lowest key."""
-    weights = ", ".join(f"CASE WHEN {v} > 0 THEN 1.0 / {v} ELSE 1.0 END AS w{i}" if scaled else f"1.0::DOUBLE AS w{i}"
+    weights = ", ".join(f"CASE WHEN {v} > 0 THEN 1.0 / {v} ELSE 1.0 END AS w{i}" if scaled else f"CAST(max(1.0) AS DOUBLE) AS w{i}"
                         for i, v in enumerate(f"var_pop({c})" for c in columns))
     square = " + ".join(f"(w{i} * (t.{c} - c.{c})) * (t.{c} - c.{c})" for i, c in enumerate(columns))
     known = " AND ".join(f"{c} IS NOT NULL" for c in columns)
