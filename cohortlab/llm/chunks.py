@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .caches import enter
 from .stage import ship, stage
 
 CHUNK_BYTES = 4 << 20
@@ -57,6 +58,7 @@ def chunk_table(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Stage table (chunk_id, ids, lens, blob): the documents' ids, the byte lengths of
     their texts, and the texts. A longer text is a chunk of its own."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("chunks")
         task, seq = TaskContext.get().partitionId(), 0
         ids, texts, size = [], [], 0
 

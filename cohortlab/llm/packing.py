@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .caches import enter
 from .chunks import texts_of
 from .stage import distributed_rank, ship, stage
 
@@ -126,6 +127,7 @@ def tokenize(docs: DataFrame, path: str, limit: int = LIMIT, keep_ids: bool = Tr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        enter("packing", _TOKENIZERS.clear)
         model = shared_tokenizer(path)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .chunks import pack, texts_of, unpack
 from .hashing import WORD_ALNUM, joined, stretch_hash, words
+from .caches import enter
 from .stage import ship, stage
 
 MAX_TRAIN = 10_000
@@ -179,6 +180,7 @@ def score_severity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("severity", "grade", "p_toxic", "toxic")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity")
         for batch in batches:
             texts, at, scores = texts_of(batch), 0, []
             while at < len(texts):

@@ -331,3 +331,13 @@ def test_word_tokenizer_is_exact():
     model = packing.WordTokenizer(packing.tokenizer_path())
     want = [np.array(e.ids, "<u4").tobytes() for e in model.model.encode_batch_fast(texts, add_special_tokens=False)]
     assert list(model.encode([t.encode() for t in texts])) == want
+
+
+def test_worker_holds_the_caches_of_one_operator():
+    from cohortlab.llm import caches
+    held = [1]
+    caches.enter("one", held.clear)
+    caches.enter("one", held.clear)
+    assert held
+    caches.enter("two")
+    assert not held
