@@ -124,6 +124,7 @@ def _feature_rows(rows: DataFrame, known: np.ndarray | None) -> list:
     """(doc_id, toxic, digest, features) of the rows' texts: all distinct features, or
     the numbers of those in ``known``. ``rows`` is a bounded sample."""
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity")
         for batch in batches:
             texts = texts_of(batch)
             doc, feature = text_features(texts)
