@@ -176,28 +176,28 @@ def shared_pool_matching(treated_long: DataFrame, controls: DataFrame, treatment
     """PS3 for many comparisons that share one control pool with one score per
     control (a fixed score). Output as ``propensity_score_matching(..., group=group)``.
 
-    A table of directions (one row per comparison) is part of the plan. Where
+    The directions are one row per comparison. Where
     controls outnumber the treated rows, the treated rows are the queries:
     each is matched once, whatever the number of its comparisons, and the
     pool is not copied. Controls are copied only for comparisons in the
     reverse direction, where each control is a query of its own."""
     t_rows = treated_long.select(*group, *key, score)
-    one = F.lit(1).alias("_one")
-    n0 = controls.agg(F.count(F.lit(1)).alias("_n0")).select(one, "_n0")
-    direction = t_rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n1")) \
-        .withColumn("_one", F.lit(1)).join(n0, "_one") \
-        .select(*group, "_one", (F.col("_n0") > F.col("_n1")).alias("_forward"))
-    direction = cut_lineage(direction)
+    n0 = F.lit(controls.count())
+    direction = cut_lineage(t_rows.groupBy(*group).agg((n0 > F.count(F.lit(1))).alias("_forward")))
     t_rows = t_rows.join(direction.select(*group, "_forward"), group, "inner")
     forward = t_rows.filter("_forward").drop("_forward")
     pairs = nearest_score_match(forward.select(*key, score).dropDuplicates(key),
                                 controls.select(*key, score), score, key)
     pairs = forward.join(cut_lineage(pairs).drop(score), key, "inner").withColumn(treatment, F.lit(1))
 
-    reverse = controls.select(*key, score, one).join(
-        direction.filter(~F.col("_forward")).select(*group, "_one"), "_one").drop("_one")
-    back = nearest_score_match(reverse, t_rows.filter(~F.col("_forward")).drop("_forward"), score, key, group)
-    j = pairs.unionByName(back.withColumn(treatment, F.lit(0)))
+    # one row per comparison: a bounded list, which the controls are exploded by without a join
+    reverse = direction.filter(~F.col("_forward")).collect()
+    j = pairs
+    if reverse:
+        names = F.array(*[F.struct(*[F.lit(r[g]).cast(t_rows.schema[g].dataType).alias(g) for g in group]) for r in reverse])
+        queries = controls.select(*key, score, F.explode(names).alias("_c")).select(*key, score, "_c.*")
+        back = nearest_score_match(queries, t_rows.filter(~F.col("_forward")).drop("_forward"), score, key, group)
+        j = pairs.unionByName(back.withColumn(treatment, F.lit(0)))
     match_id = F.col(key[-1]).alias("match_id")
     q_rows = j.select(*group, match_id, treatment, *key, score)
     p_rows = j.select(*group, match_id, (1 - F.col(treatment)).alias(treatment),
