@@ -1,14 +1,30 @@
-"""Caches of Python workers, which Spark keeps from task to task and from query to query.
+"""Memory of Python workers, which Spark keeps from task to task and from query to query.
 
 A worker holds the caches of one operator: a task that starts under another name first drops
-what the former one left (word ids, tree memos), so a session's memory does not add up.
+what the former one left (word ids, tree memos), so a session's memory does not add up. A
+task also starts by giving back what the former one freed: allocators keep such pages.
 """
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
 
+import pyarrow as pa
+from pyspark import TaskContext
+
 _HELD: dict[str, Callable[[], None]] = {}
+_LAST: list[int] = []  # the task that ran here last
+
+
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
 
 
 def enter(name: str, clear: Callable[[], None] | None = None) -> None:
@@ -17,3 +33,8 @@ def enter(name: str, clear: Callable[[], None] | None = None) -> None:
         _HELD.pop(other)()
     if clear is not None:
         _HELD[name] = clear
+    context = TaskContext.get()
+    task = [context.taskAttemptId()] if context else []
+    if task != _LAST:
+        _LAST[:] = task
+        _give_back()

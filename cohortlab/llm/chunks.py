@@ -112,6 +112,7 @@ def exchange(rows: DataFrame, emit: Callable[[dict], Iterator[tuple[int, bytes]]
     columns = rows.columns
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("chunks")
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in columns}
@@ -122,6 +123,7 @@ def exchange(rows: DataFrame, emit: Callable[[dict], Iterator[tuple[int, bytes]]
                         pa.array([m for _, m in out], pa.binary())], names=["bucket", "chunk_id", "data"])
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
+        enter("chunks")
         return pd.DataFrame({"chunk_id": group["chunk_id"], "bucket": group["bucket"],
                              "data": reduce([bytes(m) for m in group["data"]])})
 
@@ -138,6 +140,7 @@ def with_answers(rows: DataFrame, answers: DataFrame) -> DataFrame:
 def per_row(fn: Callable[[dict], Iterator[tuple]], columns: list[str], schema: pa.Schema):
     """mapInArrow function: each chunk row gives a batch of rows from ``fn``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("chunks")
         for batch in batches:
             for i in range(batch.num_rows):
                 out = list(fn({c: batch.column(c)[i].as_py() for c in columns}))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .caches import enter
 from .stage import ship, stage
 
 EDGES_A_PART = 500_000  # what one task's union-find holds; parts follow the edges' number
@@ -18,6 +19,7 @@ STARS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The edges of a part as stars: each node with the smallest node it is joined to."""
+    enter("chunks")
     parts = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
     if not parts:
         return
