@@ -4,9 +4,11 @@
    many documents each shingle stands. A document with a partner shares 3/4 of its
    shingles, so fewer repeated ones settle it as alone. Equal sets become one node.
 2. Shingles are ordered rarest first. Of two linked sets, each has one of its first
-   n - ceil(3n/4) + 1 shingles in common with the other's; nodes that share such a key are
-   chained to the key's first node, and the chains' components are clusters: links never
-   leave one.
+   n - ceil(3n/4) + 1 shingles in common with the other's. Where such a key stands in a set
+   bounds the overlap, hence the sizes of the sets that it may link with; nodes that share a
+   key and lie in one run of such sizes are chained to the run's first node, and the chains'
+   components are clusters: links never leave one. Sets that only share a template (their
+   own shingles are the rarer ones) are not chained unless the template alone may be enough.
 3. In a block of a cluster (``BLOCK`` nodes at most) an inverted index is searched by
    DivideSkip: for a set that needs T matches, the T - 1 longest lists are set aside, the
    short ones are merged on a heap, and each candidate is probed by binary search in the
@@ -31,9 +33,10 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .caches import enter
 from .chunks import bucket_count, chunk_table, chunk_texts, exchange, pack, pack_sorted, per_row, slices, unpack, unpack_sorted, with_answers
 from .components import components
 from .hashing import WORD_SPACED, joined, mix, sequence_hash, windows, words
@@ -116,22 +119,52 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def reach(n: int, left, percent: int):
+    """Largest size of a set that can link with one of ``n`` items where ``left`` of the latter's
+    items remain from the first common one on: the overlap is ``left`` at most, see ``required``."""
+    return (100 + percent) * left // percent - n
+
+
 def _keys(percent: int):
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+    """Rows (key, node, n, reach) of a node's prefix."""
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("reach", pa.int64())])
 
     def keys(batches):
+        enter("chunks")
         for b in batches:
-            out_k, out_n = [], []
+            out = [[], [], [], []]
             for node, n, items in zip(b.column("node").to_pylist(), b.column("n").to_pylist(), b.column("items").to_pylist()):
                 have = np.frombuffer(unpack(items), "<i8")
                 own = have[:max(0, prefix_length(n, percent) - (n - len(have)))]  # unique shingles are the rarest of all
-                out_k.append(own)
-                out_n.append(np.full(len(own), node, np.int64))
+                far = reach(n, len(have) - np.arange(len(own), dtype=np.int64), percent)
+                for column, values in zip(out, (own, np.full(len(own), node), np.full(len(own), n), far)):
+                    column.append(values)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-                                              for x in (out_k, out_n)], schema=schema)
+                                              for x in out], schema=schema)
     return keys
 
 
+def _chains(postings: DataFrame) -> DataFrame:
+    """(a, b): each node with the first node of its run under a key.
+
+    Let two linked sets have x as their first common item. Then each one's size is within the
+    other's reach at x, so the smaller one is within its own: it is open at x. The sizes that
+    open nodes stretch over, from their own to their reach, form runs; the larger of two linked
+    sets lies in the run of the smaller one and reaches back to that run's beginning. A key has
+    at most one row for each size of set, however many documents hold it."""
+    is_open = F.col("reach") >= F.col("n")
+    sizes = postings.groupBy("key", "n").agg(
+        F.min(F.when(is_open, F.col("node"))).alias("lead"), F.max(F.when(is_open, F.col("reach"))).alias("far"), F.count(F.lit(1)).alias("k"))
+    whole, before = Window.partitionBy("key"), Window.partitionBy("key").orderBy("n")
+    marked = sizes.withColumn("held", F.sum("k").over(whole)).where("held > 1 and lead is not null") \
+        .withColumn("past", F.max("far").over(before.rowsBetween(Window.unboundedPreceding, -1))) \
+        .withColumn("run", F.count(F.when(F.col("past").isNull() | (F.col("n") > F.col("past")), 1)).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = marked.groupBy(F.col("key").alias("_key"), "run").agg(
+        F.min("n").alias("least"), F.max("far").alias("most"), F.min_by("lead", "n").alias("lead"))
+    inside = (F.col("key") == F.col("_key")) & F.col("n").between(F.col("least"), F.col("most")) & (F.col("reach") >= F.col("least"))
+    return postings.join(runs, inside).where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+
+
 class Links:
     """Groups of nodes joined so far (union by smaller number)."""
 
@@ -182,6 +215,7 @@ def _search(percent: int):
     """Group function over (cluster, part, node, n, items, label, query): links found among
     the indexed rows of a part, or from its query rows (if any) to them."""
     def search(group: pd.DataFrame) -> pd.DataFrame:
+        enter("chunks")
         found = []
         for _, rows in group.groupby(["cluster", "part"], sort=False):
             asked = rows[rows["query"]]
@@ -225,9 +259,8 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def node_links(nodes: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(a, b) links that connect all linked nodes of ``nodes`` (node, n, items), a stage table."""
-    postings = stage(nodes.mapInArrow(_keys(percent), "key long, node long"), "postings")
-    leads = postings.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    chains = postings.join(leads, "key").where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    postings = stage(nodes.mapInArrow(_keys(percent), "key long, node long, n long, reach long"), "postings")
+    chains = _chains(postings)
     clusters = components(chains)
     sizes = clusters.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).withColumnRenamed("comp", "cluster")
     held = nodes.join(clusters, "node").withColumnRenamed("comp", "cluster").join(sizes, "cluster")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlab.llm import chat, components, decontaminate, jaccard, packing, quality, queries, secrets, shards, substrings, suffixes, toxicity
+from cohortlab.llm import chat, components, decontaminate, jaccard, packing, quality, queries, secrets, shards, stage, substrings, suffixes, toxicity
 from cohortlab.llm.trigrams import trigram_query
 
 
@@ -233,6 +233,43 @@ def test_jaccard_wide_clusters(spark):
         assert got(jaccard.jaccard_groups(df, block=block), "doc_id", "n_shingles", "component_id") == want
 
 
+@pytest.mark.parametrize("block", [8, 512])
+def test_jaccard_of_templates(spark, block):
+    """A template with words of a document's own, at its end, in its middle or mixed in: pairs
+    just above and just below the limit, sizes that differ, copies of some."""
+    rng = np.random.default_rng(4)
+    template, rows = [f"t{i}" for i in range(80)], []
+    for own in (6, 11, 12, 13, 14, 16, 20, 25):
+        for k in range(12):
+            mine = [f"o{own}x{k}x{i}" for i in range(own)]
+            at = (80, 40, int(rng.integers(0, 81)))[k % 3]
+            rows.append((len(rows), " ".join(template[:at] + mine + template[at:])))
+            if k % 5 == 0:
+                rows.append((len(rows), rows[-1][1]))
+    for k in range(30):  # parts of two templates
+        n = int(rng.integers(5, 75))
+        rows.append((len(rows), " ".join(template[:n] + [f"u{i}" for i in range(80 - n)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = Counter((i, *b) for (i, _), b in zip(rows, brute.jaccard(rows)))
+    assert len({c for _, _, c in want}) > 20
+    assert got(jaccard.jaccard_groups(df, block=block), "doc_id", "n_shingles", "component_id") == want
+
+
+def test_jaccard_chains_no_unlinked_templates(spark):
+    """80 words of a template and 16 of one's own (similarity 0.70): nothing is compared."""
+    def postings(n):
+        rows = [(d, " ".join([f"t{i}" for i in range(80)] + [f"o{d}x{i}" for i in range(16)])) for d in range(n)]
+        shingles = [sorted({" ".join(t.split()[i:i + 5]) for i in range(92)}) for _, t in rows]
+        df = Counter(s for x in shingles for s in x)
+        ids = {s: k for k, s in enumerate(sorted(df, key=lambda s: (df[s], s)))}
+        nodes = [(d, 92, jaccard.pack(np.array(sorted(ids[s] for s in x if df[s] > 1), "<u8").tobytes())) for d, x in enumerate(shingles)]
+        return spark.createDataFrame(nodes, "node long, n long, items binary")
+    stage.ship(spark)
+    keys = postings(200).mapInArrow(jaccard._keys(75), "key long, node long, n long, reach long")
+    assert keys.count() == 200 * 8
+    assert jaccard._chains(keys).count() == 0
+
+
 def test_components_over_many_parts(spark, monkeypatch):
     monkeypatch.setattr(components, "EDGES_A_PART", 40)
     edges = [(i, i + 1) for i in range(0, 150)] + [(1000, 1000 + i) for i in range(1, 80)] + [(3000 - i, 3000) for i in range(1, 60)]
