@@ -63,3 +63,22 @@ def add_geo_features(cohort: DataFrame, patients: DataFrame, geo: DataFrame, geo
     if geo_name not in GEO_TABLES:
         raise ValueError(f"unknown geography table {geo_name!r}; expected one of {GEO_TABLES}")
     return cohort.join(patient_geo(patients, geo, geo_name), join_cols, "left")
+
+
+def add_all_geo(cohort: DataFrame, patients: DataFrame, geos: dict[str, tuple[DataFrame, list[str]]],
+                join_cols: list[str] | None = None) -> DataFrame:
+    """G6 for several geography tables, ``geos``: name -> (table, columns wanted). Each patient
+    row is given the columns of all tables first, so patients move to the cohort once, whatever
+    the number of tables. Where ``join_cols`` name one patient row, the rows are those of
+    ``add_geo_features`` table by table; a patient with several rows gives one row for each,
+    not each combination of them."""
+    join_cols = join_cols or ["pat_id", "instance"]
+    p, wanted = patients.select(*join_cols, STATE, BG, "ZIP"), []
+    for i, (name, (geo, columns)) in enumerate(geos.items()):
+        if name not in GEO_TABLES:
+            raise ValueError(f"unknown geography table {name!r}; expected one of {GEO_TABLES}")
+        key, pk, gt = geo_key(name)
+        g = gt(geo).select(F.col(key).alias(f"_geo{i}"), *columns)
+        p = p.join(g, pk == F.col(f"_geo{i}"), "left").drop(f"_geo{i}")
+        wanted += columns
+    return cohort.join(p.select(*join_cols, *wanted), join_cols, "left")

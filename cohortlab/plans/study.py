@@ -163,14 +163,13 @@ class Study:
         (the proxy's comorbidities) and area-level SVI / rural-urban codes."""
         from ..functions.encoders import categorize_ruca, clean_sentinel
         from ..operators import cohort as C
-        from ..operators.geo import add_geo_features
+        from ..operators.geo import add_all_geo
         from ..vocab import RUCA_COLUMN, SVI_COLUMNS
         c = C.filter_delivery_year(self.flagged_cohort, proxy.PROXY_MIN_DELIVERY_YEAR)
-        pats = self.src("patient")
         base_cols = c.columns
-        c = add_geo_features(c, pats, self.src("svi2018_us"), "svi2018_us").select(*base_cols, *SVI_COLUMNS)
-        c = add_geo_features(c, pats, self.src("ruca2010revised"), "ruca2010revised") \
-            .select(*base_cols, *SVI_COLUMNS, RUCA_COLUMN)
+        c = add_all_geo(c, self.src("patient"), {
+            "svi2018_us": (self.src("svi2018_us"), SVI_COLUMNS),
+            "ruca2010revised": (self.src("ruca2010revised"), [RUCA_COLUMN])}).select(*base_cols, *SVI_COLUMNS, RUCA_COLUMN)
         c = c.withColumn("ruca_categorization", categorize_ruca(F.col(RUCA_COLUMN)))
         c = c.withColumns({s: clean_sentinel(F.col(s)) for s in SVI_COLUMNS})
         # Stage boundary (the study wrote this table too): every later stage
