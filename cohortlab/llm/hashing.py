@@ -3,14 +3,14 @@
 A sequence hashes to the sum of its items' random 64-bit values times powers of an odd
 base, divided by the power at its start, then mixed; so equal sequences hash alike
 wherever they stand, and a window needs two look-ups in a running sum. Work goes in
-blocks of about a megabyte, whatever the length of a text.
+blocks of about a quarter of a megabyte, whatever the length of a text.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -40,7 +40,7 @@ MIN_SHARE = 0.4  # at least this share of the rows that hold a feature is toxic;
 MIN_HOLDERS = 5  # a feature is held by this many toxic rows; a share of all of them would leave a rare language without words
 PREFIXES = range(3, 8)
 PREFIX_MARK = 0x7C15F39CC0605CED  # keeps a prefix apart from the equal word
-SLICE = 1 << 20  # bytes of text scored at once
+SLICE = 1 << 18  # bytes of text whose features are held at once: each byte makes about 16 bytes of them
 
 
 @dataclass(frozen=True)
@@ -84,6 +84,39 @@ def _known(doc: np.ndarray, feature: np.ndarray, features: np.ndarray) -> tuple[
     return pairs // len(features), pairs % len(features)
 
 
+def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """(first, past the last) of runs of texts of ``SLICE`` bytes at most, or of one longer text."""
+    at = 0
+    while at < len(texts):
+        stop, size = at, 0
+        while stop < len(texts) and (stop == at or size + len(texts[stop]) <= SLICE):
+            size, stop = size + len(texts[stop]), stop + 1
+        yield at, stop
+        at = stop
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A text in pieces of about ``SLICE`` bytes, cut between words only."""
+    data, at = np.frombuffer(text, np.uint8), 0
+    while at < len(data):
+        end = min(len(data), at + SLICE)
+        while end < len(data) and WORD_ALNUM[data[end - 1]] and WORD_ALNUM[data[end]]:
+            gap = np.flatnonzero(~WORD_ALNUM[data[end:end + SLICE]])
+            end = end + int(gap[0]) if len(gap) else min(len(data), end + SLICE)
+        yield text[at:end]
+        at = end
+
+
+def _slice_features(texts: list[bytes], known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(document, feature) of a slice's distinct features, or (document, number) of those in ``known``."""
+    def own(part):
+        return _distinct(*text_features(part)) if known is None else _known(*text_features(part), known)
+    if len(texts) > 1 or not texts or len(texts[0]) <= SLICE:
+        return own(texts)
+    seen = np.unique(np.concatenate([own([piece])[1] for piece in _pieces(texts[0])]))
+    return np.zeros(len(seen), np.int64), seen
+
+
 def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
@@ -126,14 +159,14 @@ def _feature_rows(rows: DataFrame, known: np.ndarray | None) -> list:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("toxicity")
         for batch in batches:
-            texts = texts_of(batch)
-            doc, feature = text_features(texts)
-            doc, feature = _distinct(doc, feature) if known is None else _known(doc, feature, known)
-            edge = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            texts, packed = texts_of(batch), []
+            for at, stop in _slices(texts):
+                doc, feature = _slice_features(texts[at:stop], known)
+                edge = np.searchsorted(doc, np.arange(stop - at + 1))
+                packed += [pack(feature[a:b].astype("<u8").tobytes()) for a, b in zip(edge[:-1], edge[1:])]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").cast(pa.int64()), batch.column("toxic").cast(pa.int32()),
-                pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()),
-                pa.array([pack(feature[a:b].astype("<u8").tobytes()) for a, b in zip(edge[:-1], edge[1:])], pa.binary())],
+                pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array(packed, pa.binary())],
                 names=["doc_id", "toxic", "digest", "features"])
 
     got = rows.select("doc_id", "toxic", "text").mapInArrow(features, "doc_id long, toxic int, digest binary, features binary").collect()
@@ -183,13 +216,8 @@ def score_severity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("toxicity")
         for batch in batches:
-            texts, at, scores = texts_of(batch), 0, []
-            while at < len(texts):
-                stop, size = at, 0
-                while stop < len(texts) and (stop == at or size + len(texts[stop]) <= SLICE):
-                    size, stop = size + len(texts[stop]), stop + 1
-                scores.append(_score(texts[at:stop], model))
-                at = stop
+            texts = texts_of(batch)
+            scores = [_score(texts[at:stop], model) for at, stop in _slices(texts)]
             score = np.concatenate(scores) if scores else np.zeros(0)
             above = model.above(score)
             p = -np.diff(np.concatenate((np.ones((len(score), 1)), above, np.zeros((len(score), 1))), axis=1), axis=1)
@@ -206,5 +234,5 @@ def score_severity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 
 
 def _score(texts: list[bytes], model: OrdinalModel) -> np.ndarray:
-    doc, number = _known(*text_features(texts), model.features)
+    doc, number = _slice_features(texts, model.features)
     return np.bincount(doc, model.weights[number], len(texts)) if len(doc) else np.zeros(len(texts))

@@ -129,6 +129,18 @@ def test_ordinal_regression():
     assert np.abs(w - true).max() < .25 and np.abs(cuts - [.5, 2]).max() < .25
 
 
+def test_toxicity_features_in_slices(monkeypatch):
+    """Long texts cut in pieces, and many texts cut in runs, have the features of the whole."""
+    monkeypatch.setattr(toxicity, "SLICE", 97)
+    texts = [b"", "Ünï cödé W\x00rds and-more ".encode() * 40, b"q" * 900, b"short one", b"short two", b" " * 500, b"x y" * 200]
+    want = toxicity._distinct(*toxicity.text_features(texts))
+    got = [toxicity._slice_features(texts[a:b], None) for a, b in toxicity._slices(texts)]
+    starts = [a for a, _ in toxicity._slices(texts)]
+    assert np.array_equal(want[0], np.concatenate([d + a for a, (d, _) in zip(starts, got)]))
+    assert np.array_equal(want[1], np.concatenate([f for _, f in got]))
+    assert b"".join(toxicity._pieces(texts[1])) == texts[1]
+
+
 def test_toxicity_held_out(spark, empty):
     rng = np.random.default_rng(2)
     words = [f"word{i}" for i in range(500)]
