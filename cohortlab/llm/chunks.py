@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .caches import enter
 from .stage import ship, stage
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20  # text a reducer stands for
 
 

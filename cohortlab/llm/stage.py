@@ -35,12 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_DEFAULT, BATCH_BYTES = "67108864b", "8388608b"
+BATCH_DEFAULT, BATCH_BYTES = "67108864b", "4194304b"
 
 
 def ship(spark: SparkSession) -> None:
     """Give this package to the Python workers of the session (once), and rows in batches of
-    8 MB where the session has Spark's 64 MB: a batch of texts is held several times over,
+    4 MB where the session has Spark's 64 MB: a batch of texts is held several times over,
     by the executor and by its workers."""
     if spark.conf.get(BATCH, BATCH_DEFAULT) == BATCH_DEFAULT:
         spark.conf.set(BATCH, BATCH_BYTES)
