@@ -1,37 +1,64 @@
-"""A full outer join whose hot keys adaptive execution can split.
+"""A full outer join in one shuffle of each side, hot keys spread.
 
-AQE splits a skewed shuffle partition of inner, semi, anti and one-sided
-outer joins, but not of a FULL OUTER join: there, one key holding a third of
-the rows would be joined in a single task. ``full_outer_join`` is therefore
-the union of the three parts it consists of:
+AQE splits a skewed shuffle partition of inner, semi, anti and one-sided outer joins, but not
+of a FULL OUTER join: there, one key holding a third of the rows would be joined in a single
+task. ``full_outer_join`` therefore decides the spread before its one join:
 
-1. matching pairs: an inner join (split on either side);
-2. left rows without a partner: an anti join against the distinct keys of
-   the right side, so a key that is hot on the right is one row there;
-3. right rows without a partner, likewise.
+1. Both sides are tagged and united in a stage table, so each source is scanned once.
+2. Each key's rows are counted per side; a hot key reaches its reducer as one row a task.
+   Keys with more than ``split_rows`` rows on a side are kept: at most rows / split_rows of
+   them. Such a key has as many parts as its larger side fills.
+3. A hot key's rows on the larger side are dealt to its parts by their place in the stage
+   table, those on the other side are repeated in each part, and the join is on (key, part).
+4. A key that stands on both sides has a partner for each of its rows. A part may have got
+   none of the larger side's rows, so a repeated row that stays alone there is dropped.
 
-The plan is the same at every size, no counts are taken and nothing is
-collected. It costs one more shuffle of each side than the plain join.
+Rows with a NULL key never match; each is a part of its own, so they are spread too. The plan
+is the same at every size, and nothing is collected.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 
-def _nulls_for(df: DataFrame, cols: list[str], like: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.lit(None).cast(like.schema[c].dataType) for c in cols})
+SPLIT_ROWS = 1 << 20
 
 
-def full_outer_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def full_outer_join(left: DataFrame, right: DataFrame, keys: list[str],
+                    split_rows: int = SPLIT_ROWS) -> DataFrame:
     """FULL OUTER JOIN USING ``keys`` (keys merged, NULL keys never match).
     Same rows as the plain join."""
     lcols = [c for c in left.columns if c not in keys]
     rcols = [c for c in right.columns if c not in keys]
-    cols = keys + lcols + rcols
-    both = left.join(right, keys, "inner")
-    l_only = left.join(right.select(*keys).distinct(), keys, "left_anti")
-    r_only = right.join(left.select(*keys).distinct(), keys, "left_anti")
-    return both.select(*cols).unionByName(_nulls_for(l_only, rcols, right).select(*cols)) \
-               .unionByName(_nulls_for(r_only, lcols, left).select(*cols))
+    side, part, parts, deal_left, both = "__side__", "__part__", "__parts__", "__deal_left__", "__both__"
+    tagged = cut_lineage(left.select(*keys, *lcols, F.lit(True).alias(side)).unionByName(
+        right.select(*keys, *rcols, F.lit(False).alias(side)), allowMissingColumns=True))
+
+    n_left, n_right = F.count(F.when(F.col(side), 1)), F.count(F.when(~F.col(side), 1))
+    counts = tagged.groupBy(*keys).agg(n_left.alias("__l__"), n_right.alias("__r__"))
+    hot = cut_lineage(counts.where(F.greatest("__l__", "__r__") > split_rows).select(
+        *keys, F.ceil(F.greatest("__l__", "__r__") / split_rows).cast("long").alias(parts),
+        (F.col("__l__") >= F.col("__r__")).alias(deal_left),
+        (F.least("__l__", "__r__") > 0).alias(both)))
+
+    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    place = F.monotonically_increasing_id()
+    numbered = tagged.withColumn(part, place).join(hot, keys, "left")
+    dealt = F.array(F.pmod(F.col(part), F.col(parts)))
+    where = F.when(no_key, F.array(F.col(part))) \
+             .when(F.col(parts).isNull(), F.array(F.lit(0).cast("long"))) \
+             .when(F.col(side) == F.col(deal_left), dealt) \
+             .otherwise(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+    spread = numbered.withColumn(part, F.explode(where))
+
+    repeated = F.col(parts).isNotNull() & F.col(both) & (F.col(side) != F.col(deal_left))
+    l = spread.where(side).select(*keys, part, *lcols, F.lit(True).alias("__in_l__"), repeated.alias("__rep_l__"))
+    r = spread.where(~F.col(side)).select(*keys, part, *rcols, F.lit(True).alias("__in_r__"), repeated.alias("__rep_r__"))
+    lonely = (F.col("__in_r__").isNull() & F.col("__rep_l__")) | (F.col("__in_l__").isNull() & F.col("__rep_r__"))
+    return l.join(r, [*keys, part], "full_outer").where(~F.coalesce(lonely, F.lit(False))) \
+            .select(*keys, *lcols, *rcols)

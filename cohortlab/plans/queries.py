@@ -517,25 +517,30 @@ def q_cohen_d(spark, folder):
 
 
 def _balance(s: Study, score: str, comparisons: list[str] | None):
-    """E2 per comparison. Treated rows are encoded per comparison; the control
-    pool is the same in every comparison (same rows, same medians), so it is
-    encoded and summarised once and its statistics repeated per comparison."""
+    """E2 per comparison. Treated rows are encoded per comparison; the control pool is the same
+    in every comparison (same rows, same medians) and encoded once. Matched rows are counted
+    per key first, so a feature row is joined once, however often it was matched: treated
+    rows give both effect sizes in one pass, controls one pass each."""
     comps = comparisons or ["IMID", *IMIDS]
+    group = ["comparison"]
     long = s.comparisons_long().filter(F.col("comparison").isin(comps))
     _, controls = s.arms
     ft, names = s.features(long.filter(F.col("IMID_status") == 1))
     fc, _ = s.features(controls.withColumn("comparison", F.lit("*")).withColumn("IMID_status", F.lit(0)))
-    ft, fc = cut_lineage(ft), cut_lineage(fc)  # each read by both effect-size passes
+    fc = cut_lineage(fc)  # read by both passes
+    times = cut_lineage(s.matched(score, long).groupBy("comparison", "IMID_status", *KEY)
+                        .agg(F.count(F.lit(1)).alias("times")))
+    treated = times.filter(F.col("IMID_status") == 1).drop("IMID_status")
+    matched = times.filter(F.col("IMID_status") == 0).drop("IMID_status")
+    cells_t = cut_lineage(BAL.arm_cells(ft.join(treated, ["comparison", *KEY], "left").fillna(0, ["times"]),
+                                        "IMID_status", names, "times", group))
+    cells_c = BAL.arm_cells(fc.drop("comparison").join(matched, KEY, "inner"), "IMID_status", names, "times", group)
     every = F.explode(F.array(*[F.lit(c) for c in comps]))
-    before = BAL.arm_stats(ft, "IMID_status", names, ["comparison"]).unionByName(
-        BAL.arm_stats(fc, "IMID_status", names, ["comparison"]).withColumn("comparison", every))
-    m = s.matched(score, long).select("comparison", "IMID_status", *KEY)
-    m_t = m.filter(F.col("IMID_status") == 1).join(ft.drop("IMID_status"), ["comparison", *KEY], "inner")
-    m_c = m.filter(F.col("IMID_status") == 0).join(fc.drop("comparison", "IMID_status"), KEY, "inner")
-    after = BAL.cohen_d(m_t.unionByName(m_c), "IMID_status", names, ["comparison"])
-    return BAL.effect_from_stats(before, "IMID_status", ["comparison"]) \
-              .withColumn("matching", F.lit("before")) \
-              .unionByName(after.withColumn("matching", F.lit("after")))
+    before = BAL.weighted_stats(cells_t, "IMID_status", F.lit(1), group).unionByName(
+        BAL.arm_stats(fc, "IMID_status", names, group).withColumn("comparison", every))
+    after = BAL.weighted_stats(cells_t.unionByName(cells_c), "IMID_status", F.col("times"), group)
+    return BAL.effect_from_stats(before, "IMID_status", group).withColumn("matching", F.lit("before")).unionByName(
+        BAL.effect_from_stats(after, "IMID_status", group).withColumn("matching", F.lit("after")))
 
 
 @query("effect_size_before_after")

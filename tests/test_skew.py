@@ -15,22 +15,48 @@ from cohortlab.operators.matching import add_buckets, nearest_score_match
 from cohortlab.session import split_hot_keys
 
 
-def test_split_full_outer_equals_full_outer(spark):
+@pytest.mark.parametrize("split_rows", [1 << 20, 100, 7, 1])
+def test_split_full_outer_equals_full_outer(spark, split_rows):
     rnd = random.Random(3)
     left = [(1 if i % 3 == 0 else rnd.randint(2, 40), rnd.randint(1, 5), f"l{i}") for i in range(600)]
     right = [(1 if i % 3 == 0 else rnd.randint(20, 60), rnd.randint(1, 5), f"r{i}") for i in range(600)]
     left.append((None, 1, "lnull"))
     right.append((None, 1, "rnull"))
     right += [(1, 1, "same")] * 40  # a hot key of identical rows
+    left += [(70, 1, "lonely")] * 50  # hot on one side, missing on the other
+    right += [(71, 1, "lonely")] * 50
+    left += [(72, 1, "few")] * 2  # hot on the right only
+    right += [(72, 1, "many")] * 60
+    right += [(None, 1, "rnull")] * 30
     l = spark.createDataFrame(left, "k long, d int, a string")
     r = spark.createDataFrame(right, "k long, d int, b string")
-    got = sorted(map(tuple, full_outer_join(l, r, ["k", "d"])
+    got = sorted(map(tuple, full_outer_join(l, r, ["k", "d"], split_rows)
                      .select("k", "d", "a", "b").collect()), key=repr)
     want = sorted(map(tuple, l.join(r, ["k", "d"], "full_outer").select("k", "d", "a", "b").collect()),
                   key=repr)
     assert got == want
 
 
+def test_hot_key_of_a_full_outer_join_is_spread(spark, low_skew_limits):
+    """One key holds a third of the left rows: after the join no task holds more than a few
+    parts of it, and each source is scanned by one job only."""
+    n = 30_000
+    left = spark.range(0, n, numPartitions=4).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"), F.col("id").alias("a"))
+    right = spark.range(0, n, numPartitions=4).select((F.col("id") - 1).alias("k"), F.col("id").alias("b"))
+    got = full_outer_join(left, right, ["k"], split_rows=500)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range" not in plan and plan.count("FullOuter") == 1  # it reads the stage table only
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = got.withColumn("t", F.spark_partition_id()).where("k = -1").groupBy("t").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["count"] for r in tasks) == n // 3 and max(r["count"] for r in tasks) < n // 6
+    want = left.join(right, "k", "full_outer")
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
 def test_interval_flags_with_hot_patient(spark):
     rnd = random.Random(5)
     base = dt.date(2020, 1, 1)
