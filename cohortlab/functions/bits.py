@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,3 +32,16 @@ def flag(word_names: list[str], group: int, width: int = 1, bit: int = 0) -> Col
 
 def word_names(n: int, width: int = 1) -> list[str]:
     return [f"_w{k}" for k in range(-(-n // (WORD // width)))]
+
+
+def pack(flags: list[str]) -> list[Column]:
+    """The words of columns that are 0 or 1 (none NULL), named by ``word_names``."""
+    names = word_names(len(flags))
+    return [reduce(Column.bitwiseOR, [F.call_function("shiftleft", F.col(f).cast("long"), F.lit(i)) for i, f in enumerate(
+        flags[k * WORD:(k + 1) * WORD])]).alias(w) for k, w in enumerate(names)]
+
+
+def unpack(flags: list[str]) -> list[Column]:
+    """The columns that ``pack`` packed."""
+    names = word_names(len(flags))
+    return [flag(names, i).alias(f) for i, f in enumerate(flags)]

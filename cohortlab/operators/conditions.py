@@ -93,9 +93,11 @@ def active_interval_join(cohort_keys: DataFrame, intervals: DataFrame,
 
 def risk_flag_words(hits: DataFrame, factors: list[str],
                     index_col: str = "decided_index_date") -> DataFrame:
-    """The factors of each (patient, index date) as bits of a few words: a grouped ``bit_or``
-    with partial aggregation, as wide as the words and not as the factors."""
-    place = F.element_at(bits.places(factors), F.col("risk_factor"))
+    """The factors (names, or their places as smallint) of each (patient, index date) as bits of
+    a few words: a grouped ``bit_or`` with partial aggregation, as wide as the words and not as
+    the factors."""
+    place = F.col("risk_factor") if dict(hits.dtypes)["risk_factor"] == "smallint" else \
+        F.element_at(bits.places(factors), F.col("risk_factor"))
     masks = bits.words(place, F.lit(1), len(factors))
     return hits.groupBy("pat_id", "instance", index_col).agg(
         *[F.bit_or(m).alias(w) for m, w in zip(masks, bits.word_names(len(factors)))])
@@ -118,6 +120,9 @@ def add_risk_factors_active_at_index(cohort: DataFrame, factors: list[str], diag
     """The cohort plus one 0/1 column per factor. With ``dedup_rows`` the
     cohort is whole-row de-duplicated, as the study's per-factor loop did. The flags reach
     the cohort as words and become columns after the join."""
+    # factors travel by their place in the list; a code of no listed factor sets no flag
+    codes = codes.withColumn("risk_factor", F.element_at(bits.places(factors), F.col("risk_factor")).cast("smallint")) \
+        .where(F.col("risk_factor").isNotNull())
     iv = coded_intervals(diag_snomed, codes, dxmap, dx, only_instance_1k)
     hits = active_interval_join(cohort, iv, index_col)
     names = bits.word_names(len(factors))

@@ -30,19 +30,21 @@ def diagnosis_full_outer(problemlist_c: DataFrame, encdx: DataFrame) -> DataFram
     """Problem list FULL OUTER encounter diagnoses on (pat_id, dx_id,
     instance); keys are merged (left value, else right), as a USING join does.
     Rows with a NULL key never match and come through from their own side.
-    Distinct rows of both sides join to distinct rows (the keys of a pair say
-    where it came from; a lone row differs from its fellows), but a pair may
-    equal a lone row's NULLs, so the result is made distinct as in the study."""
+    The result is distinct, as in the study: both sides are, and the join needs no shuffle of
+    its own for it."""
     enc = encdx.select("pat_id", "instance", "dx_id", "PAT_ENC_CSN_ID", "DIAGNOSISNAME").distinct()
-    j = full_outer_join(problemlist_c, enc, KEY)
-    return j.select(*KEY, "PAT_ENC_CSN_ID", "NOTED_DATE", "RESOLVED_DATE", "DIAGNOSISNAME").distinct()
+    j = full_outer_join(problemlist_c, enc, KEY, distinct=True)
+    return j.select(*KEY, "PAT_ENC_CSN_ID", "NOTED_DATE", "RESOLVED_DATE", "DIAGNOSISNAME")
 
 
-def diagnosis_contact_date(diag: DataFrame, encounter: DataFrame) -> DataFrame:
-    """LEFT join the encounter on (pat_id, encounter id, instance)."""
+def diagnosis_contact_date(diag: DataFrame, encounter: DataFrame, dedup: bool = True) -> DataFrame:
+    """LEFT join the encounter on (pat_id, encounter id, instance). ``dedup=False`` leaves
+    the last distinct to a caller that groups the rows anyway: only diagnoses repeated in
+    encounters of one date are more rows then."""
     enc = encounter.select("pat_id", "instance", "PAT_ENC_CSN_ID", "CONTACT_DATE").distinct()
     j = diag.join(enc, on=["pat_id", "PAT_ENC_CSN_ID", "instance"], how="left")
-    return j.select(*KEY, "CONTACT_DATE", "NOTED_DATE", "RESOLVED_DATE", "DIAGNOSISNAME").distinct()
+    out = j.select(*KEY, "CONTACT_DATE", "NOTED_DATE", "RESOLVED_DATE", "DIAGNOSISNAME")
+    return out.distinct() if dedup else out
 
 
 def diagnosis_concept_map(diag: DataFrame, mapping: DataFrame, dedup: bool = True) -> DataFrame:
@@ -103,7 +105,7 @@ def diagnosis_history(problemlist: DataFrame, encdx: DataFrame, encounter: DataF
                       mapping: DataFrame) -> DataFrame:
     """D1-D7 as one plan (the study's ``qw_diag_snomed`` view)."""
     d = diagnosis_full_outer(problemlist_clean(problemlist), encdx)
-    d = diagnosis_contact_date(d, encounter)
+    d = diagnosis_contact_date(d, encounter, dedup=False)
     d = diagnosis_concept_map(d, mapping, dedup=False)
     d = diagnosis_first_contact(diagnosis_full_name(d))
     return diag_snomed(d)

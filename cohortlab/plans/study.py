@@ -14,6 +14,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import bits
 from ..operators import concepts, conditions, diagnoses
 from ..operators.cohort import filter_delivery_year
 from ..operators.exposure import any_flag, cohort_with_exposure, exposure_pivot
@@ -166,12 +167,16 @@ class Study:
         from ..operators.geo import add_all_geo
         from ..vocab import RUCA_COLUMN, SVI_COLUMNS
         c = C.filter_delivery_year(self.flagged_cohort, proxy.PROXY_MIN_DELIVERY_YEAR)
-        base_cols = c.columns
+        # the flags are 0 or 1 and reach the patients' join as the bits of a few words
+        base_cols = [x for x in c.columns if x not in self.FACTORS]
+        words = bits.word_names(len(self.FACTORS))
+        c = c.select(*base_cols, *bits.pack(self.FACTORS))
         c = add_all_geo(c, self.src("patient"), {
             "svi2018_us": (self.src("svi2018_us"), SVI_COLUMNS),
-            "ruca2010revised": (self.src("ruca2010revised"), [RUCA_COLUMN])}).select(*base_cols, *SVI_COLUMNS, RUCA_COLUMN)
+            "ruca2010revised": (self.src("ruca2010revised"), [RUCA_COLUMN])}).select(*base_cols, *words, *SVI_COLUMNS, RUCA_COLUMN)
         c = c.withColumn("ruca_categorization", categorize_ruca(F.col(RUCA_COLUMN)))
-        c = c.withColumns({s: clean_sentinel(F.col(s)) for s in SVI_COLUMNS})
+        c = c.withColumns({s: clean_sentinel(F.col(s)) for s in SVI_COLUMNS}).select(
+            *base_cols, *bits.unpack(self.FACTORS), *SVI_COLUMNS, RUCA_COLUMN, "ruca_categorization")
         # Stage boundary (the study wrote this table too): every later stage
         # reads it several times, so it is materialised once in the shared
         # checkpoint folder instead of being recomputed from the sources.
