@@ -18,7 +18,7 @@ from ..functions import bits
 from ..operators import concepts, conditions, diagnoses
 from ..operators.cohort import filter_delivery_year
 from ..operators.exposure import any_flag, cohort_with_exposure, exposure_pivot
-from ..session import cut_lineage, split_hot_keys
+from ..session import cut_lineage, fit_tasks, split_hot_keys
 from ..sources import proxy
 from ..sources.tables import Tables
 from ..vocab import IMIDS, MEDICATIONS, RISK_FACTORS
@@ -48,6 +48,7 @@ class Study:
         if key not in cls._shared:
             split_hot_keys(spark)
             cls._shared[key] = cls(spark, folder)
+        fit_tasks(spark, folder)
         return cls._shared[key]
 
     @classmethod
