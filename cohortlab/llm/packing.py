@@ -14,8 +14,11 @@ their pieces; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +48,21 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[bytes, bytes] = {}
         self.mark, = self.model.encode(SEPARATOR.decode(), add_special_tokens=False).ids
+        self.letters = None
+        suffix = getattr(self.model.model, "end_of_word_suffix", None)
+        if suffix:  # words of small letters alone need no normalizing, and are parted where the suffix stands
+            self.letters = Tokenizer.from_file(path)
+            self.letters.encode_special_tokens = True
+            self.letters.normalizer = None
+            self.letters.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+            names = self.model.get_vocab()
+            self.ends = np.zeros(max(names.values()) + 1, bool)
+            self.ends[[i for t, i in names.items() if t.endswith(suffix)]] = True
 
     def _encode(self, new: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Words joined by a mark of their own, whose id parts their ids again. A word that
@@ -58,53 +72,77 @@ class WordTokenizer:
             yield w, np.array(self.model.encode(w.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
         new = [w for w in new if SEPARATOR not in w] if alone else new
         glue = b" " + SEPARATOR + b" "
+        yield from self._parted(new, self.model, lambda words: glue.join(words) + glue, lambda ids: ids == self.mark, 1)
+
+    def _parted(self, new: list[bytes], model, join, ends, marks: int) -> Iterator[tuple[bytes, bytes]]:
+        """Each word's ids, encoded JOINED words a text. ``ends`` tells the ids that words end
+        at, the last ``marks`` of which are not theirs."""
         parts = [new[at:at + JOINED] for at in range(0, len(new), JOINED)]
         for at in range(0, len(parts), 64):
             some = parts[at:at + 64]
-            done = self.model.encode_batch_fast([(glue.join(p) + glue).decode("utf-8") for p in some], add_special_tokens=False)
+            done = model.encode_batch_fast([join(p).decode("utf-8") for p in some], add_special_tokens=False)
             for words, e in zip(some, done):
                 ids = np.array(e.ids, "<u4")
-                data, start = ids.tobytes(), 0
-                for w, end in zip(words, (4 * np.flatnonzero(ids == self.mark)).tolist()):
+                data, stop = ids.tobytes(), 4 * (np.flatnonzero(ends(ids)) + 1)
+                if len(stop) != len(words):
+                    raise ValueError(f"{len(words)} words came back as {len(stop)}")
+                for w, start, end in zip(words, [0, *stop.tolist()], (stop - 4 * marks).tolist()):
                     yield w, data[start:end]
-                    start = end + 4
 
     def _learn(self, words: set[bytes]) -> None:
         """A word that ends in a run of marks after a letter or digit is its stem's ids and the run's."""
-        split = []
+        known, new, ended, stems, runs = self.known, set(), [], [], []
         for w in words:
             if w[-1] in MARKS:
                 stem = w.rstrip(MARKS)
-                if stem and (stem[-1:].isalnum() or _ends_in_letter(stem)):
-                    split.append((w, stem, w[len(stem):]))
-        whole = words.difference(w for w, _, _ in split)
-        whole.update(stem for _, stem, _ in split)
-        whole.update(run for _, _, run in split)
-        self.known.update(self._encode(list(whole.difference(self.known))))
-        self.known.update({w: self.known[stem] + self.known[run] for w, stem, run in split})
+                if stem and (stem[-1] in ALNUM or _ends_in_letter(stem)):
+                    run = w[len(stem):]
+                    ended.append(w)
+                    stems.append(stem)
+                    runs.append(run)
+                    if stem not in known:
+                        new.add(stem)
+                    if run not in known:
+                        new.add(run)
+                    continue
+            new.add(w)
+        if self.letters is not None:
+            plain = list(filter(SMALL_LETTERS, new))
+            known.update(self._parted(plain, self.letters, b" ".join, self.ends.__getitem__, 0))
+            new = filterfalse(SMALL_LETTERS, new)
+        known.update(self._encode(list(new)))
+        get = known.__getitem__
+        known.update(zip(ended, map(add, map(get, stems), map(get, runs))))
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         split = [_folded(t).split() for t in texts]
-        fresh = set().union(*split).difference(self.known)
+        found = [list(map(self.known.get, words)) for words in split]
+        lacking = [[k for k, i in enumerate(ids) if i is None] for ids in found]
+        fresh = {words[k] for words, at in zip(split, lacking) for k in at}
         if len(self.known) + 2 * len(fresh) > CACHED_WORDS:
-            self.known.clear()
-            fresh = set().union(*split)
+            self.known.clear()  # ``found`` holds what these texts need of it
         self._learn(fresh)
         get = self.known.__getitem__
-        for words in split:
-            yield b"".join(map(get, words))
+        for words, ids, at in zip(split, found, lacking):
+            for k in at:
+                ids[k] = get(words[k])
+            yield b"".join(ids)
         for w in [w for w in fresh if len(w) > LONGEST_CACHED]:
             del self.known[w]
 
 
 MARKS = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+ALNUM = bytes(c for c in range(128) if chr(c).isalnum())
 SEPARATOR = b"\x01"
 JOINED = 256  # words a text
+#: Letters that NFC and lower-casing leave as they are: a to z, and of Latin-1 \u00df to \u00f6, \u00f8 to \u00ff.
+SMALL_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 
 
 def _ends_in_letter(word: bytes) -> bool:
-    """Whether the last character is a Latin letter beyond ASCII (two bytes, up to U+024F)."""
-    return word[-1] >= 0x80 and b"\xc3" <= word[-2:-1] <= b"\xc9" and word[-2:].decode("utf-8").isalpha()
+    """Whether the last character is a Latin letter beyond ASCII (two bytes, up to U+024F) and
+    stays one in small: that of U+0130 ends in a combining mark, which takes the marks after it."""
+    return word[-1] >= 0x80 and b"\xc3" <= word[-2:-1] <= b"\xc9" and word[-2:].decode("utf-8").lower().isalpha()
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}  # one a worker process, kept from task to task

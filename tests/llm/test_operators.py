@@ -382,6 +382,20 @@ def test_word_tokenizer_is_exact():
     assert list(model.encode([t.encode() for t in texts])) == want
 
 
+@pytest.mark.parametrize("cached", [packing.CACHED_WORDS, 40])
+def test_words_of_letters_are_exact(monkeypatch, cached):
+    """Words of small letters, encoded without the normalizer, and capitals whose small form ends
+    in a mark have the ids that the whole text gives, also when the cache is emptied between."""
+    monkeypatch.setattr(packing, "CACHED_WORDS", cached)
+    letters = "aeiou\u00df\u00e0\u00e9\u00f6\u00f8\u00ff\u00f7\u0131\u0130\u00d6"
+    texts = [" ".join((letters[(i * j) % 15] + letters[(i + 3 * j) % 15] * (j % 3)) + "the"[:j % 4] + ("", ",", "...", "\u0307")[j % 4]
+                      for j in range(30)) for i in range(40)] + ["\u0130! x\u0130?! x\u0130", "a" * 100, ""]
+    model = packing.WordTokenizer(packing.tokenizer_path())
+    for at in range(0, len(texts), 10):
+        want = [np.array(model.model.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts[at:at + 10]]
+        assert list(model.encode([t.encode() for t in texts[at:at + 10]])) == want
+
+
 def test_worker_holds_the_caches_of_one_operator():
     from cohortlab.llm import caches
     held = [1]
