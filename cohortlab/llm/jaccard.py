@@ -46,6 +46,7 @@ BITS = 48
 SHINGLE = 5
 PERCENT = 75   # similarity, in hundredths
 BLOCK = 512    # nodes in one index
+COUNTED = 1 << 18  # hashes that a reducer sorts at a time
 
 
 def shingle_sets(row) -> list[np.ndarray]:
@@ -85,9 +86,21 @@ def _sum_counts(messages: list[bytes]) -> list[bytes]:
     for m in messages:
         n = int.from_bytes(m[:8], "little")
         parts.append((unpack_sorted(m[8:8 + n]), np.frombuffer(unpack(m[8 + n:]), "<u4")))
-    u, where = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
-    total = np.minimum(np.bincount(where, np.concatenate([c for _, c in parts])), 65535).astype("<u2")
-    return [pack(total[np.searchsorted(u, h)].tobytes()) for h, _ in parts]
+    # a range of values at a time, so that sorting holds a part of the bucket
+    low, high = min(int(h[0]) for h, _ in parts), max(int(h[-1]) for h, _ in parts) + 1
+    n = -(-sum(len(h) for h, _ in parts) // COUNTED)
+    edges = np.array([low + (high - low) * k // n for k in range(n + 1)], np.uint64)
+    cuts = [np.searchsorted(h, edges) for h, _ in parts]
+    answers = [np.empty(len(h), "<u2") for h, _ in parts]
+    for k in range(n):
+        own = [slice(c[k], c[k + 1]) for c in cuts]
+        _, where = np.unique(np.concatenate([h[s] for (h, _), s in zip(parts, own)]), return_inverse=True)
+        total = np.minimum(np.bincount(where, np.concatenate([c[s] for (_, c), s in zip(parts, own)])), 65535).astype("<u2")[where]
+        at = 0
+        for answer, s in zip(answers, own):
+            answer[s] = total[at:at + s.stop - s.start]
+            at += s.stop - s.start
+    return [pack(x.tobytes()) for x in answers]
 
 
 SET_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("items", pa.binary())])

@@ -396,6 +396,31 @@ def test_words_of_letters_are_exact(monkeypatch, cached):
         assert list(model.encode([t.encode() for t in texts[at:at + 10]])) == want
 
 
+def test_counting_holds_a_part_of_a_bucket(monkeypatch):
+    """A reducer's sorting does not hold all of its bucket's hashes several times over."""
+    import tracemalloc
+    from collections import defaultdict
+    from cohortlab.llm import chunks, jaccard
+    monkeypatch.setattr(jaccard, "COUNTED", 1 << 14, raising=False)
+    rng = np.random.default_rng(3)
+    hashes = [np.unique(rng.integers(0, 1 << 20, 20_000, dtype=np.uint64)) + np.uint64(1 << 40) for _ in range(40)]
+    counts = [rng.integers(1, 3000, len(h)).astype("<u4") for h in hashes]
+    heads = [chunks.pack_sorted(h) for h in hashes]
+    messages = [len(x).to_bytes(8, "little") + x + chunks.pack(c.tobytes()) for x, c in zip(heads, counts)]
+    want = defaultdict(int)
+    for h, c in zip(hashes, counts):
+        for x, k in zip(h.tolist(), c.tolist()):
+            want[x] += k
+    tracemalloc.start()
+    out = jaccard._sum_counts(messages)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [np.frombuffer(chunks.unpack(x), "<u2").tolist() for x in out] == [[min(want[x], 65535) for x in h.tolist()] for h in hashes]
+    assert peak < 3 * sum(h.nbytes for h in hashes)
+    one = jaccard._sum_counts(messages[:1])
+    assert np.frombuffer(chunks.unpack(one[0]), "<u2").tolist() == counts[0].tolist()
+
+
 def test_worker_holds_the_caches_of_one_operator():
     from cohortlab.llm import caches
     held = [1]
