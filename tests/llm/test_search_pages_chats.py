@@ -154,6 +154,49 @@ def test_copies_are_no_template(spark):
     assert out.count() == 30 and {r["text"].count("tells part") for r in out.collect()} == {2}
 
 
+def many(n, say):
+    """Pages of one host, and their articles; ``say`` gives what stands above and below the article of page k."""
+    rows, want = [], {}
+    for k in range(n):
+        above, below = say(k)
+        words = [f"Name{k}x{i}" for i in range(4 + k % 5)]
+        body = "".join(f"<div>{w} tells part {k} of it, at some length and with care.</div>" for w in words)
+        rows.append((k, f"https://news.example.org/{k}", f"<body><div class=post-{k}><div>Part of page {k}</div></div>" + "".join(f"<div>{x}</div>" for x in above)
+                     + f"<div class=text><h1>Title {k}</h1>{body}" + "".join(f"<div>{x}</div>" for x in below) + "</div></body>"))
+        want[k] = "\n".join([f"Title {k}", *[f"{w} tells part {k} of it, at some length and with care." for w in words]])
+    return rows, want
+
+
+def texts(spark, rows, **more):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    return {r["page_id"]: r["text"] for r in wrappers.extract_text(df, **more).collect()}
+
+
+def test_all_pages_make_the_wrapper(spark):
+    """Notes that stand on three pages of ten are template, whichever pages they are."""
+    rows, want = many(200, lambda k: ((), [f"Note {i}, which stands under some of the stories of this paper." for i in range(20) if (k * 7 + i) % 10 < 3]))
+    assert texts(spark, rows) == want
+    assert texts(spark, rows, fan=2) == want  # merged in rounds
+
+
+def test_near_copies_are_no_template(spark):
+    """What many near copies of a page say in common stays; what other pages say too goes."""
+    lines = [f"Line {i} of a story that was printed again and again, with few changes." for i in range(12)]
+    rows, want = many(30, lambda k: (["Daily Example, the paper of three towns"], ["Write to us if you know more about this story."]))
+    for k in range(100, 130):
+        told = [f"Changed line {k}" if i == k % 12 else x for i, x in enumerate(lines)]
+        rows.append((k, f"https://news.example.org/{k}", "<body><div>Daily Example, the paper of three towns</div><div class=text>"
+                     + "".join(f"<div>{x}</div>" for x in told) + "<div>Write to us if you know more about this story.</div></div></body>"))
+        want[k] = "\n".join(told)
+    assert texts(spark, rows) == want
+
+
+def test_lines_that_articles_share_stay(spark):
+    rows = [(k, f"http://h.example/{k}", f"<body><div>Every day</div><article><h1>Weather</h1><p>Today it is {k} degrees, {'and dry ' * k}</p></article></body>")
+            for k in range(12)]
+    assert texts(spark, rows) == {k: f"Weather\nToday it is {k} degrees, {'and dry ' * k}".strip() for k in range(12)}
+
+
 PARTS = {
     "": "",
     "no tags, a &lt; b &eacute;&nbsp;x": "no tags, a < b é x",
