@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import bits
 
 FACTOR_KEY = ["pat_id", "instance", "risk_factor"]
+OPEN = 1 << 40  # the number of a day beyond all dates
 
 
 def diagnosis_mapped_semi(diag: DataFrame, dxmap: DataFrame, dx: DataFrame) -> DataFrame:
@@ -56,21 +57,27 @@ def interval_union(intervals: DataFrame, key: list[str] = FACTOR_KEY) -> DataFra
     Intervals that start on the same day are merged by a grouped aggregate first, so a key has
     at most a row for each day of the calendar when its rows are put in order: that many, and
     not its number of diagnoses, meet in one task. In order of their start, an interval opens
-    a new island if all before it ended before it starts."""
+    a new island if all before it ended before it starts.
+
+    Days are numbers here, an open end one beyond all dates: an aggregate of numbers is
+    hashed, one of structs is sorted."""
     noted, resolved = F.col("noted_date"), F.col("resolved_date")
     real = noted.isNull() | resolved.isNull() | (noted <= resolved)
-    reach = F.struct(resolved.isNull().alias("open"), resolved.alias("day"))
+    start, reach = (F.coalesce(F.unix_date(c).cast("long"), F.lit(end)) for c, end in ((noted, -OPEN), (resolved, OPEN)))
     days = intervals.filter(real).groupBy(*key, "noted_date").agg(
         F.max(reach).alias("_reach"), F.max(noted.isNull() & resolved.isNull()).alias("_always"))
     order = Window.partitionBy(*key).orderBy(noted.asc_nulls_first())
     before = F.max("_reach").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = before.isNull() | (~before["open"] & (before["day"] < noted))
+    opens = before.isNull() | (before < start)
     islands = days.withColumn("_opens", opens.cast("int")) \
         .withColumn("_island", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    first = F.min(F.struct(noted.isNotNull(), noted.alias("day")))["day"]
-    last = F.max("_reach")["day"]
-    return islands.groupBy(*key, "_island").agg(first.alias("noted_date"), last.alias("resolved_date"),
-                                                F.max("_always").alias("always")).drop("_island")
+    joined = islands.groupBy(*key, "_island").agg(F.min(start).alias("_first"), F.max("_reach").alias("_last"),
+                                                  F.max("_always").alias("always"))
+
+    def day(number: str) -> Column:
+        return F.when(F.abs(number) < OPEN, F.date_from_unix_date(F.col(number).cast("int")))
+
+    return joined.select(*key, day("_first").alias("noted_date"), day("_last").alias("resolved_date"), "always")
 
 
 def active_at(index_date: Column, noted: Column, resolved: Column) -> Column:
@@ -112,14 +119,11 @@ def risk_flag_table(hits: DataFrame, factors: list[str],
         F.when(bits.flag(names, i) == 1, F.lit(1)).alias(f) for i, f in enumerate(factors)])
 
 
-def add_risk_factors_active_at_index(cohort: DataFrame, factors: list[str], diag_snomed: DataFrame,
-                                     codes: DataFrame, dxmap: DataFrame, dx: DataFrame,
-                                     only_instance_1k: bool = False,
-                                     index_col: str = "decided_index_date",
-                                     dedup_rows: bool = True) -> DataFrame:
-    """The cohort plus one 0/1 column per factor. With ``dedup_rows`` the
-    cohort is whole-row de-duplicated, as the study's per-factor loop did. The flags reach
-    the cohort as words and become columns after the join."""
+def add_risk_words(cohort: DataFrame, factors: list[str], diag_snomed: DataFrame, codes: DataFrame,
+                   dxmap: DataFrame, dx: DataFrame, only_instance_1k: bool = False,
+                   index_col: str = "decided_index_date", dedup_rows: bool = True) -> DataFrame:
+    """R1 with the flags as the bits of a few words (``bits.word_names``), none NULL. With
+    ``dedup_rows`` the cohort is whole-row de-duplicated, as the study's per-factor loop did."""
     # factors travel by their place in the list; a code of no listed factor sets no flag
     codes = codes.withColumn("risk_factor", F.element_at(bits.places(factors), F.col("risk_factor")).cast("smallint")) \
         .where(F.col("risk_factor").isNotNull())
@@ -131,4 +135,14 @@ def add_risk_factors_active_at_index(cohort: DataFrame, factors: list[str], diag
     base = cohort.dropDuplicates() if dedup_rows else cohort
     cond = (base.pat_id == f._fp) & (base.instance == f._fi) & base[index_col].eqNullSafe(f._fd)
     return base.join(f, cond, "left").select(*[base[c] for c in base.columns], *[
-        F.coalesce(bits.flag(names, i), F.lit(0)).alias(x) for i, x in enumerate(factors)])
+        F.coalesce(f[w], F.lit(0).cast("long")).alias(w) for w in names])
+
+
+def add_risk_factors_active_at_index(cohort: DataFrame, factors: list[str], diag_snomed: DataFrame,
+                                     codes: DataFrame, dxmap: DataFrame, dx: DataFrame,
+                                     only_instance_1k: bool = False,
+                                     index_col: str = "decided_index_date",
+                                     dedup_rows: bool = True) -> DataFrame:
+    """The cohort plus one 0/1 column per factor (see ``add_risk_words``)."""
+    return add_risk_words(cohort, factors, diag_snomed, codes, dxmap, dx, only_instance_1k, index_col, dedup_rows) \
+        .select(*cohort.columns, *bits.unpack(factors))

@@ -126,11 +126,18 @@ class Study:
             only_instance_1k=only_instance_1k)
 
     @cached_property
-    def flagged_cohort(self) -> DataFrame:
+    def flagged_words(self) -> DataFrame:
         """Stage A output: the cohort with its condition flags, materialised
         once in the checkpoint folder (the study wrote this table too) and
-        read by the flag report and every later stage."""
-        return cut_lineage(self.risk_flags())
+        read by the flag report and every later stage. The flags are the bits of a few
+        words, so a stage table is as wide as these and a reader unpacks what it uses."""
+        return cut_lineage(conditions.add_risk_words(
+            self.cohort, self.FACTORS, self.diag_snomed, self.codes, self.src("diagnosismapping"), self.src("diagnosis")))
+
+    @cached_property
+    def flagged_cohort(self) -> DataFrame:
+        """``flagged_words`` with one 0/1 column per condition."""
+        return self.flagged_words.select(*self.cohort.columns, *bits.unpack(self.FACTORS))
 
     # ------------------------------------------------------------- exposure
     @cached_property
@@ -167,21 +174,19 @@ class Study:
         from ..operators import cohort as C
         from ..operators.geo import add_all_geo
         from ..vocab import RUCA_COLUMN, SVI_COLUMNS
-        c = C.filter_delivery_year(self.flagged_cohort, proxy.PROXY_MIN_DELIVERY_YEAR)
-        # the flags are 0 or 1 and reach the patients' join as the bits of a few words
-        base_cols = [x for x in c.columns if x not in self.FACTORS]
+        c = C.filter_delivery_year(self.flagged_words, proxy.PROXY_MIN_DELIVERY_YEAR)
         words = bits.word_names(len(self.FACTORS))
-        c = c.select(*base_cols, *bits.pack(self.FACTORS))
+        base_cols = [x for x in c.columns if x not in words]
         c = add_all_geo(c, self.src("patient"), {
             "svi2018_us": (self.src("svi2018_us"), SVI_COLUMNS),
             "ruca2010revised": (self.src("ruca2010revised"), [RUCA_COLUMN])}).select(*base_cols, *words, *SVI_COLUMNS, RUCA_COLUMN)
         c = c.withColumn("ruca_categorization", categorize_ruca(F.col(RUCA_COLUMN)))
-        c = c.withColumns({s: clean_sentinel(F.col(s)) for s in SVI_COLUMNS}).select(
-            *base_cols, *bits.unpack(self.FACTORS), *SVI_COLUMNS, RUCA_COLUMN, "ruca_categorization")
+        c = c.withColumns({s: clean_sentinel(F.col(s)) for s in SVI_COLUMNS})
         # Stage boundary (the study wrote this table too): every later stage
         # reads it several times, so it is materialised once in the shared
-        # checkpoint folder instead of being recomputed from the sources.
-        return cut_lineage(c)
+        # checkpoint folder instead of being recomputed from the sources. It holds the
+        # flags as words, of which a reader unpacks what it uses.
+        return cut_lineage(c).select(*base_cols, *bits.unpack(self.FACTORS), *SVI_COLUMNS, RUCA_COLUMN, "ruca_categorization")
 
     @cached_property
     def arms(self) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from cohortlab.functions import bits
+from cohortlab.operators import conditions
 from cohortlab.operators import diagnoses as D
 from cohortlab.operators.skew import full_outer_join
 
@@ -67,3 +68,17 @@ def test_flags_pack_into_words(spark):
     packed = df.select(*bits.pack(names))
     assert packed.columns == bits.word_names(73) and len(packed.columns) == 2
     assert sorted(map(tuple, packed.select(*bits.unpack(names)).collect())) == sorted(rows)
+
+
+def test_stage_tables_hold_words(spark):
+    """A stage table of the cohort has a column a word, not one a condition, and the intervals
+    are united by hashed aggregates."""
+    from cohortlab.plans.study import Study
+    s = Study(spark, "/root/testdata/sf0.001")
+    for df in (s.flagged_cohort, s.study_cohort):
+        file = df.inputFiles()[0]
+        assert set(s.FACTORS) <= set(df.columns) and not set(s.FACTORS) & set(spark.read.parquet(file).columns)
+        assert {r[0] for r in df.select(F.explode(F.array(*s.FACTORS))).distinct().collect()} == {0, 1}
+    rows = spark.range(5).selectExpr("id AS pat_id", "1000 AS instance", "1S AS risk_factor", "date'2020-01-01' + cast(id AS int) AS noted_date",
+                                     "cast(NULL AS date) AS resolved_date")
+    assert "SortAggregate" not in conditions.interval_union(rows)._jdf.queryExecution().executedPlan().toString()
