@@ -29,3 +29,27 @@ def test_tasks_follow_the_input(spark, tmp_path, monkeypatch):
         for n, v in old.items():
             spark.conf.unset(n) if v is None else spark.conf.set(n, v)
         session._INITIAL_SET.clear()
+
+
+def test_a_scan_counts_as_its_rows(spark, tmp_path):
+    """Two million keys in a file of a few MB are no table to broadcast; few rows still are."""
+    name = session.SCAN_FACTOR[0]
+    old = {n: spark.conf.get(n, None) for n in [*NAMES, name, "spark.sql.autoBroadcastJoinThreshold"]}
+    try:
+        for n in (name, "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(n)
+        ids = spark.range(2_000_000, numPartitions=1)
+        ids.select((F.col("id") % 30_000).alias("k")).write.parquet(str(tmp_path / "many.parquet"))
+        spark.range(1000).withColumnRenamed("id", "k").write.parquet(str(tmp_path / "few.parquet"))
+        fit_tasks(spark, str(tmp_path))
+        many, few = (spark.read.parquet(str(tmp_path / f"{x}.parquet")) for x in ("many", "few"))
+        assert sum(f.stat().st_size for f in (tmp_path / "many.parquet").glob("*.parquet")) < 10 << 20
+        plan = lambda right: ids.withColumnRenamed("id", "k").join(right, "k", "left_semi")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan(many) and "BroadcastHashJoin" in plan(few)
+        spark.conf.set(name, "3.0")  # the caller's own setting stays
+        fit_tasks(spark, str(tmp_path))
+        assert spark.conf.get(name) == "3.0"
+    finally:
+        for n, v in old.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+        session._INITIAL_SET.clear()
