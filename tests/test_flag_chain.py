@@ -47,6 +47,65 @@ def test_history_equals_stage_by_stage(spark):
     assert got.count() and sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
+def test_visits_are_dated_before_the_merge(spark):
+    """Of the rows of the full outer join none moves for the encounters' dates."""
+    pl, enc = _sources(spark)
+    visits = spark.createDataFrame([(1, 1000, 1, dt.date(2020, 2, 1))], "pat_id long, instance int, PAT_ENC_CSN_ID long, CONTACT_DATE date")
+    mapping = spark.createDataFrame([(1, 1000, "a", "SNOMED#1")], "value long, instance int, name string, concept string")
+    got = D.diagnosis_history(pl.withColumn("DATE_OF_ENTRY", F.lit(None).cast("date")), enc, visits, mapping)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" in plan and "PAT_ENC_CSN_ID" not in plan
+
+
+def test_mapped_concepts_give_the_mapped_diagnoses(spark):
+    """J6 on the concept mapping keeps the diagnoses that J6 keeps of the whole history."""
+    pl, enc = _sources(spark)
+    raw = pl.withColumn("DATE_OF_ENTRY", F.lit(None).cast("date"))
+    visits = spark.createDataFrame([(p, 1000, c, dt.date(2020, 2, 1 + p % 2)) for p in (1, 2, 3) for c in (1, 2)],
+                                   "pat_id long, instance int, PAT_ENC_CSN_ID long, CONTACT_DATE date")
+    mapping = spark.createDataFrame([(v, i, n, f"SNOMED#{v}" if n != "c" else f"ICD-10#{v}") for v in (1, 2, 3, None) for i in (1000, None)
+                                     for n in ("a", "c", "e")] + [(3, 1000, "d", None)], "value long, instance int, name string, concept string")
+    dxmap, dx = (spark.createDataFrame([(v,) for v in ids], "dx_id long") for ids in ([1, 2, 2, None], [2, 3, 1, 1]))
+    got = D.diagnosis_history(raw, enc, visits, conditions.mapped_concepts(mapping, dxmap, dx))
+    want = conditions.diagnosis_mapped_semi(D.diagnosis_history(raw, enc, visits, mapping), dxmap, dx).select(got.columns)
+    rows = sorted(map(tuple, got.collect()), key=repr)
+    assert rows and rows == sorted(map(tuple, want.collect()), key=repr) and {r[1] for r in rows} == {1, 2}
+
+
+def test_flags_move_no_diagnosis_for_the_dictionaries(spark):
+    """The diagnoses' dictionary tables meet the concept mapping, not the diagnoses."""
+    from cohortlab.plans.study import Study
+    plan = Study(spark, "/root/testdata/sf0.001").intervals()._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    top = next(i for i, x in enumerate(plan) if "min(struct(CONTACT_DATE" in x)
+    assert not any("LeftSemi" in x for x in plan[:top]) and any("LeftSemi" in x for x in plan[top:])
+
+
+def test_cohort_rows_move_once(spark):
+    """Flags join the cohort, equal rows and missing dates included, in one shuffle of its rows."""
+    day = lambda n: None if n is None else dt.date(2020, 1, n)
+    keys = [(1, 1000, day(3)), (1, 1000, day(9)), (2, 1000, day(None)), (3, 1000, day(5)), (3, None, day(5)), (None, 1000, day(5))]
+    rows = [(*k, note) for k in keys for note in ("a", "a", "b", None, None)]
+    cohort = spark.createDataFrame(rows, "pat_id long, instance int, decided_index_date date, note string").repartition(7)
+    none = None
+    diag = [(1, 7, 1000, day(2), day(4), "7"), (1, 8, 1000, day(8), none, "8"), (2, 7, 1000, none, none, "7"), (3, 8, 1000, day(6), none, "8")]
+    d = spark.createDataFrame(diag, "pat_id long, dx_id long, instance int, noted_date date, resolved_date date, SNOMED_ids string")
+    codes = spark.createDataFrame([("f1", "7"), ("f2", "8")], "risk_factor string, code string")
+    ids = spark.createDataFrame([(7,), (8,)], "dx_id long")
+    got = conditions.add_risk_words(cohort, ["f1", "f2"], d, codes, ids, ids)
+    want = {(1, day(3)): 1, (1, day(9)): 2, (2, None): 1}
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(
+        {(*r, want.get((r[0], r[2]), 0) if r[1] else 0) for r in rows}, key=repr)
+    assert conditions.add_risk_words(cohort, ["f1", "f2"], d, codes, ids, ids, dedup_rows=False).count() == len(rows)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = conditions.add_risk_words(cohort, ["f1", "f2"], d, codes, ids, ids)._jdf.queryExecution().executedPlan()
+        shuffles = [x for x in plan.toString().splitlines() if "Exchange" in x and "ENSURE_REQUIREMENTS" in x]
+        assert not any("note#" in x for x in shuffles)  # none by whole rows
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_no_key_is_counted_where_no_slot_is_hot(spark, monkeypatch):
     """Keys are counted only in slots that hold a hot key's number of rows."""
     from cohortlab.operators import skew

@@ -1,9 +1,11 @@
 """Tasks hold as many rows at any size of the tables."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from cohortlab import session
-from cohortlab.session import fit_tasks
+from cohortlab.session import cut_lineage, fit_tasks
 
 NAMES = [*session.TASK_BYTES, session.INITIAL, "spark.sql.shuffle.partitions"]
 
@@ -53,3 +55,21 @@ def test_a_scan_counts_as_its_rows(spark, tmp_path):
         for n, v in old.items():
             spark.conf.unset(n) if v is None else spark.conf.set(n, v)
         session._INITIAL_SET.clear()
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f.getName() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_")}
+
+
+def test_a_stage_table_leaves_no_shuffle_files(spark):
+    """What a stage table was dealt by goes when it is written, and the session's setting stays."""
+    before, old = _shuffle_files(spark), spark.conf.get(session.FREE, None)
+    df = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    kept = cut_lineage(df)
+    for _ in range(50):
+        if not _shuffle_files(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not _shuffle_files(spark) - before and spark.conf.get(session.FREE, None) == old
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, df.collect())) and kept.count() == 10
